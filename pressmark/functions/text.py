@@ -141,5 +141,9 @@ def ratio(count: Column, total: Column) -> Column:
 
 
 def truncated_percent(score: Column) -> Column:
-    """Score cut (not rounded) to four decimals, as a percentage."""
-    return F.floor(F.abs(score) * 10000) * F.signum(score) / 100.0
+    """Score cut (not rounded) to four decimals, as a percentage.
+
+    The last bits of a sum depend on its order; twelve decimals are kept before the
+    cut, so that 0.612 does not become 61.19.
+    """
+    return F.floor(F.round(F.abs(score) * 10000, 8)) * F.signum(score) / 100.0

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.lookup import lookup
 from ..plans.quantiles import exact_quantiles
-from ..plans.staging import keep
+from ..plans.staging import keep, settle
 from .terms import MIN_DF, idf as idf_of, term_frequency_weight
 
 ALPHA = 0.1
@@ -131,7 +131,7 @@ class TextBayesStatistics:
                 seen = F.coalesce(F.col("s")[F.lit(c)][v], F.lit(0.0))
                 logs.append(F.log(seen + a) - F.lit(denominator))
             per_v.append(F.array(*logs))
-        table = keep(
+        table = settle(
             self.idf.join(self.sums, "term", "left").select(
                 "term", "df",
                 F.zip_with("idf", "scale", lambda i, s: i).alias("idf"),
@@ -176,7 +176,7 @@ def fit_text_bayes(
     )
     known = [F.when(F.col(f"df{i}") >= min_df, idf_of(F.col(f"df{i}"), F.lit(float(n)))) for i, n in enumerate(n_docs)]
     kept_any = F.greatest(*[F.col(f"df{i}") for i in range(k)], F.lit(0)) >= min_df
-    idf_table = keep(
+    idf_table = settle(
         counts.where(kept_any).select(
             "term", "df", F.array(*known).alias("idf"), F.array(*[F.col(f"df{i}") for i in range(k)]).alias("dfs")
         )
@@ -213,7 +213,7 @@ def fit_text_bayes(
             F.coalesce(F.col(f"s{i}") * F.col("idf")[i] / F.col("scale")[i], F.lit(0.0)) for i in range(k)
         ]).alias("s"),
     )
-    weighted = keep(weighted)
+    weighted = settle(weighted)
     totals_rows = weighted.groupBy("label_idx").agg(*[F.sum(F.col("s")[i]).alias(f"t{i}") for i in range(k)]).collect()
     totals = [[0.0] * len(labels) for _ in held]
     for r in totals_rows:
@@ -241,7 +241,7 @@ def _with_scale(idf_table, bags, norms, docs, held, n_docs, scaling) -> DataFram
         F.sequence(F.lit(0), F.lit(k - 1)),
         lambda i: F.element_at("dfs", i + 1) > F.element_at(F.array(*[F.lit(0.25 * (n - 1)) for n in n_docs]), i + 1),
     )
-    candidates = keep(
+    candidates = settle(
         idf_table.where(F.size(frequent) > 0)
         .select("term", "idf", F.explode(frequent).alias("v"))
         .where(F.element_at("idf", F.col("v") + 1).isNotNull())
@@ -268,7 +268,7 @@ def _with_scale(idf_table, bags, norms, docs, held, n_docs, scaling) -> DataFram
         )
     )
     sizes = F.element_at(F.array(*[F.lit(n) for n in n_docs]), F.col("key")["v"] + 1)
-    quartiles = exact_quantiles(values, [0.25, 0.75], total=sizes)
+    quartiles = exact_quantiles(keep(values), [0.25, 0.75], total=sizes)
     ranges = quartiles.groupBy(F.col("key")["term"].alias("term")).agg(
         F.map_from_entries(
             F.collect_list(F.struct(F.col("key")["v"].alias("v"), (F.col("q")[1] - F.col("q")[0]).alias("iqr")))
@@ -276,7 +276,7 @@ def _with_scale(idf_table, bags, norms, docs, held, n_docs, scaling) -> DataFram
     )
     iqr = lambda i: F.try_element_at("iqrs", F.lit(i))
     scale = F.array(*[F.when(iqr(i) > 0, iqr(i)).otherwise(F.lit(1.0)) for i in range(k)])
-    # a few hundred terms at most, see above
+    ranges = settle(ranges)  # a few hundred terms at most, see above
     joined = idf_table.join(F.broadcast(ranges), "term", "left")
     return joined.select(*idf_table.columns, scale.alias("scale"))
 
@@ -325,12 +325,12 @@ def fit_long_bayes(
     checked = features.withColumn(
         "value", F.when(F.col("value") < 0, F.raise_error("naive Bayes needs non-negative features")).otherwise(F.col("value"))
     )
-    sums = keep(
+    sums = settle(
         checked.join(docs.select("doc_id", "label_idx"), "doc_id")
         .groupBy("feature", "label_idx").agg(F.sum("value").alias("s"))
     )
     totals = {r.label_idx: r.t for r in sums.groupBy("label_idx").agg(F.sum("s").alias("t")).collect()}
-    per_feature = keep(
+    per_feature = settle(
         sums.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("label_idx", "s"))).alias("s"))
     )
     n_features = per_feature.count()

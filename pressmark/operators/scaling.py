@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.lookup import lookup
 from ..plans.quantiles import exact_quantiles
-from ..plans.staging import keep
+from ..plans.staging import settle
 
 
 @dataclass
@@ -27,7 +27,7 @@ class ScalerModel:
 
 
 def _model(table: DataFrame) -> ScalerModel:
-    kept = keep(table)
+    kept = settle(table)
     return ScalerModel(kept, kept.count())
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
 from ..plans.lookup import lookup
-from ..plans.staging import keep, shuffle_width
+from ..plans.staging import settle, shuffle_width
 
 MIN_DF = 5
 
@@ -62,7 +62,7 @@ class TfIdfModel:
 
 
 def fit_tfidf(bags: DataFrame, n_docs: int, min_df: int = MIN_DF) -> TfIdfModel:
-    table = keep(
+    table = settle(
         document_frequency(bags, min_df).withColumn("idf", idf(F.col("df"), F.lit(float(n_docs))))
     )
     return TfIdfModel(table, n_docs, table.count())

@@ -216,7 +216,7 @@ def statements() -> dict[str, str]:
             (d.doc_id % 40 + 1950)::INT AS year, s.source AS newspaper, (d.doc_id % 30)::INT AS page,
             concat('http://a/', d.doc_id, '|http://b/', d.doc_id) AS urls,
             md5(regexp_replace(text, '^(?:[0-9A-Za-z_]*=\\S* )+', '')) AS digest
-            FROM docs d JOIN documents s USING (doc_id) WHERE text <> ''""",
+            FROM docs d JOIN (SELECT doc_id, source FROM documents) s USING (doc_id) WHERE text <> ''""",
         "label_dictionary": """SELECT row_number() OVER (ORDER BY lang) - 1 AS label_idx, lang AS label
             FROM (SELECT DISTINCT lang FROM documents)""",
         "label_encode": """SELECT doc_id, lang AS label, dense_rank() OVER (ORDER BY lang) - 1 AS label_idx FROM documents""",
@@ -250,8 +250,8 @@ def statements() -> dict[str, str]:
         "minmax_scale": f"""WITH {EMB}, r AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM feats GROUP BY feature)
             SELECT doc_id, feature, round((value - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END, 6) AS value
             FROM feats JOIN r USING (feature)""",
-        "sentiment": f"""WITH {DOCS}, {SENTI} SELECT doc_id, round(polarity, 6) AS polarity,
-            round(subjectivity, 6) AS subjectivity FROM sentiment""",
+        "sentiment": f"""WITH {DOCS}, {SENTI} SELECT doc_id, round(polarity, 9) AS polarity,
+            round(subjectivity, 9) AS subjectivity FROM sentiment""",
         "linguistic": f"WITH {DOCS}, {TOKENS}, {LINGUISTIC} SELECT doc_id, "
         + ", ".join(f"round({c}, 9) AS {c}" for c in style.LINGUISTIC) + " FROM linguistic",
         "entity_frequency": f"WITH {DOCS}, {TOKENS} SELECT lemma AS entity, count(*) AS n FROM tokens WHERE ner LIKE 'B%' GROUP BY lemma",
@@ -289,7 +289,7 @@ def statements() -> dict[str, str]:
         "class_support": f"WITH {preds} SELECT pipeline_id, truth, count(*) AS support FROM preds GROUP BY ALL",
         "pipeline_metrics": f"WITH {preds}, {metrics('preds')} SELECT pipeline_id, {ROUNDED} FROM result",
         "percent_scores": f"WITH {preds}, {metrics('preds')} SELECT pipeline_id, " + ", ".join(
-            f"printf('%.2f', trunc({m} * 10000) / 100.0) AS {m}" for m in METRICS) + " FROM result",
+            f"printf('%.2f', trunc(round({m} * 10000, 8)) / 100.0) AS {m}" for m in METRICS) + " FROM result",
         "metric_compare": f"WITH {preds}, {metrics('preds')} " + " UNION ALL ".join(
             f"SELECT pipeline_id, '{m}' AS metric, round({m}, 9) AS value FROM result" for m in COMPARED),
         "accuracy": f"WITH {preds} SELECT pipeline_id, round(avg((truth = predicted)::INT), 9) AS accuracy FROM preds GROUP BY ALL",
@@ -310,6 +310,9 @@ def statements() -> dict[str, str]:
         round(CASE WHEN sum(n) OVER w > 0 THEN n / sum(n) OVER w ELSE 0 END, 9) AS share FROM c
         WINDOW w AS (PARTITION BY pipeline_id, truth)"""
     out["nb_grid"] = _grid()
+    out["class_pairs"] = """WITH l AS (SELECT DISTINCT label::VARCHAR AS label, label AS n FROM embeddings)
+        SELECT row_number() OVER (ORDER BY a.n, b.n) - 1 AS pair, a.label AS first, b.label AS second
+        FROM l a JOIN l b ON a.n < b.n"""
     return out
 
 

@@ -2,8 +2,10 @@
 
 1. ``percentile_approx`` (a mergeable sketch of bounded size) brackets each wanted
    order statistic between two observed values.
-2. One pass counts the rows below each bracket and the distinct values inside it.
-3. A running count over the few distinct values inside a bracket finds the value.
+2. One pass counts the rows below each bracket and the distinct values inside it;
+   a running count over the few distinct values inside a bracket finds the value.
+
+The rows are read twice; keep them if they are costly to compute.
 
 The brackets are wide enough for the sketch's error; should one still miss its
 rank the job fails instead of returning a wrong value.
@@ -16,7 +18,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ACCURACY = 10_000
-MARGIN = 5.0 / ACCURACY
 
 
 def exact_quantiles(
@@ -54,17 +55,19 @@ def exact_quantiles(
         )
     )
     brackets = wanted.groupBy("key").agg(F.collect_list(F.struct("i", "side", "rank", "low", "high")).alias("b"))
-    counted = rows.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
-    # one bracket row per key; keys are feature names, so this side stays small
-    each = counted.join(F.broadcast(brackets), "key").select("key", "value", "n", F.inline("b"))
-    below = each.where(F.col("value") < F.col("low")).groupBy("key", "i", "side").agg(F.sum("n").alias("below"))
-    inside = each.where((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high")))
-    running = Window.partitionBy("key", "i", "side").orderBy("value")
+    # one bracket row per key; keys are feature names, so this side stays small.
+    # All rows below a bracket fold into its null entry, so one exchange serves both counts.
+    each = rows.join(F.broadcast(brackets), "key").select("key", "value", F.inline("b"))
+    counted = each.where(F.col("value") <= F.col("high")).groupBy(
+        "key", "i", "side", "rank", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    running = Window.partitionBy("key", "i", "side").orderBy(F.col("value").asc_nulls_first())
     hits = (
-        inside.withColumn("upto", F.sum("n").over(running))
-        .join(F.broadcast(below), ["key", "i", "side"], "left")
-        .withColumn("last", F.col("upto") + F.coalesce("below", F.lit(0)))  # rows <= value
-        .where((F.col("rank") < F.col("last")) & (F.col("rank") >= F.col("last") - F.col("n")))
+        counted.withColumn("last", F.sum("n").over(running))  # rows <= value
+        .where(
+            F.col("value").isNotNull()
+            & (F.col("rank") < F.col("last")) & (F.col("rank") >= F.col("last") - F.col("n"))
+        )
         .select("key", "i", "side", "value")
     )
     per_key = hits.groupBy("key").agg(

@@ -218,7 +218,7 @@ def _as_features(weights: DataFrame) -> DataFrame:
 
 def tfidf_scaled(spark, sf):
     bags, model = _fit_tfidf(spark, sf)
-    features = _as_features(model.weigh(bags))
+    features = keep(_as_features(model.weigh(bags)))
     scaler = scaling.fit_iqr_scaler(features, model.n_docs)
     return _rounded(scaler.transform(features), 6, ("doc_id", "feature"))
 
@@ -254,7 +254,7 @@ def sentiment_lexicon(spark) -> DataFrame:
 
 
 def sentiment(spark, sf):
-    return _rounded(style.sentiment_features(articles(spark, sf), sentiment_lexicon(spark)), 6)
+    return _rounded(style.sentiment_features(articles(spark, sf), sentiment_lexicon(spark)))
 
 
 def token_table(spark, sf) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from ..session import scratch_path
+from ..session import scratch_path, shared_folder
 
 _kept: list[DataFrame] = []
 
@@ -22,6 +22,19 @@ def keep(df: DataFrame) -> DataFrame:
     return kept
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a table now and cut its lineage with a checkpoint in the shared folder.
+
+    For fitted tables and feature tables that many later jobs read: they survive
+    the loss of executors, keep their partitioning, and later plans start from them
+    instead of carrying (and re-analysing) every step behind them.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def release() -> None:
     """Drop every table kept so far (call once the results have been written)."""
     while _kept:
