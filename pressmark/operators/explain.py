@@ -171,21 +171,22 @@ class TrainingBins:
         inner = [normal.inv_cdf(a + (b - a) * i / (cls.GRID - 1)) for i in range(1, cls.GRID - 1)]
         return np.array([low, *inner, high])
 
-    def sample(self, row: np.ndarray, samples: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """(values, same-bin indicators); row 0 is the given row."""
-        dim = len(row)
-        own = (row[:, None] > self.borders).sum(axis=1)
-        draws = rng.random((samples, dim))
-        bins = (draws[:, :, None] > self.frequency.cumsum(axis=1)[None, :, :3]).sum(axis=2)
-        position = rng.random((samples, dim)) * (self.GRID - 1)
-        left = position.astype(int)
-        columns = np.arange(dim)
-        lower = self.tables[columns, bins, left]
-        upper = self.tables[columns, bins, np.minimum(left + 1, self.GRID - 1)]
-        values = lower + (upper - lower) * (position - left)
-        same = bins == own
-        values[0], same[0] = row, True
-        return values, same
+
+def _draw_row(row, borders, frequency, tables, samples, rng):
+    """(values, same-bin indicators); row 0 is the given row."""
+    dim, last = len(row), tables.shape[2] - 1
+    own = (row[:, None] > borders).sum(axis=1)
+    draws = rng.random((samples, dim))
+    bins = (draws[:, :, None] > frequency.cumsum(axis=1)[None, :, :3]).sum(axis=2)
+    position = rng.random((samples, dim)) * last
+    left = position.astype(int)
+    columns = np.arange(dim)
+    lower = tables[columns, bins, left]
+    upper = tables[columns, bins, np.minimum(left + 1, last)]
+    values = lower + (upper - lower) * (position - left)
+    same = bins == own
+    values[0], same[0] = row, True
+    return values, same
 
 
 def explain_rows(
@@ -198,11 +199,13 @@ def explain_rows(
     surrogate sees whether a sample fell into the row's own bin.
     """
 
+    borders, frequency, tables = bins.borders, bins.frequency, bins.tables
+
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for item, row in zip(frame["doc_id"], frame[features]):
                 rng = np.random.default_rng([seed, int(item) & 0x7FFFFFFFFFFFFFFF])
-                values, same = bins.sample(np.asarray(row, dtype=float), samples, rng)
+                values, same = _draw_row(np.asarray(row, dtype=float), borders, frequency, tables, samples, rng)
                 yield pd.DataFrame({
                     "doc_id": item, "sample": np.arange(samples, dtype=np.int32), "x": list(values), "mask": list(same),
                 })

@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ACCURACY = 10_000
+GRID = 1000
 
 
 def exact_quantiles(
@@ -30,11 +31,12 @@ def exact_quantiles(
     """
     p = list(probabilities)
     margin = 5.0 / accuracy
-    sizes = rows.groupBy("key").agg(
-        F.count("value").alias("given"),
-        F.percentile_approx("value", [i / 2000 for i in range(2001)], accuracy).alias("grid"),
-    )
-    n = F.col("given") if total is None else total
+    dense = total is None
+    # With every value given the wanted shares are known, else they differ per key.
+    points = [min(1.0, max(0.0, q + s * margin)) for q in p for s in (-1, 1)] if dense else [i / GRID for i in range(GRID + 1)]
+    sketch = f"percentile_approx(value, array({','.join(f'{x!r}D' for x in points)}), {accuracy})"
+    sizes = rows.groupBy("key").agg(F.count("value").alias("given"), F.expr(sketch).alias("grid"))
+    n = F.col("given") if dense else total
     zeros = n - F.col("given")
     # wanted ranks among the given values, 0-based; negative = one of the left-out zeros
     targets = F.array(*[
@@ -42,17 +44,16 @@ def exact_quantiles(
                  ((F.floor if side == 0 else F.ceil)(F.lit(q) * (n - 1)) - zeros).cast("bigint").alias("rank"))
         for i, q in enumerate(p) for side in (0, 1)
     ])
-    share = F.col("rank") / F.greatest(F.col("given") - 1, F.lit(1))
-    low_at = F.greatest(F.lit(0), F.floor((share - margin) * 2000)).cast("int")
-    high_at = F.least(F.lit(2000), F.ceil((share + margin) * 2000)).cast("int")
+    if dense:
+        low_at, high_at = F.col("i") * 2, F.col("i") * 2 + 1
+    else:
+        share = F.col("rank") / F.greatest(F.col("given") - 1, F.lit(1))
+        low_at = F.greatest(F.lit(0), F.floor((share - margin) * GRID)).cast("int")
+        high_at = F.least(F.lit(GRID), F.ceil((share + margin) * GRID)).cast("int")
     wanted = (
         sizes.select("key", "given", "grid", F.inline(targets))
         .where(F.col("rank") >= 0)
-        .select(
-            "key", "i", "side", "rank",
-            F.when(low_at > 0, F.col("grid")[low_at]).otherwise(F.lit(float("-inf"))).alias("low"),
-            F.when(high_at < 2000, F.col("grid")[high_at]).otherwise(F.lit(float("inf"))).alias("high"),
-        )
+        .select("key", "i", "side", "rank", F.col("grid")[low_at].alias("low"), F.col("grid")[high_at].alias("high"))
     )
     brackets = wanted.groupBy("key").agg(F.collect_list(F.struct("i", "side", "rank", "low", "high")).alias("b"))
     # one bracket row per key; keys are feature names, so this side stays small.
