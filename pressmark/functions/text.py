@@ -13,6 +13,10 @@ SPACES = (
     r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 )
+OTHER_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 TERM = r"[\p{L}\p{M}\p{N}_]{2,}"
 WORD = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]"
 SENTENCE = r"[^.!?]*[^.!?\s][^.!?]*(?:[.!?]+|$)"
@@ -37,7 +41,9 @@ REGEX_STOP_WORDS = 200
 
 def clean_ocr(text: Column) -> Column:
     """Drop OCR noise characters and collapse every run of white space to one blank."""
-    return F.trim(F.regexp_replace(F.translate(text, OCR_CHARS, ""), SPACES, " "))
+    # one pass maps every other blank to ' ' and drops the noise; the pattern left is a plain literal run
+    plain = F.translate(text, OTHER_SPACES + OCR_CHARS, " " * len(OTHER_SPACES))
+    return F.trim(F.regexp_replace(plain, " {2,}", " "))
 
 
 def lowercase(text: Column) -> Column:

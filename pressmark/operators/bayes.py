@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.lookup import lookup
+from ..plans.lookup import fits_broadcast, lookup
 from ..plans.quantiles import exact_quantiles
 from ..plans.staging import keep, settle
 from .terms import MIN_DF, idf as idf_of, term_frequency_weight
@@ -197,8 +197,11 @@ def fit_text_bayes(
     if scaling:
         norms = keep(norms)
 
-    # both sides are hashed on doc_id already; the norms (one row per document) are the build side
-    with_norm = bags.join(norms.hint("shuffle_hash"), "doc_id")
+    # A broadcast vocabulary drops the rare terms (most of them) before the sums at no
+    # cost; otherwise the sums run over all terms and the rare ones go with the join below.
+    # Both sides are hashed on doc_id already; the norms (one row per document) are the build side.
+    counted = known_bags.drop("idf", "df") if fits_broadcast(stats["n"], 80 + 8 * k) else bags
+    with_norm = counted.join(norms.hint("shuffle_hash"), "doc_id")
     sums = with_norm.groupBy("term", "label_idx").agg(
         *[
             F.coalesce(F.sum(F.when(_in_training(v), local / F.col(f"norm{i}"))), F.lit(0.0)).alias(f"s{i}")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as tx
 from ..operators import bayes, explain, labels, learners, svm, terms, vectors
 from . import queries as q
-from .staging import settle
+from .staging import settle, spread
 
 DIM = 64
 NAMES = [f"e{i:02d}" for i in range(DIM)]
@@ -90,11 +90,15 @@ def rf_importance(spark, sf):
     return learners.importances(spark, fitted, NAMES)
 
 
+def _raw_articles(spark, sf):
+    return spread(q.documents(spark, sf).select("doc_id", F.col("lang").alias("label"), F.col("text").alias("raw_text")))
+
+
 def text_svm_predict(spark, sf):
     """The default recipe of the platform: TF-IDF, inter-quartile scaling, linear support vectors."""
     from .recipe import PipelineSpec, fit
 
-    docs = q.documents(spark, sf).select("doc_id", F.col("lang").alias("label"), F.col("text").alias("raw_text"))
+    docs = _raw_articles(spark, sf)
     return fit(PipelineSpec(learner="svc", learner_parameters={"max_iter": 20}), docs).predict(docs.drop("label"))
 
 
@@ -102,7 +106,7 @@ def style_bayes_predict(spark, sf):
     """The style recipe with naive Bayes (min-max scaled)."""
     from .recipe import PipelineSpec, fit
 
-    docs = q.documents(spark, sf).select("doc_id", F.col("lang").alias("label"), F.col("text").alias("raw_text"))
+    docs = _raw_articles(spark, sf)
     spec = PipelineSpec(features="style", learner="nb", sentiment_lexicon=q.sentiment_lexicon(spark))
     return fit(spec, docs, tokens=q.token_table(spark, sf)).predict(docs.drop("label"), tokens=q.token_table(spark, sf))
 
@@ -111,7 +115,7 @@ def combined_bayes_predict(spark, sf):
     """Style and TF-IDF features together with naive Bayes."""
     from .recipe import PipelineSpec, fit
 
-    docs = q.documents(spark, sf).select("doc_id", F.col("lang").alias("label"), F.col("text").alias("raw_text"))
+    docs = _raw_articles(spark, sf)
     spec = PipelineSpec(features="style_tfidf", learner="nb", sentiment_lexicon=q.sentiment_lexicon(spark))
     return fit(spec, docs, tokens=q.token_table(spark, sf)).predict(docs.drop("label"), tokens=q.token_table(spark, sf))
 

@@ -31,12 +31,10 @@ def exact_quantiles(
     """
     p = list(probabilities)
     margin = 5.0 / accuracy
-    dense = total is None
-    # With every value given the wanted shares are known, else they differ per key.
-    points = [min(1.0, max(0.0, q + s * margin)) for q in p for s in (-1, 1)] if dense else [i / GRID for i in range(GRID + 1)]
-    sketch = f"percentile_approx(value, array({','.join(f'{x!r}D' for x in points)}), {accuracy})"
+    points = ",".join(f"{i / GRID!r}D" for i in range(GRID + 1))
+    sketch = f"percentile_approx(value, array({points}), {accuracy})"
     sizes = rows.groupBy("key").agg(F.count("value").alias("given"), F.expr(sketch).alias("grid"))
-    n = F.col("given") if dense else total
+    n = F.col("given") if total is None else total
     zeros = n - F.col("given")
     # wanted ranks among the given values, 0-based; negative = one of the left-out zeros
     targets = F.array(*[
@@ -44,12 +42,9 @@ def exact_quantiles(
                  ((F.floor if side == 0 else F.ceil)(F.lit(q) * (n - 1)) - zeros).cast("bigint").alias("rank"))
         for i, q in enumerate(p) for side in (0, 1)
     ])
-    if dense:
-        low_at, high_at = F.col("i") * 2, F.col("i") * 2 + 1
-    else:
-        share = F.col("rank") / F.greatest(F.col("given") - 1, F.lit(1))
-        low_at = F.greatest(F.lit(0), F.floor((share - margin) * GRID)).cast("int")
-        high_at = F.least(F.lit(GRID), F.ceil((share + margin) * GRID)).cast("int")
+    share = F.col("rank") / F.greatest(F.col("given") - 1, F.lit(1))
+    low_at = F.greatest(F.lit(0), F.floor((share - margin) * GRID)).cast("int")
+    high_at = F.least(F.lit(GRID), F.ceil((share + margin) * GRID)).cast("int")
     wanted = (
         sizes.select("key", "given", "grid", F.inline(targets))
         .where(F.col("rank") >= 0)

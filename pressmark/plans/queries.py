@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import text as tx
 from ..operators import annotation, bayes, comparison, folds, labels, metrics, scaling, style, terms
 from ..sources import archive, corpus
-from .staging import keep
+from .staging import keep, spread
 
 # Query parameters shared with the SQL side.
 STOP_WORDS = ["the", "and", "of", "le", "la", "les", "de", "der", "die", "und", "el", "los", "que"]
@@ -37,7 +37,8 @@ def documents(spark, sf) -> DataFrame:
 
 def articles(spark, sf) -> DataFrame:
     """Cleaned corpus: (doc_id, label, text)."""
-    return documents(spark, sf).select("doc_id", F.col("lang").alias("label"), tx.clean_ocr(F.col("text")).alias("text"))
+    rows = spread(documents(spark, sf).select("doc_id", F.col("lang").alias("label"), "text"))
+    return rows.withColumn("text", tx.clean_ocr(F.col("text")))
 
 
 def encoded(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -95,7 +96,7 @@ def long_sentences(spark, sf):
 
 
 def character_frequency(spark, sf):
-    return style.character_frequency(documents(spark, sf))
+    return style.character_frequency(spread(documents(spark, sf).select("doc_id", "text")))
 
 
 def normalise_text(spark, sf):
@@ -119,7 +120,7 @@ def rendered_lines(spark, sf) -> DataFrame:
     """Documents as labelled lines."""
     day = F.format_string("%02d/%02d/%d", (F.col("doc_id") % 28 + 1).cast("int"), (F.col("doc_id") % 12 + 1).cast("int"),
                           (F.col("doc_id") % 40 + 1950).cast("int"))
-    return documents(spark, sf).select(
+    return spread(documents(spark, sf)).select(
         "doc_id",
         F.concat_ws(
             " ", F.concat(F.lit("__label__"), "lang"), F.concat(F.lit("DATE="), day),
@@ -199,7 +200,7 @@ def _bags(spark, sf, carry=()):
 
 
 def term_df(spark, sf):
-    return terms.document_frequency(_bags(spark, sf))
+    return terms.document_frequency(terms.bag_of_terms(articles(spark, sf)))
 
 
 def _fit_tfidf(spark, sf):
@@ -234,7 +235,7 @@ def chi2_select(spark, sf):
 
 
 def embedding_features(spark, sf) -> DataFrame:
-    return table(spark, sf, "embeddings").select(
+    return spread(table(spark, sf, "embeddings")).select(
         F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("i", "value")
     ).select("doc_id", F.format_string("e%02d", "i").alias("feature"), F.col("value").cast("double").alias("value"))
 
@@ -401,7 +402,7 @@ def nb_grid(spark, sf):
 
 def bulk_score(spark, sf):
     """Documents as archive lines, parsed, scored and decoded to the sink's columns."""
-    docs = documents(spark, sf)
+    docs = spread(documents(spark, sf))
     lines = docs.select(
         F.col("source").alias("newspaper"), (F.col("doc_id") % 40 + 1950).cast("int").alias("year"),
         F.concat_ws("\t", F.col("doc_id").cast("string"), F.lit("x"), F.lit("y"),

@@ -48,6 +48,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even out an input of fewer files than cores.
+
+    A small or unsplittable file (one row group, gzip) is read by one task; its rows
+    are dealt out before the costly text functions.  An input of many files is left
+    alone, so a large table does not move.
+    """
+    if len(df.inputFiles()) >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(shuffle_width(df))
+
+
 def shuffle_width(df: DataFrame) -> int:
     """Number of partitions for an exchange of raw text.
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.text import OTHER_SPACES
+
 # The line format.
 LABEL_MARK = "__label__"
 MAX_METADATA = 20
@@ -44,7 +46,7 @@ def parse_labelled_lines(lines: DataFrame, value: str = "value", date_format: st
     ``error`` says what is missing, null for a good line.
     """
     carried = [c for c in lines.columns if c != value]
-    line = F.regexp_replace(F.col(value), r"(?U)\s+$", "")
+    line = F.rtrim(F.col(value), F.lit(OTHER_SPACES + " "))
     # an all-metadata line has no text; the blank lets the pattern take its last token
     split = lines.select(*carried, F.concat(line, F.lit(" ")).alias("_line")).withColumn(
         "_prefix", F.regexp_extract("_line", METADATA, 0)

@@ -35,7 +35,7 @@ def test_holdout_size(spark):
 
 def test_quantiles_match_numpy(spark):
     rng = np.random.default_rng(2)
-    data = {"x": rng.normal(size=5000), "same": np.full(777, 3.5), "ties": rng.integers(0, 4, 3001).astype(float), "one": np.array([2.0])}
+    data = {**{f"n{n}": rng.normal(size=n) for n in (2, 3, 7, 30, 101, 999)}, "x": rng.normal(size=50000), "same": np.full(777, 3.5), "ties": rng.integers(0, 4, 3001).astype(float), "one": np.array([2.0])}
     df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs], "key string, value double")
     p = [0.0, 0.25, 0.5, 0.75, 1.0]
     got = {r.key: list(r.q) for r in exact_quantiles(df, p).collect()}
