@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import importlib
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, fields
 
+import numpy as np
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import svm
 
@@ -102,6 +105,45 @@ class FittedLearner:
     labels: list[str]
     prepare: Callable[[DataFrame], DataFrame] = field(default=lambda df: df)
     probability: Column | None = None
+    projection: dict | None = None  # arguments of the kernel projection, if there is one
+
+    def save(self, path: str, spark) -> None:
+        """Spark ML models with their own writer, pairwise models as one row per class pair."""
+        root = path.rstrip("/")
+        kind = type(self.model)
+        if isinstance(self.model, svm.PairwiseSvmModel):
+            m = self.model
+            rows = [
+                (p, m.coefficients[p].tolist(), float(m.intercepts[p]), float(m.slopes[p]), float(m.offsets[p]))
+                for p in range(len(m.intercepts))
+            ]
+            spark.createDataFrame(
+                rows, "pair int, coefficients array<double>, intercept double, slope double, offset double"
+            ).write.parquet(f"{root}/pairs")
+        else:
+            self.model.write().save(f"{root}/model")
+        settings = {
+            "tag": self.tag, "labels": self.labels, "projection": self.projection,
+            "kind": [kind.__module__, kind.__name__], "boosted": self.probability is not None,
+        }
+        spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.text(f"{root}/settings")
+
+    @staticmethod
+    def load(path: str, spark) -> "FittedLearner":
+        root = path.rstrip("/")
+        s = json.loads(spark.read.text(f"{root}/settings").first().value)
+        if s["kind"][1] == svm.PairwiseSvmModel.__name__:
+            rows = spark.read.parquet(f"{root}/pairs").orderBy("pair").collect()  # one row per class pair
+            column = lambda name: np.array([r[name] for r in rows])
+            model = svm.PairwiseSvmModel(
+                s["labels"], column("coefficients"), column("intercept"), column("slope"), column("offset")
+            )
+        else:
+            model = getattr(importlib.import_module(s["kind"][0]), s["kind"][1]).load(f"{root}/model")
+        return FittedLearner(
+            s["tag"], model, s["labels"], _projection(s["projection"]),
+            _one_vs_rest_probability() if s["boosted"] else None, s["projection"],
+        )
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """(*rows, predicted, proba ARRAY in label order)."""
@@ -114,6 +156,12 @@ class FittedLearner:
         )
 
 
+def _projection(arguments: dict | None) -> Callable[[DataFrame], DataFrame]:
+    if arguments is None:
+        return lambda df: df
+    return lambda df: svm.fourier_features(df, **arguments)
+
+
 def _one_vs_rest_probability() -> Column:
     """Boosted margins to shares: each class gets its binary probability, then they are normalised."""
     raw = vector_to_array("rawPrediction")
@@ -141,9 +189,10 @@ def _fit_svc(p: SupportVector, rows, labels, dim):
         return FittedLearner("svc", model, labels)
     if p.kernel != "rbf":
         raise ValueError(f"kernel {p.kernel!r} has no distributed form; use 'linear' or 'rbf'")
-    project = lambda df: svm.fourier_features(df, dim, p.gamma, p.fourier_size, p.random_state)
+    arguments = {"dim": dim, "gamma": p.gamma, "size": p.fourier_size, "seed": p.random_state}
+    project = _projection(arguments)
     model = svm.fit_pairwise_svm(project(rows), labels, p.penalty_parameter_c, p.max_iter)
-    return FittedLearner("svc", model, labels, project)
+    return FittedLearner("svc", model, labels, project, projection=arguments)
 
 
 def _fit_rf(p: RandomForest, rows, labels, dim):
@@ -239,6 +288,6 @@ def importances(spark, fitted: FittedLearner, names: Sequence[str], top: int = 3
 
 
 def relative_importance(rows: DataFrame, top: int = 30) -> DataFrame:
-    total = rows.agg(F.sum("importance").alias("total"))
-    share = rows.join(F.broadcast(total)).select("feature", F.round(F.col("importance") / F.col("total"), 3).alias("importance"))
+    total = F.sum("importance").over(Window.partitionBy(F.lit(0)))  # one row per model feature
+    share = rows.select("feature", F.round(F.col("importance") / total, 3).alias("importance"))
     return share.orderBy(F.col("importance").desc(), "feature").limit(top)

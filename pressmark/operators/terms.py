@@ -74,9 +74,9 @@ def chi2_scores(weights: DataFrame, labels: DataFrame, feature: str = "term", va
     ``weights`` is long (doc_id, feature, value); ``labels`` is (doc_id, label) and
     fixes the class shares.
     """
-    shares = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_label"))
-    total = labels.agg(F.count(F.lit(1)).alias("n_all"))
-    shares = shares.join(F.broadcast(total)).select("label", (F.col("n_label") / F.col("n_all")).alias("share"))
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_label"))  # one row per class
+    all_classes = F.sum("n_label").over(Window.partitionBy(F.lit(0)))
+    shares = sizes.select("label", (F.col("n_label") / all_classes).alias("share"))
     observed = (
         weights.join(labels.select("doc_id", "label"), "doc_id")
         .groupBy(feature, "label").agg(F.sum(value).alias("observed"))

@@ -16,7 +16,7 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..operators import annotation, bayes, folds as fold_ops, labels as label_ops, learners, scaling, style, terms, vectors
@@ -220,12 +220,14 @@ def score(models: Mapping[str, FittedPipeline], articles: DataFrame, truth: str
 
 
 def save(model: FittedPipeline, path: str) -> None:
-    """Write a naive Bayes pipeline as parquet tables plus one JSON line of settings."""
-    if model.bayes is None:
-        raise ValueError("save the Spark ML model of this pipeline with its own writer")
-    spark = model.bayes.table.sparkSession
+    """Write a fitted pipeline: its tables as parquet, its learner, one JSON line of settings."""
+    spark = SparkSession.active()
     root = path.rstrip("/")
-    model.bayes.table.write.parquet(f"{root}/bayes")
+    if model.bayes is not None:
+        model.bayes.table.write.parquet(f"{root}/bayes")
+    else:
+        model.space.index.write.parquet(f"{root}/space")
+        model.learner.save(f"{root}/learner", spark)
     if model.features.tfidf is not None:
         model.features.tfidf.table.write.parquet(f"{root}/idf")
     for i, scaler in enumerate(model.features.scalers):
@@ -238,8 +240,9 @@ def save(model: FittedPipeline, path: str) -> None:
             frame.write.parquet(f"{root}/{name}")
     plain = asdict(replace(model.spec, dictionary=None, sentiment_lexicon=None, lexicon=None))
     settings = {
-        "spec": plain, "tables": tables, "labels": model.labels, "priors": model.bayes.priors,
-        "n_features": model.bayes.n_features, "scalers": [s.n_features for s in model.features.scalers],
+        "spec": plain, "tables": tables, "labels": model.labels,
+        "priors": model.bayes.priors if model.bayes else None,
+        "n_features": model.bayes.n_features if model.bayes else model.space.size, "scalers": [s.n_features for s in model.features.scalers],
         "tfidf": None if model.features.tfidf is None else [model.features.tfidf.n_docs, model.features.tfidf.n_terms],
     }
     spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.text(f"{root}/settings")
@@ -260,7 +263,10 @@ def load(spark, path: str) -> FittedPipeline:
     scalers = [
         scaling.ScalerModel(spark.read.parquet(f"{root}/scaler_{i}"), n) for i, n in enumerate(settings["scalers"])
     ]
-    table = bayes.LongBayesModel(
-        spark.read.parquet(f"{root}/bayes"), settings["n_features"], settings["labels"], settings["priors"]
-    )
-    return FittedPipeline(spec, settings["labels"], FeatureModel(spec, tfidf, scalers), bayes=table)
+    features, names, size = FeatureModel(spec, tfidf, scalers), settings["labels"], settings["n_features"]
+    if settings["priors"] is None:
+        space = vectors.VectorSpace(spark.read.parquet(f"{root}/space"), size)
+        learner = learners.FittedLearner.load(f"{root}/learner", spark)
+        return FittedPipeline(spec, names, features, learner=learner, space=space)
+    table = bayes.LongBayesModel(spark.read.parquet(f"{root}/bayes"), size, names, settings["priors"])
+    return FittedPipeline(spec, names, features, bayes=table)

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.staging import shuffle_width
 from ..sources.archive import FILE_NAME, parse_archive_lines, write_predictions
 
 ScoreFn = Callable[[DataFrame], DataFrame]
@@ -30,7 +31,9 @@ def score_stream(rows: DataFrame, score: ScoreFn, out: str, checkpoint: str, onc
     """Start scoring; a batch that is retried replaces its own output folder."""
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        write_predictions(score(batch), f"{out.rstrip('/')}/batch={batch_id}", mode="overwrite")
+        # gzip files arrive as one partition each
+        even = batch.repartition(shuffle_width(batch))
+        write_predictions(score(even), f"{out.rstrip('/')}/batch={batch_id}", mode="overwrite")
 
     writer = rows.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

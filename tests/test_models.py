@@ -102,6 +102,18 @@ def test_recipe_equals_fused_path_and_survives_saving(spark, tmp_path):
     assert sorted(map(str, again.predict_proba(articles).collect())) == sorted(map(str, out.values()))
 
 
+@pytest.mark.parametrize("learner,parameters", [
+    ("svc", {"kernel": "rbf", "fourier_size": 16, "max_iter": 5}), ("gb", {"n_estimators": 2, "max_depth": 2}),
+])
+def test_saved_learners_predict_the_same(spark, tmp_path, learner, parameters):
+    articles = frame(spark, corpus(30)).withColumnRenamed("text", "raw_text")
+    model = recipe.fit(recipe.PipelineSpec(learner=learner, learner_parameters=parameters, min_df=4, ngram_range=(1, 1)), articles)
+    recipe.save(model, str(tmp_path / "m"))
+    again = recipe.load(spark, str(tmp_path / "m"))
+    a, b = ({r.doc_id: r for r in m.predict_proba(articles).collect()} for m in (model, again))
+    assert all(a[d].predicted == b[d].predicted and np.allclose(a[d].proba, b[d].proba) for d in a)
+
+
 def test_cross_validation_of_other_learners(spark):
     articles = frame(spark, corpus(40)).withColumnRenamed("text", "raw_text")
     spec = recipe.PipelineSpec(learner="rf", learner_parameters={"n_estimators": 5, "max_depth": 4}, min_df=2)
