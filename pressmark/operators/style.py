@@ -97,7 +97,7 @@ def basic_features(docs: DataFrame, text: str = "text") -> DataFrame:
 def quote_features(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
     return docs.select(
-        "doc_id", tx.quote_count(t).alias("q"), tx.sentence_count(F.when(tx._may_hold_quote(t), tx.remove_quotes(t)).otherwise(t)).alias("s")
+        "doc_id", tx.quote_count(t).alias("q"), tx.sentence_count(t).alias("s")
     ).select("doc_id", tx.ratio(F.col("q"), F.col("s")).alias(QUOTE[0]))
 
 
