@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_local: dict[str, str] = {}
 
 
 def build_session(app_name: str = "pressmark", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,14 +34,12 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local-mode session may fall back to a temporary folder; on a cluster
     the executors could not see it, so a missing setting is an error there.
     """
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or _local.get(spark.sparkContext.applicationId)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="pressmark-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    return _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="pressmark-"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
