@@ -12,17 +12,18 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import binary, column
+from .common import binary, column, slices
 
 WINDOW = 32_768
 OVERLAP = 1_024
-CACHED_PIECES = 200_000
+CACHED_PIECES = 100_000
 CACHED_LENGTH = 32
 
 ENCODED = "doc_id bigint, n_tokens bigint, ids binary"
@@ -33,17 +34,37 @@ class Encoder:
     """Pieces of the public pre-token pattern and their ids; frequent pieces come from a bounded cache."""
 
     def __init__(self, ranks_path: str):
+        self.ranks_path = ranks_path
+        self.cache: dict[str, tuple[int, ...]] = {}
+
+    def ranks(self) -> dict[bytes, int]:
+        with open(self.ranks_path, "rb") as lines:
+            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+    # each part is made by the workers that need it
+
+    @cached_property
+    def encoding(self):
         import public_tokenizers
-        import regex
         import tiktoken
 
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding(
-            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.bytes_of = {i: b for b, i in ranks.items()}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        return tiktoken.Encoding(
+            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks(), special_tokens={})
+
+    @cached_property
+    def pattern(self):
+        import public_tokenizers
+        import regex
+
+        return regex.compile(public_tokenizers.PATTERN)
+
+    @cached_property
+    def bytes_of(self) -> list[bytes]:
+        ranks = self.ranks()
+        found = [b""] * (max(ranks.values()) + 1)
+        for part, i in ranks.items():
+            found[i] = part
+        return found
 
     def piece(self, text: str) -> tuple[int, ...]:
         ids = self.cache.get(text)
@@ -111,11 +132,12 @@ def encode(docs: DataFrame, ranks_path: str, window: int = WINDOW, overlap: int
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
-        for batch in batches:
-            got = [_ids_bytes(enc.encoding.encode_ordinary(t.as_py())) for t in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array([len(g) // 4 for g in got], pa.int64()), binary(got)],
-                names=["doc_id", "n_tokens", "ids"])
+        for whole_batch in batches:
+            for batch in slices(whole_batch, "text"):
+                got = [_ids_bytes(enc.encoding.encode_ordinary(t.as_py())) for t in column(batch, "text")]
+                yield pa.RecordBatch.from_arrays(
+                    [column(batch, "doc_id"), pa.array([len(g) // 4 for g in got], pa.int64()), binary(got)],
+                    names=["doc_id", "n_tokens", "ids"])
 
     short = rows.where(~long).mapInArrow(whole, ENCODED)
 
@@ -128,12 +150,13 @@ def encode(docs: DataFrame, ranks_path: str, window: int = WINDOW, overlap: int
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
-        for batch in batches:
-            found = [enc.window(t.as_py()) for t in column(batch, "part")]
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, c) for c in ("doc_id", "text_hash", "n", "w", "part")]
-                + [binary([_ids_bytes(f[k]) for f in found]) for k in range(3)],
-                names=["doc_id", "text_hash", "n", "w", "part", "starts", "counts", "ids"])
+        for whole_batch in batches:
+            for batch in slices(whole_batch, "part"):
+                found = [tuple(map(_ids_bytes, enc.window(t.as_py()))) for t in column(batch, "part")]
+                yield pa.RecordBatch.from_arrays(
+                    [column(batch, c) for c in ("doc_id", "text_hash", "n", "w", "part")]
+                    + [binary([f[k] for f in found]) for k in range(3)],
+                    names=["doc_id", "text_hash", "n", "w", "part", "starts", "counts", "ids"])
 
     # many windows of one text are dealt to many tasks
     parts = cut.repartition("doc_id", "text_hash", "w").mapInArrow(
@@ -187,8 +210,9 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
-        for batch in batches:
-            got = [enc.decode(x.as_py() or b"") for x in column(batch, "ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, binary(got)], names=[*batch.schema.names, "decoded"])
+        for whole_batch in batches:
+            for batch in slices(whole_batch, "ids"):
+                got = [enc.decode(x.as_py() or b"") for x in column(batch, "ids")]
+                yield pa.RecordBatch.from_arrays([*batch.columns, binary(got)], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, encoded.schema.simpleString()[7:-1] + ", decoded:binary")
