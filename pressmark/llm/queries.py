@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_codec, line_dedup, packing, quality_rules, secret_scan
+from . import bpe_codec, knn_quality, license_scan, line_dedup, packing, quality_rules, secret_scan
 from .common import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,6 +26,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every document."""
+    return license_scan.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("matches")
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded bytes of every document."""
     encoded = bpe_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), MULTI_RANKS)
@@ -40,6 +45,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return knn_quality.quality_scores(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document by place."""
     found = secret_scan.secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
