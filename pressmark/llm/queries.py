@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_codec, knn_quality, license_scan, line_dedup, packing, quality_rules, secret_scan
+from . import bpe_codec, knn_quality, license_scan, line_dedup, ngram_join, packing, quality_rules, secret_scan
 from .common import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -31,6 +31,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("matches")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded bytes of every document."""
     encoded = bpe_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), MULTI_RANKS)
