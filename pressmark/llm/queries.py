@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_codec, knn_quality, license_scan, line_dedup, ngram_join, packing, quality_rules, secret_scan
+from . import ann_tree, bpe_codec, knn_quality, license_scan, line_dedup, ngram_join, packing, quality_rules, secret_scan, token_counts
 from .common import table
+from ..session import shared_folder
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -21,6 +23,29 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chunks", "n_removed", "text")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after inserting all documents, deleting the toxic ones and revising those of low quality.
+
+    A revised text has each of its lines once.  The deletion is sent twice and counts once.
+    """
+    versions = {"byte_bpe_50k": BYTE_RANKS, "byte_bpe_multi_50k": MULTI_RANKS}
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ledger = token_counts.Ledger(spark, f"{shared_folder(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}")
+    ledger.commit("1-insert", ledger.insertions(token_counts.count_tokens(docs, versions)))
+    for _ in range(2):
+        ledger.commit("2-delete", ledger.deletions(labels.where("toxic = 1").select("doc_id")))
+    poor = labels.where("quality = 0 and toxic = 0").select("doc_id").distinct()
+    once = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
+    ledger.commit("3-revise", ledger.revisions(token_counts.count_tokens(once, versions)))
+    return ledger.totals()
+
+
+def op3_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product for every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    return ann_tree.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
