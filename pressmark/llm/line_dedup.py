@@ -91,12 +91,12 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LIN
     left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(
         F.array_join(F.transform(left, lambda i: F.get(F.col("chunks"), i)["body"]), "\n"))
-    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "n_chunks", "n_removed")]
-    out = joined.select(
-        *kept, text.alias("text"),
-        F.when(F.col("row.text").isNull(), 0).otherwise(n).cast("bigint").alias("n_chunks"),
+    done = joined.select(
+        "row", text.alias("text"), F.when(F.col("row.text").isNull(), 0).otherwise(n).cast("bigint").alias("n_chunks"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
-    return out.select(*[c for c in docs.columns if c not in ("n_chunks", "n_removed")], "n_chunks", "n_removed")
+    own = [c for c in docs.columns if c not in ("n_chunks", "n_removed")]
+    return done.select(
+        *[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in own], "n_chunks", "n_removed")
 
 
 def statement(divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> str:

@@ -120,19 +120,19 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta
     rejected = F.explode(F.array(*[F.struct(
         F.lit(rule).alias("rule"),
         sum((ratio(rule) > c).cast("int") for c in RULES[rule][2]).alias("hits")) for rule in RULES]))
-    counts = good.select("stratum", rejected.alias("r")).groupBy("stratum", "r.rule", "r.hits").agg(
-        F.count(F.lit(1)).alias("n"))
+    counts = settled(good.select("stratum", rejected.alias("r")).groupBy("stratum", "r.rule", "r.hits").agg(
+        F.count(F.lit(1)).alias("n")), "holdout")
+    strata = counts.select("stratum").distinct().count()
     totals = counts.groupBy("stratum", "rule").agg(
         F.sum("n").alias("n"), F.collect_list(F.struct("hits", "n")).alias("counts"))
-    totals = totals.crossJoin(F.broadcast(counts.agg(F.count_distinct("stratum").alias("strata"))))
     grid = F.create_map(*[x for rule, (_, _, cuts) in RULES.items() for x in (
         F.lit(rule), F.array(*[F.lit(c) for c in cuts]))])
-    each = totals.select("stratum", "rule", "n", "counts", "strata", F.posexplode(grid[F.col("rule")]).alias("k", "cutoff"))
+    each = totals.select("stratum", "rule", "n", "counts", F.posexplode(grid[F.col("rule")]).alias("k", "cutoff"))
     # cutoffs are nested: the (k+1)-mildest cuts out every document that k+1 or more cutoffs reject
     errors = F.aggregate(
         F.filter("counts", lambda c: c["hits"] > F.col("k")), F.lit(0).cast("bigint"), lambda n, c: n + c["n"])
     tested = each.withColumn("errors", errors).withColumn(
-        "passes", at_most(F.col("errors"), F.col("n"), risk / len(RULES)) <= delta / (F.col("strata") * len(RULES)))
+        "passes", at_most(F.col("errors"), F.col("n"), risk / len(RULES)) <= delta / max(1, strata * len(RULES)))
     in_order = Window.partitionBy("stratum", "rule").orderBy("k")
     chosen = tested.withColumn("so_far", F.min("passes").over(in_order)).where("so_far")
     return chosen.groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
