@@ -374,8 +374,8 @@ def ngram_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Dat
     blocks = sizes.select("component", F.greatest(
         F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     placed = candidates.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
-    # one text stands for its class; a class known only by rows without an id is found by its text's class below
-    texts = rows.join(placed.select(F.col("first").alias("first"), "cid", "component", "copies", "blocks", "block"),
+    # one text stands for its class; the candidates' number has no bound, so they are never broadcast
+    texts = rows.join(placed.select("first", "cid", "component", "copies", "blocks", "block").hint("merge"),
                       F.col("doc_id").eqNullSafe(F.col("first")))
     schema = "component bigint, cid bigint, copies bigint, blocks int, block int, grams binary"
 
