@@ -26,10 +26,10 @@ QUOTE = (
 )
 CURRENCY = "[$€£ƒ]"
 
+# What a stop word must not touch on either side.
+_IN_WORD = r"[\p{L}\p{N}_]"
 # A run of word characters with the blanks behind it, or anything else.
-_WORD_AND_BLANKS = r"(?U)[\p{L}\p{M}\p{N}_]+\s*|[^\p{L}\p{M}\p{N}_]+"
-# Above this many plain words a hashed lookup per word beats one long alternation.
-REGEX_STOP_WORDS = 200
+_WORD_AND_BLANKS = r"(?U)[\p{L}\p{N}_]+\s*|[^\p{L}\p{N}_]+"
 
 
 def clean_ocr(text: Column) -> Column:
@@ -62,18 +62,21 @@ def remove_quotes(text: Column) -> Column:
 
 
 def remove_stop_words(text: Column, words: Sequence[str]) -> Column:
-    """Delete whole-word matches (any case) and the blanks behind them."""
+    """Delete whole-word matches (any case) and the blanks behind them.
+
+    Lists of plain words, short or long, are looked up word by word; a list with an entry that
+    holds other characters is one pattern with the same word borders.
+    """
     listed = [w for w in words if w]
     if not listed:
         return text
-    plain = all(re.fullmatch(r"\w+", w) for w in listed)
-    if plain and len(listed) > REGEX_STOP_WORDS:
+    if all(re.fullmatch(r"\w+", w) for w in listed):
         lowered = sorted({w.lower() for w in listed})
         parts = F.regexp_extract_all(text, F.lit(_WORD_AND_BLANKS), F.lit(0))
         kept = F.filter(parts, lambda p: ~F.lower(F.regexp_replace(p, SPACES + "$", "")).isin(lowered))
         return F.array_join(kept, "")
     alternatives = "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in listed)
-    return F.regexp_replace(text, rf"(?iuU)\b({alternatives})\b\s*", "")
+    return F.regexp_replace(text, rf"(?iuU)(?<!{_IN_WORD})({alternatives})(?!{_IN_WORD})\s*", "")
 
 
 def sentences(text: Column) -> Column:

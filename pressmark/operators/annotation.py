@@ -13,6 +13,9 @@ from ..plans.lookup import lookup
 # Fixed value: longest sentence, in tokens, the tagger is given.
 TAGGER_TOKENS = 250
 
+# An annotated token in memory: two numbers and five short strings.
+TOKEN_BYTES = 160
+
 _TOKEN = "struct<sent_idx:int,tok_idx:int,word:string,lemma:string,morph:string,pos:string,ner:string>"
 ANNOTATED = f"sha string, tokens array<{_TOKEN}>"
 
@@ -26,10 +29,17 @@ def cache_misses(docs: DataFrame, cache: DataFrame, text: str = "text") -> DataF
     return distinct.join(cache.select("sha"), "sha", "left_anti")
 
 
-def cache_hits(docs: DataFrame, cache: DataFrame, text: str = "text", bytes_per_row: int = 4096) -> DataFrame:
-    """Documents with their cached annotation; many copies of one text do not pile up in one task."""
+def cache_hits(docs: DataFrame, cache: DataFrame, text: str = "text", limit_bytes: int | None = None) -> DataFrame:
+    """Documents with their cached annotation; many copies of one text do not pile up in one task.
+
+    An entry holds all tokens of a text, so its width is measured: the mean decides whether the
+    cache is broadcast, the largest how many frequent texts are answered ahead of the shuffle.
+    """
     hashed = docs.withColumn("sha", tx.hash_text(F.col(text)))
-    return lookup(hashed, cache, "sha", cache.count(), bytes_per_row=bytes_per_row)
+    tokens = F.size("tokens") if "tokens" in cache.columns else F.lit(1)
+    rows, mean, largest = cache.agg(F.count(F.lit(1)), F.avg(tokens), F.max(tokens)).first()
+    width = lambda n: 128 + TOKEN_BYTES * int(n or 0)
+    return lookup(hashed, cache, "sha", rows, bytes_per_row=width(mean), limit_bytes=limit_bytes, widest_row=width(largest))
 
 
 def tagger_input(misses: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.lookup import fits_broadcast, lookup
+from ..plans.lookup import broadcast_small, fits_broadcast, lookup
 from ..plans.quantiles import exact_quantiles
 from ..plans.staging import keep, settle
 from .terms import MIN_DF, idf as idf_of, term_frequency_weight
@@ -279,8 +279,8 @@ def _with_scale(idf_table, bags, norms, docs, held, n_docs, scaling) -> DataFram
     )
     iqr = lambda i: F.try_element_at("iqrs", F.lit(i))
     scale = F.array(*[F.when(iqr(i) > 0, iqr(i)).otherwise(F.lit(1.0)) for i in range(k)])
-    ranges = settle(ranges)  # a few hundred terms at most, see above
-    joined = idf_table.join(F.broadcast(ranges), "term", "left")
+    ranges = settle(ranges)
+    joined = idf_table.join(broadcast_small(ranges), "term", "left")
     return joined.select(*idf_table.columns, scale.alias("scale"))
 
 

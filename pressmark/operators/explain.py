@@ -79,13 +79,18 @@ def explain_text(
     """(doc_id, class_idx, feature, weight, rank, intercept, fit) for every document.
 
     A sample deletes all occurrences of m random words of the text, m uniform in
-    1..words; sample 0 is the text itself.
+    1..words; sample 0 is the text itself.  A text without a word has one row of rank 0
+    without feature.
     """
     parts = F.regexp_extract_all("text", F.lit(PARTS), F.lit(0))
     split = docs.select("doc_id", parts.alias("parts")).withColumn(
         "words", F.array_sort(F.array_distinct(F.filter("parts", lambda p: p.rlike(f"^{WORD_RUN}$"))))
-    ).where(F.size("words") > 0)
-    split = settle(split.select(
+    )
+    wordless = split.where(F.coalesce(F.size("words"), F.lit(0)) == 0).select(
+        "doc_id", F.lit(None).cast("int").alias("class_idx"), F.lit(None).cast("string").alias("feature"),
+        F.lit(None).cast("double").alias("weight"), F.lit(0).alias("rank"),
+        F.lit(None).cast("double").alias("intercept"), F.lit(None).cast("double").alias("fit"))
+    split = settle(split.where(F.size("words") > 0).select(
         "doc_id", "words",
         F.transform("parts", lambda p: F.struct(p.alias("p"), F.array_contains("words", p).alias("is_word"))).alias("parts"),
     ))
@@ -102,7 +107,8 @@ def explain_text(
     masked = sampled.withColumn("m", removed).withColumn("limit", limit)
     kept_word = lambda w: F.col("limit").isNull() | (draw(w) > F.col("limit"))
     perturbed = masked.select(
-        (F.col("item") * samples + F.col("sample")).alias("doc_id"), "item", "sample",
+        # a key of its own for every sample: item and sample as text never overflow or collide
+        F.concat_ws(":", "item", "sample").alias("doc_id"), "item", "sample",
         F.transform("words", kept_word).alias("mask"),
         F.array_join(
             F.transform(F.filter("parts", lambda s: ~s["is_word"] | kept_word(s["p"])), lambda s: s["p"]), ""
@@ -124,7 +130,7 @@ def explain_text(
     named = split.select(F.col("doc_id").alias("item"), F.posexplode("words").alias("feature_idx", "feature"))
     return solved.join(named, ["item", "feature_idx"]).select(
         F.col("item").alias("doc_id"), "class_idx", "feature", "weight", "rank", "intercept", "fit"
-    )
+    ).unionByName(wordless)
 
 
 # --- tabular rows ---------------------------------------------------------------------

@@ -92,8 +92,8 @@ class Perceptron:
         return [int(n) for n in self.hidden_layer_sizes.split(",")]
 
 
-def _subset(max_features) -> str:
-    return {None: "all", "none": "all", "auto": "all"}.get(max_features, str(max_features))
+def _subset(max_features, auto: str = "all") -> str:
+    return {None: "all", "none": "all", "auto": auto}.get(max_features, str(max_features))
 
 
 @dataclass
@@ -147,11 +147,14 @@ class FittedLearner:
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """(*rows, predicted, proba ARRAY in label order)."""
-        scored = self.model.transform(self.prepare(rows))
+        return self.named(self.model.transform(self.prepare(rows)), rows.columns)
+
+    def named(self, scored: DataFrame, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
+        """Predicted label and class shares of rows the model has scored."""
         names = F.array(*[F.lit(n) for n in self.labels])
         proba = vector_to_array("probability") if self.probability is None else self.probability
         return scored.select(
-            *rows.columns,
+            *columns,
             F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"), proba.alias("proba"),
         )
 
@@ -210,7 +213,7 @@ def _fit_rf(p: RandomForest, rows, labels, dim):
 
 
 def _fit_gb(p: GradientBoosting, rows, labels, dim):
-    model = _boosted(_labelled(rows), labels, p.n_estimators, p.learning_rate, p.max_depth, _subset(p.max_features), p.random_state)
+    model = _boosted(_labelled(rows), labels, p.n_estimators, p.learning_rate, p.max_depth, _subset(p.max_features, "sqrt"), p.random_state)
     return FittedLearner("gb", model, labels, probability=_one_vs_rest_probability())
 
 
@@ -279,15 +282,30 @@ def fit_learner(tag: str, rows: DataFrame, labels: Sequence[str], dim: int, **gi
     return fit(kind, rows, list(labels), dim)
 
 
-def importances(spark, fitted: FittedLearner, names: Sequence[str], top: int = 30) -> DataFrame:
-    """(feature, importance): relative importance rounded to 3, the ``top`` largest."""
-    models = getattr(fitted.model, "models", None) or [fitted.model]
-    summed = sum(m.featureImportances.toArray() for m in models)
-    rows = spark.createDataFrame([(n, float(v)) for n, v in zip(names, summed)], "feature string, importance double")
-    return relative_importance(rows, top)
-
+def importances(spark, fitted: FittedLearner, names: Sequence[str] | DataFrame, top: int = 30) -> DataFrame:
+    """(feature, importance): relative importance rounded to 3, the ``top`` largest.
 
-def relative_importance(rows: DataFrame, top: int = 30) -> DataFrame:
-    total = F.sum("importance").over(Window.partitionBy(F.lit(0)))  # one row per model feature
-    share = rows.select("feature", F.round(F.col("importance") / total, 3).alias("importance"))
+    ``names``: one name per feature, or a table (feature, idx).  Features that no tree uses are left out
+    unless fewer than ``top`` are used; a fitted forest holds its importances on the driver, where only the used ones
+    are read.
+    """
+    models = getattr(fitted.model, "models", None) or [fitted.model]
+    used: dict[int, float] = {}
+    for m in models:
+        vector = m.featureImportances
+        pairs = zip(vector.indices.tolist(), vector.values.tolist()) if hasattr(vector, "indices") else enumerate(vector.toArray().tolist())
+        for i, v in pairs:
+            used[i] = used.get(i, 0.0) + v
+    if not isinstance(names, DataFrame):
+        if len(names) != models[0].numFeatures:
+            raise ValueError(f"{len(names)} names for {models[0].numFeatures} features")
+        names = spark.createDataFrame(list(enumerate(names)), "idx int, feature string")
+    found = spark.createDataFrame(list(used.items()), "idx int, importance double")
+    rows = names.join(found, "idx", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+    return relative_importance(rows, sum(used.values()), top)
+
+
+def relative_importance(rows: DataFrame, total: float, top: int = 30) -> DataFrame:
+    """(feature, importance): shares of ``total``, the ``top`` largest."""
+    share = rows.select("feature", F.round(F.col("importance") / (total or 1.0), 3).alias("importance"))
     return share.orderBy(F.col("importance").desc(), "feature").limit(top)

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.lookup import lookup
+from ..plans.lookup import broadcast_small, lookup
 from ..plans.quantiles import exact_quantiles
 from ..plans.staging import settle
 
@@ -45,7 +45,7 @@ def fit_iqr_scaler(features: DataFrame, n_docs: int | None = None) -> ScalerMode
             .where(F.col("df") > 0.25 * (n_docs - 1)).select("key")
         )
         # sum(df) = number of rows bounds this by 4 x features per document
-        rows = rows.join(F.broadcast(frequent), "key", "left_semi")
+        rows = rows.join(broadcast_small(settle(frequent)), "key", "left_semi")
     quartiles = exact_quantiles(rows, [0.25, 0.75], total=None if n_docs is None else F.lit(n_docs))
     iqr = F.col("q")[1] - F.col("q")[0]
     return _model(quartiles.select(

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..plans.lookup import lookup
 
-# Feature names and their order, and the word lists behind them
-# (single words only, in lower case: an entry of two words never equals one lemma).
+# Feature names and their order.
 BASIC = [
     "question_marks_perc", "exclamation_marks_perc", "currency_symbols_perc", "digits_perc",
     "sentences", "avg_sentence_length",
@@ -24,34 +25,8 @@ LINGUISTIC = [
 ]
 STYLE = BASIC + QUOTE + SENTIMENT + LINGUISTIC
 
-DUTCH_LEXICON = {
-    "pronoun_1": "ik mij me mijn wij we ons",
-    "pronoun_2": "jij je jou jouw jullie u uw",
-    "pronoun_3": "hij hem zij ze zijn haar hun hen zich",
-    "modal_verb": (
-        "behoeven blijken dunken heten hoeven lijken kunnen moeten moest mogen schijnen toeschijnen "
-        "voorkomen willen zullen"
-    ),
-    "modal_adverb": (
-        "allicht blijkbaar eigenlijk gelukkig godweet helaas hoofdzakelijk hoogstwaarschijnlijk hopelijk "
-        "jammer kennelijk misschien mogelijk natuurlijk ongelukkigerwijs ongetwijfeld onmogelijk "
-        "onwaarschijnlijk schijnbaar stellig tevergeefs trouwens tuurlijk uiteraard vergeefs vermoedelijk "
-        "waarlijk waarschijnlijk wellicht wieweet zeker zogenaamd"
-    ),
-    "intensifier": (
-        "aanmerkelijk aanzienlijk bijna behoorlijk drastisch echt enigszins enorm erg extra flink gewoon "
-        "godsgruwelijk hartstikke helemaal hoezeer nagenoeg nauwelijks nogal oneindig ongemeen ongeveer "
-        "ontzettend onuitsprekelijk onwijs pakweg uitdrukkelijk uitermate uitsluitend voldoende volkomen "
-        "volledig vooral voornamelijk vreselijk vrijwel welhaast zo zoveel zowat"
-    ),
-    "cogn_verb": (
-        "aankondigen aarzelen aannemen achten afwijzen afleiden bedenken bedoelen begrijpen bekennen "
-        "beloven beslissen betreuren betwijfelen concluderen denken dreigen geloven herinneren herkennen "
-        "hopen menen opmerken prefereren reageren realiseren suggereren uitleggen uitsluiten uitvinden "
-        "vaststellen verdenken vergeten verlangen vermoeden vernemen veronderstellen vertrouwen verwachten "
-        "vinden voelen voorstellen vragen vrezen waarschuwen wensen weten"
-    ),
-}
+# One (category, lemma) per line, in lower case as the lookup wants them.
+DUTCH_LEXICON = Path(__file__).parent.parent / "data" / "dutch_lexicon.csv"
 
 # category -> (part-of-speech prefix or None, look the lemma up in lower case)
 CATEGORIES = {
@@ -101,9 +76,13 @@ def quote_features(docs: DataFrame, text: str = "text") -> DataFrame:
     ).select("doc_id", tx.ratio(F.col("q"), F.col("s")).alias(QUOTE[0]))
 
 
-def lexicon_frame(spark, lexicon: Mapping[str, str] = DUTCH_LEXICON) -> DataFrame:
-    """lexicon(category, lemma) from space-separated word lists."""
-    rows = [(category, lemma) for category, listed in lexicon.items() for lemma in listed.split()]
+def lexicon_frame(spark, lexicon: Mapping[str, str] | None = None) -> DataFrame:
+    """lexicon(category, lemma) from space-separated word lists; the Dutch lists by default."""
+    if lexicon is None:
+        with open(DUTCH_LEXICON, encoding="utf-8", newline="") as lines:
+            rows = [(r["category"], r["lemma"]) for r in csv.DictReader(lines)]
+    else:
+        rows = [(category, lemma) for category, listed in lexicon.items() for lemma in listed.split()]
     return spark.createDataFrame(rows, "category string, lemma string")
 
 

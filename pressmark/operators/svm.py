@@ -9,17 +9,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.lookup import lookup
 from ..plans.ranks import hash_key
 from ..plans.staging import keep, settle
 
 CALIBRATION_SHARE = 5   # every fifth row (by hash) is held out for calibration
 NEWTON_STEPS = 12
 TOLERANCE = 1e-3
-MATRIX_BYTES = 512 * 1024 * 1024
 
 
 def class_pairs(n: int) -> list[tuple[int, int]]:
@@ -56,20 +57,43 @@ class PairwiseSvmModel:
     offsets: np.ndarray
 
     def margins(self, features: Column) -> Column:
+        """Margins of vectors, sparse or dense; only the stored values are touched."""
         matrix, intercepts = self.coefficients, self.intercepts
-        if matrix.nbytes > MATRIX_BYTES:
-            raise ValueError("too many features for a pairwise model; select features first")
 
         @F.pandas_udf("array<double>")
-        def dense(values: pd.Series) -> pd.Series:
-            if len(values) == 0:
-                return pd.Series([], dtype=object)
-            return pd.Series(list(np.stack(values.to_numpy()) @ matrix.T + intercepts))
+        def products(indices: pd.Series, values: pd.Series) -> pd.Series:
+            return pd.Series([
+                (matrix @ v if i is None else matrix[:, i] @ v) + intercepts for i, v in zip(indices, values)
+            ], dtype=object)
 
-        return dense(vector_to_array(features))
+        parts = F.unwrap_udt(features)
+        return products(parts["indices"], parts["values"])
+
+    def coefficient_table(self, spark) -> DataFrame:
+        """(idx, w): the coefficients of every feature that has one, over all class pairs.
+
+        They are on the driver already, where Spark ML returns a fitted model; from here on they are a table.
+        """
+        used = np.flatnonzero(self.coefficients.any(axis=0))
+        flat = pa.array(self.coefficients[:, used].T.ravel())
+        lists = pa.FixedSizeListArray.from_arrays(flat, len(self.intercepts)).cast(pa.list_(pa.float64()))
+        return spark.createDataFrame(pa.table({"idx": pa.array(used.astype(np.int32)), "w": lists}))
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """Add ``votes``, ``prediction`` (class index, lowest wins ties) and ``probability``."""
+        return self.decide(rows.withColumn("_margins", self.margins(F.col("features"))))
+
+    def score_long(self, features: DataFrame, table: DataFrame, n_features: int, docs: DataFrame) -> DataFrame:
+        """As ``transform``, from (doc_id, feature, value) and table (feature, w); no vector is built."""
+        k = len(self.intercepts)
+        rows = lookup(features.select("doc_id", "feature", "value"), table, "feature", n_features, bytes_per_row=80 + 8 * k)
+        sums = rows.groupBy("doc_id").agg(*[F.sum(F.col("value") * F.col("w")[p]).alias(f"m{p}") for p in range(k)])
+        joined = docs.join(sums, "doc_id", "left")
+        margins = F.array(*[F.coalesce(f"m{p}", F.lit(0.0)) + F.lit(float(b)) for p, b in enumerate(self.intercepts)])
+        return self.decide(joined.select(*docs.columns, margins.alias("_margins")))
+
+    def decide(self, scored: DataFrame) -> DataFrame:
+        """Votes, prediction and probability from ``_margins``."""
         k = len(self.labels)
         pairs = class_pairs(k)
         m = F.col("_margins")
@@ -85,7 +109,7 @@ class PairwiseSvmModel:
             share = [calibrated[p] if i == c else 1 - calibrated[p] for p, (i, j) in enumerate(pairs) if c in (i, j)]
             votes.append(sum(won[1:], won[0]))
             chance.append(sum(share[1:], share[0]) * (2.0 / (k * (k - 1))))
-        scored = rows.withColumn("_margins", self.margins(F.col("features"))).withColumn("votes", F.array(*votes))
+        scored = scored.withColumn("votes", F.array(*votes))
         best = F.array_position("votes", F.array_max("votes")) - 1
         return scored.withColumn("prediction", best.cast("double")).withColumn(
             "probability", array_to_vector(F.array(*chance))
@@ -181,16 +205,20 @@ def fourier_features(rows: DataFrame, dim: int, gamma: float = 1.0, size: int =
     return rows.withColumn(column, array_to_vector(project(vector_to_array(F.col(column)))))
 
 
-def pair_weights(spark, model: PairwiseSvmModel, names: Sequence[str], top: int = 10) -> DataFrame:
+def pair_weights(spark, model: PairwiseSvmModel, names: Sequence[str] | DataFrame, top: int = 10) -> DataFrame:
     """(first, second, feature, weight, rank): per class pair the ``top`` largest positive and
-    the ``top`` smallest negative coefficients, ranked from the strongest."""
-    long = pd.DataFrame(
-        [
-            (model.labels[i], model.labels[j], names[f], float(model.coefficients[p, f]))
-            for p, (i, j) in enumerate(class_pairs(len(model.labels))) for f in range(len(names))
-        ],
-        columns=["first", "second", "feature", "weight"],
-    )
-    rows = spark.createDataFrame(long).where(F.col("weight") != 0)
-    strongest = Window.partitionBy("first", "second", F.col("weight") > 0).orderBy(F.abs("weight").desc(), "feature")
+    the ``top`` smallest negative coefficients, ranked from the strongest.
+
+    ``names``: one name per feature, or a table (feature, idx).
+    """
+    if not isinstance(names, DataFrame):
+        if len(names) != model.coefficients.shape[1]:
+            raise ValueError(f"{len(names)} names for {model.coefficients.shape[1]} features")
+        names = spark.createDataFrame(list(enumerate(names)), "idx int, feature string")
+    pairs = class_pairs(len(model.labels))
+    name = lambda side: F.get(F.array(*[F.lit(model.labels[p[side]]) for p in pairs]), F.col("pair"))
+    long = model.coefficient_table(spark).join(names, "idx").select("feature", F.posexplode("w").alias("pair", "weight"))
+    rows = long.where(F.col("weight") != 0).select(name(0).alias("first"), name(1).alias("second"), "feature", "weight")
+    # the ranked rows of a pair are cut to ``top`` before they are exchanged
+    strongest = Window.partitionBy("first", "second", F.signum("weight")).orderBy(F.abs("weight").desc(), "feature")
     return rows.withColumn("rank", F.row_number().over(strongest)).where(F.col("rank") <= top)

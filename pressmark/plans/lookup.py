@@ -36,33 +36,34 @@ def lookup(
     frequency: Column | None = None,
     how: str = "inner",
     limit_bytes: int | None = None,
+    widest_row: int | None = None,
 ) -> DataFrame:
     """Join ``rows`` with the one-row-per-key ``table`` on ``key``.
 
     ``table_rows`` is the counted size of the table.  ``frequency`` is a column of
     the table that tells how many rows hold the key; without it the counts are
-    taken from ``rows``.
+    taken from ``rows``.  ``widest_row`` bounds the frequent entries that are broadcast beyond the limit.
     """
     width = bytes_per_row or row_bytes(table)
     limit = BROADCAST_BYTES if limit_bytes is None else limit_bytes
     if table_rows * width <= limit:
         return rows.join(F.broadcast(table), key, how)
-    return _spread_lookup(rows, table, key, frequency, how)
+    return _spread_lookup(rows, table, key, frequency, how, min(HOT_KEYS, max(1, BROADCAST_BYTES // (widest_row or width))))
 
 
 def _spread_lookup(
-    rows: DataFrame, table: DataFrame, key: str, frequency: Column | None, how: str
+    rows: DataFrame, table: DataFrame, key: str, frequency: Column | None, how: str, hot_keys_most: int = HOT_KEYS
 ) -> DataFrame:
     values = [c for c in table.columns if c != key]
     entry = F.struct(*[F.col(c) for c in values])
     if frequency is None:
         counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        hot_keys = counts.orderBy(F.col("_n").desc()).limit(HOT_KEYS).select(key)
+        hot_keys = counts.orderBy(F.col("_n").desc()).limit(hot_keys_most).select(key)
         hot = table.join(F.broadcast(hot_keys), key, "left_semi").select(key, entry.alias("_hot"))
     else:
-        # TakeOrdered: at most HOT_KEYS rows, whatever the table holds
+        # TakeOrdered: at most that many rows, whatever the table holds
         hot = (
-            table.withColumn("_n", frequency).orderBy(F.col("_n").desc()).limit(HOT_KEYS)
+            table.withColumn("_n", frequency).orderBy(F.col("_n").desc()).limit(hot_keys_most)
             .select(key, entry.alias("_hot"))
         )
     # Rows answered by the hot part get a spread-out key that matches nothing.

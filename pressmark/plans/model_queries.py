@@ -17,7 +17,7 @@ from .staging import settle, spread
 DIM = 64
 NAMES = [f"e{i:02d}" for i in range(DIM)]
 TEXT_SAMPLES = explain.SAMPLES
-ROW_SAMPLES = 500
+# Coalitions of a Kernel SHAP explanation: a parameter of the query, as its background is.
 SHAP_SAMPLES = 256
 
 
@@ -95,11 +95,30 @@ def _raw_articles(spark, sf):
 
 
 def text_svm_predict(spark, sf):
-    """The default recipe of the platform: TF-IDF, inter-quartile scaling, linear support vectors."""
+    """The default recipe: TF-IDF, inter-quartile scaling, linear support vectors."""
     from .recipe import PipelineSpec, fit
 
     docs = _raw_articles(spark, sf)
-    return fit(PipelineSpec(learner="svc", learner_parameters={"max_iter": 20}), docs).predict(docs.drop("label"))
+    return fit(PipelineSpec(learner="svc"), docs).predict(docs.drop("label"))
+
+
+def text_svm_checks(spark, sf):
+    """What any fitted default recipe must fulfil, counted over its full output."""
+    from .recipe import PipelineSpec, fit
+
+    docs = _raw_articles(spark, sf)
+    model = fit(PipelineSpec(learner="svc"), docs)
+    proba = model.predict_proba(docs.drop("label"))
+    total = F.aggregate("proba", F.lit(0.0), lambda a, x: a + x)
+    rows = proba.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("doc_id").alias("n_docs"),
+        F.sum((F.abs(total - 1) < 1e-9).cast("bigint")).alias("n_sums"),
+        F.sum((F.array_min("proba") >= 0).cast("bigint")).alias("n_positive"),
+        F.sum(F.col("predicted").isin(*model.labels).cast("bigint")).alias("n_labelled"), F.lit(0).alias("k"))
+    weights = model.pair_weights().groupBy("first", "second", F.signum("weight")).agg(F.count(F.lit(1)).alias("n"))
+    strongest = weights.agg(
+        F.sum((F.col("n") > 10).cast("bigint")).alias("n_over"), F.count_distinct("first", "second").alias("n_pairs"), F.lit(0).alias("k"))
+    return rows.join(strongest, "k").drop("k")
 
 
 def style_bayes_predict(spark, sf):
@@ -153,23 +172,65 @@ def _row_explainer(spark, sf):
 def lime_tabular(spark, sf):
     data, names, predict_proba = _row_explainer(spark, sf)
     bins = explain.TrainingBins.fit(data)
-    out = explain.explain_rows(data, bins, predict_proba, ROW_SAMPLES)
+    out = explain.explain_rows(data, bins, predict_proba, explain.tabular_samples(DIM))
     return out.select("doc_id", _name(names).alias("class"), "feature_idx", F.round("weight", 6).alias("weight"), "rank")
 
 
-def shap_values(spark, sf):
-    """Kernel SHAP of every embedding against the class centroids."""
+def shap_values(spark, sf, samples: int = SHAP_SAMPLES):
+    """Kernel SHAP of every embedding from ``samples`` coalitions.
+
+    The background is one centroid per class, weighted by the class size: all training rows as
+    background would pair every row with every other.
+    """
     data, names, predict_proba = _row_explainer(spark, sf)
+    out = _shap(data, predict_proba, samples)
+    return out.select("doc_id", _name(names).alias("class"), "feature_idx", F.round("value", 6).alias("value"))
+
+
+def _shap(data, predict_proba, samples):
     centroids = data.groupBy("label_idx").agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(F.col("features_array")[i]).alias(NAMES[i]) for i in range(DIM)]
     ).orderBy("label_idx").collect()  # one row per class
     background = np.array([[r[n] for n in NAMES] for r in centroids])
     shares = np.array([r.n for r in centroids], dtype=float)
-    out = explain.kernel_shap(data, background, shares / shares.sum(), predict_proba, SHAP_SAMPLES)
-    return out.select("doc_id", _name(names).alias("class"), "feature_idx", F.round("value", 6).alias("value"))
+    return explain.kernel_shap(data, background, shares / shares.sum(), predict_proba, samples)
+
+
+def importance_checks(spark, sf):
+    """Importances of all features are shares that add up to one."""
+    _, fitted = _fit(spark, sf, "rf")
+    rows = learners.importances(spark, fitted, NAMES, top=DIM)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_features"), F.count_distinct("feature").alias("n_names"),
+        (F.abs(F.sum("importance") - 1) < 0.05).alias("adds_up"), (F.min("importance") >= 0).alias("positive"))
+
+
+def shap_checks(spark, sf):
+    """Per row and class the values add up to f(row) - f(background)."""
+    data, _, predict_proba = _row_explainer(spark, sf)
+    sums = _shap(data, predict_proba, SHAP_SAMPLES).groupBy("doc_id", "class_idx").agg(
+        F.sum("value").alias("total"), F.first("base").alias("base"), F.count(F.lit(1)).alias("n"))
+    scored = predict_proba(data).select("doc_id", F.posexplode("proba").alias("class_idx", "p"))
+    return sums.join(scored, ["doc_id", "class_idx"]).agg(
+        F.count(F.lit(1)).alias("n_values"),
+        F.sum((F.abs(F.col("base") + F.col("total") - F.col("p")) < 1e-6).cast("bigint")).alias("n_exact"),
+        F.sum((F.col("n") == DIM).cast("bigint")).alias("n_full"))
+
+
+def lime_text_checks(spark, sf):
+    """At most ten distinct words an item, ranked without gaps, each of them a word of the item."""
+    items = q.table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    per_item = lime_text(spark, sf).join(items, "doc_id").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"), F.count_distinct("feature").alias("features"),
+        F.sum(F.contains("text", "feature").cast("int")).alias("held"))
+    return per_item.agg(
+        F.count(F.lit(1)).alias("n_items"), F.sum((F.col("n") <= 10).cast("bigint")).alias("n_short"),
+        F.sum(((F.col("n") == F.col("last")) & (F.col("n") == F.col("features"))).cast("bigint")).alias("n_ranked"),
+        F.sum((F.col("held") == F.col("n")).cast("bigint")).alias("n_held"))
 
 
 MODELS = [
+    text_svm_checks, importance_checks, shap_checks, lime_text_checks,
     svm_predict, svm_rbf_predict, rf_predict, gb_predict, xgb_linear_predict, lgbm_forest_predict, mlp_predict,
     svm_pair_weights, class_pairs, rf_importance, text_svm_predict, style_bayes_predict, combined_bayes_predict,
     lime_text, lime_tabular, shap_values,

@@ -34,9 +34,12 @@ w AS (SELECT v, doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY v, do
 SCALED = """cand AS (SELECT v, term, df, n FROM idfs JOIN sizes USING (v) WHERE df > 0.25 * (n - 1)),
 vals AS (SELECT v, term, any_value(n) AS n, list(w.w ORDER BY w.w) AS l FROM w JOIN train USING (v, doc_id)
          JOIN cand USING (v, term) GROUP BY v, term),
-padded AS (SELECT v, term, list_concat(list_transform(range(n - len(l)), lambda i: 0.0::DOUBLE), l) AS l FROM vals),
-quart AS (SELECT v, term, list_aggregate(l, 'quantile_cont', 0.75) - list_aggregate(l, 'quantile_cont', 0.25) AS iqr
-          FROM padded),
+ranks AS (SELECT v, term, l, n - len(l) AS zeros, [0.25 * (n - 1), 0.75 * (n - 1)] AS pos FROM vals),
+ends AS (SELECT v, term, list_transform(pos, lambda p: [
+            CASE WHEN floor(p) < zeros THEN 0 ELSE l[floor(p)::BIGINT - zeros + 1] END,
+            CASE WHEN ceil(p) < zeros THEN 0 ELSE l[ceil(p)::BIGINT - zeros + 1] END, p - floor(p)]) AS e FROM ranks),
+quart AS (SELECT v, term, (e[2][1] + (e[2][2] - e[2][1]) * e[2][3]) - (e[1][1] + (e[1][2] - e[1][1]) * e[1][3]) AS iqr
+          FROM ends),
 ws AS (SELECT w.v, w.doc_id, w.term, w.w / CASE WHEN iqr > 0 THEN iqr ELSE 1 END AS w
        FROM w LEFT JOIN quart USING (v, term))"""
 
@@ -310,12 +313,50 @@ def statements() -> dict[str, str]:
         round(CASE WHEN sum(n) OVER w > 0 THEN n / sum(n) OVER w ELSE 0 END, 9) AS share FROM c
         WINDOW w AS (PARTITION BY pipeline_id, truth)"""
     out["nb_grid"] = _grid()
+    out |= _sources(out)
     out["class_pairs"] = """WITH l AS (SELECT DISTINCT label::VARCHAR AS label, label AS n FROM embeddings)
         SELECT row_number() OVER (ORDER BY a.n, b.n) - 1 AS pair, a.label AS first, b.label AS second
         FROM l a JOIN l b ON a.n < b.n"""
     return out
 
 
+def _sources(known: dict[str, str]) -> dict[str, str]:
+    """Sources, sinks, stores, and the checks of learners and explanations."""
+    preds = " UNION ALL ".join(
+        f"""SELECT b.doc_id, '{name}' AS pipeline_id, predicted, label AS truth
+            FROM (WITH {bayes("w", repr(alpha))} SELECT * FROM best) b JOIN docs USING (doc_id)"""
+        for name, alpha in (("nb_smooth", 1.0), ("nb", 0.1)))
+    scored = f"""WITH {DOCS}, {bags()}, {tfidf(ALL_TRAIN)}, test AS (SELECT 0 AS v, doc_id FROM docs), preds AS ({preds})"""
+    columns = ", ".join(f"(lang = '{c}')::INT::DOUBLE AS {c}" for c in ("de", "en", "es", "fr"))
+    return {
+        "lines_corpus": f"""WITH {DOCS} SELECT d.doc_id AS page, lang AS label, 1950 + d.doc_id % 40 AS year, source AS newspaper,
+            2::BIGINT AS n_urls, md5(rtrim('text: ' || c.text)) AS digest FROM documents d JOIN docs c USING (doc_id)""",
+        "line_numbers": "SELECT 0::BIGINT AS low, count(*) - 1 AS high, count(*) AS n FROM documents",
+        "csv_corpus": """SELECT lang AS label, md5('"a", ' || text) AS digest, count(*) AS n FROM documents GROUP BY ALL""",
+        "stop_word_source": "SELECT DISTINCT source AS word FROM documents",
+        "prediction_sink": """SELECT doc_id::VARCHAR AS id, 'd' || (doc_id % 7) AS date, lang AS label, source AS newspaper,
+            1950 + doc_id % 3 AS year FROM documents""",
+        "corpus_store": "SELECT doc_id, lang AS label, md5(text) AS digest FROM documents WHERE lang = 'en'",
+        "token_store": """SELECT doc_id, len(list_filter(string_split(text, ' '), lambda w: w <> ''))::BIGINT AS n_tokens
+            FROM documents WHERE len(list_filter(string_split(text, ' '), lambda w: w <> '')) > 0""",
+        "model_store": f"{_full()} SELECT doc_id, predicted FROM best",
+        "score_pipelines": f"{scored} SELECT doc_id, pipeline_id, predicted, truth FROM preds",
+        "score_metrics": f"{scored}, {metrics('preds')} SELECT pipeline_id, {ROUNDED} FROM result",
+        "score_comparison": f"""{scored} SELECT pipeline_id, CASE WHEN predicted = truth THEN 'correct' ELSE 'wrong' END AS flag,
+            count(*) AS n FROM preds GROUP BY ALL""",
+        "selected_features": f"SELECT doc_id, digits_perc, sentences FROM ({known['style_basic']})",
+        "dict_vectoriser": f"SELECT doc_id, {columns}, n_chars::DOUBLE AS n_chars FROM documents",
+        "dict_keys": "SELECT DISTINCT lang AS feature FROM documents UNION SELECT 'n_chars'",
+        "text_svm_checks": """SELECT count(*) AS n_rows, count(*) AS n_docs, count(*) AS n_sums, count(*) AS n_positive,
+            count(*) AS n_labelled, 0::BIGINT AS n_over, (count(DISTINCT lang) * (count(DISTINCT lang) - 1) / 2)::BIGINT AS n_pairs
+            FROM documents""",
+        "importance_checks": "SELECT 64::BIGINT AS n_features, 64::BIGINT AS n_names, true AS adds_up, true AS positive",
+        "shap_checks": """SELECT n AS n_values, n AS n_exact, n AS n_full
+            FROM (SELECT count(*) * count(DISTINCT label) AS n FROM embeddings)""",
+        "lime_text_checks": "SELECT count(*) AS n_items, count(*) AS n_short, count(*) AS n_ranked, count(*) AS n_held FROM benchmark",
+    }
+
+
 def _grid() -> str:
     folds = "folds AS (SELECT doc_id, label, ntile(5) OVER (PARTITION BY label ORDER BY doc_id) - 1 AS fold FROM docs)"
     parts = []

@@ -17,6 +17,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .lookup import broadcast_small
+from .staging import settle
+
 ACCURACY = 10_000
 GRID = 1000
 
@@ -51,9 +54,10 @@ def exact_quantiles(
         .select("key", "i", "side", "rank", F.col("grid")[low_at].alias("low"), F.col("grid")[high_at].alias("high"))
     )
     brackets = wanted.groupBy("key").agg(F.collect_list(F.struct("i", "side", "rank", "low", "high")).alias("b"))
-    # one bracket row per key; keys are feature names, so this side stays small.
+    # one bracket row per key: broadcast if their counted size allows.
     # All rows below a bracket fold into its null entry, so one exchange serves both counts.
-    each = rows.join(F.broadcast(brackets), "key").select("key", "value", F.inline("b"))
+    brackets = settle(brackets)
+    each = rows.join(broadcast_small(brackets), "key").select("key", "value", F.inline("b"))
     counted = each.where(F.col("value") <= F.col("high")).groupBy(
         "key", "i", "side", "rank", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value")
     ).agg(F.count(F.lit(1)).alias("n"))

@@ -19,7 +19,7 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators import annotation, bayes, folds as fold_ops, labels as label_ops, learners, scaling, style, terms, vectors
+from ..operators import annotation, bayes, folds as fold_ops, labels as label_ops, learners, scaling, style, svm, terms, vectors
 from .staging import keep, settle
 
 TFIDF, STYLE, STYLE_TFIDF = "tfidf", "style", "style_tfidf"
@@ -40,6 +40,7 @@ class PipelineSpec:
     linguistic: Sequence[str] = tuple(style.LINGUISTIC)
     min_df: int = terms.MIN_DF
     ngram_range: tuple[int, int] = (1, 2)
+    blocks: Sequence[str] = ("Basic", "Quote", "Sentiment", "Linguistic")
 
 
 def prepare(spec: PipelineSpec, docs: DataFrame, raw: str = "raw_text") -> DataFrame:
@@ -58,12 +59,23 @@ def _unquoted(spec: PipelineSpec, docs: DataFrame) -> DataFrame:
 
 
 def style_blocks(spec: PipelineSpec, docs: DataFrame, tokens: DataFrame | None) -> dict[str, DataFrame]:
-    """Wide feature blocks by name; blocks without their input table are left out."""
-    blocks = {"Basic": style.basic_features(docs), "Quote": style.quote_features(docs)}
+    """Wide feature blocks by name: those of ``spec.blocks``; a block without its input table is an error."""
+    unknown = set(spec.blocks) - {"Basic", "Quote", "Sentiment", "Linguistic"}
+    if unknown:
+        raise ValueError(f"unknown feature block(s) {sorted(unknown)}")
+    if "Sentiment" in spec.blocks and spec.sentiment_lexicon is None:
+        raise ValueError("the Sentiment block needs a sentiment lexicon; leave it out of the spec's blocks otherwise")
+    if "Linguistic" in spec.blocks and tokens is None:
+        raise ValueError("the Linguistic block needs a token table; leave it out of the spec's blocks otherwise")
+    blocks = {}
     plain = _unquoted(spec, docs)
-    if spec.sentiment_lexicon is not None:
+    if "Basic" in spec.blocks:
+        blocks["Basic"] = style.basic_features(docs)
+    if "Quote" in spec.blocks:
+        blocks["Quote"] = style.quote_features(docs)
+    if "Sentiment" in spec.blocks:
         blocks["Sentiment"] = style.sentiment_features(plain, spec.sentiment_lexicon)
-    if tokens is not None:
+    if "Linguistic" in spec.blocks:
         lexicon = spec.lexicon if spec.lexicon is not None else style.lexicon_frame(docs.sparkSession)
         blocks["Linguistic"] = style.linguistic_features(tokens, plain, lexicon, selected=spec.linguistic)
     return blocks
@@ -134,6 +146,7 @@ class FittedPipeline:
     bayes: bayes.LongBayesModel | None = None
     learner: learners.FittedLearner | None = None
     space: vectors.VectorSpace | None = None
+    _weights: DataFrame | None = None
 
     def predict_proba(self, docs: DataFrame, tokens: DataFrame | None = None, raw: str = "raw_text") -> DataFrame:
         """(doc_id, predicted, proba) for (doc_id, raw text)."""
@@ -145,9 +158,36 @@ class FittedPipeline:
             return scores.select(
                 "doc_id", bayes.argmax_label(self.labels).alias("predicted"), bayes.softmax(len(self.labels)).alias("proba")
             )
-        scored = self.learner.transform(self.space.vectors(long, ids))
+        if self.linear:
+            scored = self.learner.named(self.learner.model.score_long(long, self.weights(), self.space.size, ids))
+        else:
+            scored = self.learner.transform(self.space.vectors(long, ids))
         return scored.select("doc_id", "predicted", "proba")
 
+    @property
+    def linear(self) -> bool:
+        """Linear support vectors score long features; no vector is built."""
+        return isinstance(self.learner.model, svm.PairwiseSvmModel) and self.learner.projection is None
+
+    def weights(self) -> DataFrame:
+        """(feature, w): the coefficients of every feature over all class pairs."""
+        if self._weights is None:
+            table = self.learner.model.coefficient_table(self.space.index.sparkSession)
+            self._weights = settle(self.space.index.join(table, "idx").select("feature", "w"))
+        return self._weights
+
+    def pair_weights(self, top: int = 10) -> DataFrame:
+        """The strongest features of every class pair; only a linear kernel has them."""
+        if self.learner is None or not self.linear:
+            raise ValueError("only linear support vectors have weights per feature")
+        return svm.pair_weights(self.space.index.sparkSession, self.learner.model, self.space.index, top)
+
+    def importances(self, top: int = 30) -> DataFrame:
+        """Relative importance of the features of a tree learner."""
+        if self.learner is None or self.learner.tag not in ("rf", "gb", "xgb", "lgbm"):
+            raise ValueError("only tree learners have importances")
+        return learners.importances(self.space.index.sparkSession, self.learner, self.space.index, top)
+
     def predict(self, docs: DataFrame, tokens: DataFrame | None = None, raw: str = "raw_text") -> DataFrame:
         return self.predict_proba(docs, tokens, raw).select("doc_id", "predicted")
 
@@ -252,7 +292,7 @@ def load(spark, path: str) -> FittedPipeline:
     root = path.rstrip("/")
     settings = json.loads(spark.read.text(f"{root}/settings").first().value)
     plain = settings["spec"]
-    for name in ("stop_words", "linguistic", "ngram_range"):
+    for name in ("stop_words", "linguistic", "ngram_range", "blocks"):
         plain[name] = tuple(plain[name])
     for name, present in settings["tables"].items():
         plain[name] = spark.read.parquet(f"{root}/{name}") if present else None

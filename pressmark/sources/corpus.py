@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import OTHER_SPACES
+from ..plans.lookup import broadcast_small
+from ..plans.staging import settle
 
 # The line format.
 LABEL_MARK = "__label__"
@@ -18,10 +20,6 @@ TOKEN_SCHEMA = (
 )
 
 
-class BadLine(ValueError):
-    """A line without label or text."""
-
-
 def with_line_numbers(lines: DataFrame) -> DataFrame:
     """Add ``doc_id``: 0-based position over files (by path) and lines.
 
@@ -32,10 +30,11 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
         "_start", F.col("_metadata.file_block_start")
     ).withColumn("_mid", F.monotonically_increasing_id())
     splits = placed.groupBy("_path", "_start").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    # one row per file split
+    # one row per file split, known by a hash of its path
     before = Window.partitionBy(F.lit(0)).orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
-    numbered = placed.join(F.broadcast(offsets.select("_path", "_start", "_offset")), ["_path", "_start"])
+    numbered = placed.withColumn("_file", F.xxhash64("_path", "_start")).join(
+        broadcast_small(settle(offsets.select(F.xxhash64("_path", "_start").alias("_file"), "_offset"))), "_file")
     return numbered.select((F.col("_mid") + F.col("_offset")).alias("doc_id"), *lines.columns)
 
 
@@ -93,11 +92,16 @@ def read_labelled_lines(
 
 
 def read_labelled_csv(
-    spark: SparkSession, path: str | Sequence[str], text_col: str = "text", label_col: str = "label"
+    spark: SparkSession, path: str | Sequence[str], text_col: str = "text", label_col: str = "label",
+    multi_line: bool = True,
 ) -> DataFrame:
-    """CSV with a header; the text and label columns are required, others are dropped."""
+    """CSV with a header; the text and label columns are required, others are dropped.
+
+    Texts may hold line feeds by default; then a file is one task.  ``multi_line=False`` lets Spark split
+    large files.
+    """
     paths = [path] if isinstance(path, str) else list(path)
-    rows = spark.read.csv(paths, header=True, multiLine=True, quote='"', escape='"')
+    rows = spark.read.csv(paths, header=True, multiLine=multi_line, quote='"', escape='"')
     missing = [c for c in (text_col, label_col) if c not in rows.columns]
     if missing:
         raise ValueError(f"column(s) {', '.join(missing)} not in the header")

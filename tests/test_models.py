@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pressmark.operators import bayes, comparison, explain, labels, learners, metrics, scaling, style, svm, terms, vectors
+from pressmark.operators import annotation, bayes, comparison, explain, labels, learners, metrics, scaling, style, svm, terms, vectors
 from pressmark.plans import lookup as lk, recipe, search
 from pressmark.plans.staging import keep
 
@@ -103,7 +103,7 @@ def test_recipe_equals_fused_path_and_survives_saving(spark, tmp_path):
 
 
 @pytest.mark.parametrize("learner,parameters", [
-    ("svc", {"kernel": "rbf", "fourier_size": 16, "max_iter": 5}), ("gb", {"n_estimators": 2, "max_depth": 2}),
+    ("svc", {"max_iter": 20}), ("svc", {"kernel": "rbf", "fourier_size": 16, "max_iter": 5}), ("gb", {"n_estimators": 2, "max_depth": 2}),
 ])
 def test_saved_learners_predict_the_same(spark, tmp_path, learner, parameters):
     articles = frame(spark, corpus(30)).withColumnRenamed("text", "raw_text")
@@ -114,6 +114,81 @@ def test_saved_learners_predict_the_same(spark, tmp_path, learner, parameters):
     assert all(a[d].predicted == b[d].predicted and np.allclose(a[d].proba, b[d].proba) for d in a)
 
 
+def test_linear_scores_need_no_vectors(spark):
+    articles = frame(spark, corpus(40)).withColumnRenamed("text", "raw_text")
+    model = recipe.fit(recipe.PipelineSpec(learner="svc", min_df=2, learner_parameters={"max_iter": 30}), articles)
+    docs = articles.select("doc_id", "raw_text").unionByName(spark.createDataFrame([(900, ""), (901, "zzz")], "doc_id bigint, raw_text string"))
+    long = model.features.transform(recipe.prepare(model.spec, docs))
+    a = {r.doc_id: r for r in model.learner.transform(model.space.vectors(long, docs.select("doc_id"))).collect()}
+    b = {r.doc_id: r for r in model.predict_proba(docs).collect()}
+    assert len(a) == len(b) == 42
+    assert all(a[d].predicted == b[d].predicted and np.allclose(a[d].proba, b[d].proba) and abs(sum(b[d].proba) - 1) < 1e-9 for d in a)
+    names = {r.feature: r.idx for r in model.space.index.collect()}
+    pairs = svm.class_pairs(len(model.labels))
+    weights = model.pair_weights(3).collect()
+    for r in weights:
+        p = pairs.index((model.labels.index(r["first"]), model.labels.index(r["second"])))
+        row = model.learner.model.coefficients[p]
+        assert row[names[r.feature]] == r.weight
+        same = row[np.sign(row) == np.sign(r.weight)]
+        assert (np.abs(same) > abs(r.weight) + 1e-15).sum() <= r["rank"] - 1
+    with pytest.raises(ValueError):
+        svm.pair_weights(spark, model.learner.model, ["too", "few"])
+    with pytest.raises(ValueError):
+        model.importances()
+
+
+def test_only_a_linear_kernel_has_weights(spark):
+    articles = frame(spark, corpus(30)).withColumnRenamed("text", "raw_text")
+    spec = recipe.PipelineSpec(learner="svc", learner_parameters={"kernel": "rbf", "fourier_size": 8, "max_iter": 3}, min_df=4)
+    with pytest.raises(ValueError):
+        recipe.fit(spec, articles).pair_weights()
+
+
+def test_importances_of_a_recipe_add_up(spark):
+    articles = frame(spark, corpus(40)).withColumnRenamed("text", "raw_text")
+    spec = recipe.PipelineSpec(learner="rf", learner_parameters={"n_estimators": 5, "max_depth": 4}, min_df=2)
+    model = recipe.fit(spec, articles)
+    rows = model.importances(10_000).collect()
+    assert len(rows) == model.space.size and abs(sum(r.importance for r in rows) - 1) < 0.02
+
+
+def test_style_recipes_ask_for_their_tables(spark):
+    articles = frame(spark, corpus(20)).withColumnRenamed("text", "raw_text")
+    lexicon = spark.createDataFrame([("een", 0.1, 0.2)], "word string, polarity double, subjectivity double")
+    for spec in (recipe.PipelineSpec(features="style", learner="nb"), recipe.PipelineSpec(features="style", learner="nb", sentiment_lexicon=lexicon)):
+        with pytest.raises(ValueError):
+            recipe.fit(spec, articles)
+    fitted = recipe.fit(recipe.PipelineSpec(features="style", learner="nb", blocks=("Basic", "Quote")), articles)
+    assert fitted.predict(articles).count() == 20
+
+
+def test_gradient_boosting_takes_the_square_root_by_default():
+    assert learners._subset("auto", "sqrt") == "sqrt" and learners._subset("auto") == "all"
+
+
+def test_explanations_take_large_ids_and_texts_without_words(spark):
+    docs = spark.createDataFrame([(2**62, "goed slecht"), (2**62 + 1, "goed"), (5, "?!"), (6, "")], "doc_id bigint, text string")
+
+    def predict_proba(rows):
+        p = F.when(F.contains("text", F.lit("goed")), 0.9).otherwise(0.2)
+        return rows.withColumn("proba", F.array(1 - p, p)).drop("text")
+
+    rows = explain.explain_text(docs, predict_proba, samples=50).collect()
+    best = {r.doc_id: r.feature for r in rows if r["rank"] == 1}
+    assert best == {2**62: "goed", 2**62 + 1: "goed"}
+    assert {(r.doc_id, r.feature, r["rank"]) for r in rows if r["rank"] == 0} == {(5, None, 0), (6, None, 0)}
+
+
+def test_long_cache_entries_are_not_broadcast_by_guess(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(60)], "doc_id bigint, text string")
+    token = F.struct(F.lit(0).alias("sent_idx"), F.lit(0).alias("tok_idx"), *[F.lit("x").alias(c) for c in ("word", "lemma", "morph", "pos", "ner")])
+    cache = docs.select(F.sha1("text").alias("sha")).distinct().withColumn("tokens", F.array_repeat(token, 5000))
+    for limit in (None, 0):
+        hits = annotation.cache_hits(docs, cache, limit_bytes=limit)
+        assert hits.count() == 60 and hits.where(F.size("tokens") == 5000).count() == 60
+
+
 def test_cross_validation_of_other_learners(spark):
     articles = frame(spark, corpus(40)).withColumnRenamed("text", "raw_text")
     spec = recipe.PipelineSpec(learner="rf", learner_parameters={"n_estimators": 5, "max_depth": 4}, min_df=2)

@@ -43,13 +43,29 @@ def test_stop_words(spark):
 
 
 def test_long_stop_list_gives_the_same(spark):
-    words = ["de", "en", "été"] + [f"w{i}" for i in range(tx.REGEX_STOP_WORDS)]
+    words = ["de", "en", "été"] + [f"w{i}" for i in range(300)]
     texts = ["De man en DE vrouw; den Haag en.", "Été w12  w7x ÉTÉ\tde", "", "  de  "]
     short = values(spark, texts, lambda c: tx.remove_stop_words(c, words[:100]))
     long = values(spark, texts, lambda c: tx.remove_stop_words(c, words))
     assert short == long == ["man vrouw; den Haag .", "w7x ", "", "  "]
 
 
+def test_stop_words_end_where_words_end(spark):
+    texts = ["de² man en½ het", "de‿huis de-en", "l'été de", "dé de"]
+    want = ["de² man en½ ", "‿huis -", "l'", "dé "]
+    for extra in (0, 300):
+        words = ["de", "en", "het", "été"] + [f"w{i}" for i in range(extra)]
+        assert values(spark, texts, lambda c: tx.remove_stop_words(c, words)) == want
+    # the pattern for lists with other characters has the same borders
+    assert values(spark, texts, lambda c: tx.remove_stop_words(c, ["de", "en", "het", "été", "a.b"])) == want
+
+
+def test_percent_is_cut_after_rounding_off_noise(spark):
+    """A recorded deviation: 0.57 prints as 57.00, although 0.57 * 10000 is a little below 5700 in binary."""
+    rows = spark.createDataFrame([(0.57,), (0.612,), (0.99999,), (-0.57,), (0.0,)], "s double")
+    assert [r[0] for r in rows.select(tx.truncated_percent(F.col("s"))).collect()] == [57.0, 61.2, 99.99, -57.0, 0.0]
+
+
 def test_basic_features_of_two_sentences(spark):
     text = "Dit is een willekeurige tekst waar wat basic features uitgehaald worden. Dit is de tweede zin."
     rows = spark.createDataFrame([(0, text), (1, ""), (2, "Hoe? 12 euro! €5")], "doc_id bigint, text string")
