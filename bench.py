@@ -9,7 +9,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pressmark.plans import queries as q  # noqa: E402
+from pressmark.plans import model_queries, queries as q  # noqa: E402
 from pressmark.plans.staging import release  # noqa: E402
 from pressmark.session import build_session  # noqa: E402
 
@@ -17,6 +17,7 @@ HEADLINE = [
     "clean_ocr", "style_basic", "stop_words", "labelled_line_parse", "duplicate_texts", "label_by_year",
     "kfold", "term_df", "tfidf_weights", "tfidf_scaled", "linguistic", "sentiment", "cache_misses",
     "nb_predict", "nb_cv_metrics", "bulk_score", "pipeline_metrics", "agreement_sets", "majority_vote",
+    "nb_grid", "nb_cv_scaled", "text_svm_predict",
 ]
 
 
@@ -28,7 +29,7 @@ def main() -> None:
         "spark.ui.showConsoleProgress": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")
-    registered = q.registered()
+    registered = {**q.registered(), **model_queries.registered()}
     chosen = sys.argv[1:] or HEADLINE
     registered["corpus_size"](spark, sf).collect()  # start the executors' threads
     times = {}

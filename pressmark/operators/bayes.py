@@ -90,8 +90,8 @@ class TextBayesModel:
         return self.scores(bags, docs, carry).select("doc_id", *carry, softmax(len(self.labels)).alias("proba"))
 
 
-def argmax_label(labels: Sequence[str], prefix: str = "score_") -> Column:
-    columns = [F.col(f"{prefix}{c}") for c in range(len(labels))]
+def argmax_label(labels: Sequence[str], prefix: str = "score_", first: int = 0) -> Column:
+    columns = [F.col(f"{prefix}{first + c}") for c in range(len(labels))]
     best = F.greatest(*columns) if len(columns) > 1 else columns[0]
     out = F.lit(labels[-1])
     for name, column in reversed(list(zip(labels, columns))):
@@ -121,15 +121,19 @@ class TextBayesStatistics:
     held_out: list[int | None]
 
     def model(self, alpha: float = ALPHA) -> TextBayesModel:
-        a = max(alpha, MIN_ALPHA)
+        return self.models([alpha])
+
+    def models(self, alphas: Sequence[float]) -> TextBayesModel:
+        """One model for several alphas: its classes are the classes under the first alpha, then the second, ..."""
         k, n_labels = len(self.held_out), len(self.labels)
         per_v = []
         for v in range(k):
             logs = []
-            for c in range(n_labels):
-                denominator = math.log(self.totals[v][c] + a * self.vocabulary[v])
-                seen = F.coalesce(F.col("s")[F.lit(c)][v], F.lit(0.0))
-                logs.append(F.log(seen + a) - F.lit(denominator))
+            for a in (max(alpha, MIN_ALPHA) for alpha in alphas):
+                for c in range(n_labels):
+                    denominator = math.log(self.totals[v][c] + a * self.vocabulary[v])
+                    seen = F.coalesce(F.col("s")[F.lit(c)][v], F.lit(0.0))
+                    logs.append(F.log(seen + a) - F.lit(denominator))
             per_v.append(F.array(*logs))
         table = settle(
             self.idf.join(self.sums, "term", "left").select(
@@ -140,9 +144,9 @@ class TextBayesStatistics:
             )
         )
         priors = [
-            [math.log(n) - math.log(sum(per)) if n else -math.inf for n in per] for per in self.documents
+            [math.log(n) - math.log(sum(per)) if n else -math.inf for n in per] * len(alphas) for per in self.documents
         ]
-        return TextBayesModel(table, self.n_terms, self.labels, priors, self.held_out)
+        return TextBayesModel(table, self.n_terms, self.labels * len(alphas), priors, self.held_out)
 
 
 def fit_text_bayes(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import text as tx
 from ..operators import annotation, bayes, comparison, folds, labels, metrics, scaling, style, terms
 from ..sources import archive, corpus
+from .search import NB_ALPHAS
 from .staging import keep, spread
 
 # Query parameters shared with the SQL side.
@@ -24,7 +25,7 @@ SENTIMENT_ROWS = [
 ]
 NEXT_LABEL = {"en": "fr", "fr": "de", "de": "es", "es": "en"}
 PIPELINES = ["p0", "p1", "p2"]
-ALPHAS = [0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0]
+ALPHAS = list(NB_ALPHAS)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
