@@ -53,19 +53,28 @@ def annotate(misses: DataFrame, tagger: Callable[[Iterator[pd.DataFrame]], Itera
     return tagger_input(misses).mapInPandas(tagger, ANNOTATED)
 
 
+def refresh_cache(docs: DataFrame, path: str, tagger: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+                  text: str = "text") -> DataFrame:
+    """The cache at ``path`` (made if there is none) after tagging the texts it lacks.
+
+    New annotations are appended; an append that fails leaves the old entries as they were, and the next
+    run tags what is still missing.  A text tagged twice by two runs keeps one entry.
+    """
+    spark = docs.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        spark.createDataFrame([], ANNOTATED).write.parquet(path)
+    read = lambda: spark.read.schema(ANNOTATED).parquet(path)
+    annotate(cache_misses(docs, read(), text), tagger).write.mode("append").parquet(path)
+    return read().dropDuplicates(["sha"])
+
+
 def annotated_tokens(docs: DataFrame, cache: DataFrame, text: str = "text") -> DataFrame:
     """tokens(doc_id, sent_idx, tok_idx, word, lemma, morph, pos, ner) without break rows."""
     rows = cache_hits(docs, cache, text).select("doc_id", F.inline("tokens"))
     return rows.dropna(how="any", subset=["word", "lemma", "morph", "pos", "ner"])
 
 
-def normalise_tokens(terms: DataFrame, dictionary: DataFrame, key: str = "word") -> DataFrame:
-    """Replace each token by its base form where dictionary(form, base) lists one."""
-    table = dictionary.select(F.col("form").alias(key), F.col("base").alias("_base")).dropDuplicates([key])
-    rows = lookup(terms, table, key, table.count(), how="left")
-    return rows.withColumn(key, F.coalesce("_base", key)).drop("_base")
-
-
 def normalise_text(docs: DataFrame, dictionary: DataFrame, text: str = "text") -> DataFrame:
     """Texts with every listed word replaced by its base form; all else stays in place.
 

@@ -161,14 +161,6 @@ def select_features(features: DataFrame, flags: Mapping[str, bool]) -> DataFrame
     return features.select("doc_id", *sorted(name for name, on in flags.items() if on))
 
 
-def style_features(blocks: Sequence[DataFrame]) -> DataFrame:
-    """Join feature blocks on doc_id; columns keep the order of the blocks."""
-    joined = blocks[0]
-    for block in blocks[1:]:
-        joined = joined.join(block, "doc_id")
-    return joined
-
-
 def to_long(features: DataFrame, block: str | None = None) -> DataFrame:
     """Wide numeric columns as (doc_id, feature, value), names prefixed ``block__``."""
     names = [c for c in features.columns if c != "doc_id"]

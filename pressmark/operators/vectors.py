@@ -40,9 +40,6 @@ class VectorSpace:
     index: DataFrame  # feature, idx
     size: int
 
-    def names(self) -> DataFrame:
-        return self.index
-
     def vectors(self, features: DataFrame, docs: DataFrame) -> DataFrame:
         """(*docs, features): a sparse vector per document, empty where nothing is known."""
         size = self.size

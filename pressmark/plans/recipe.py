@@ -19,7 +19,7 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators import annotation, bayes, folds as fold_ops, labels as label_ops, learners, scaling, style, svm, terms, vectors
+from ..operators import annotation, bayes, explain, folds as fold_ops, labels as label_ops, learners, scaling, style, svm, terms, vectors
 from .staging import keep, settle
 
 TFIDF, STYLE, STYLE_TFIDF = "tfidf", "style", "style_tfidf"
@@ -41,6 +41,7 @@ class PipelineSpec:
     min_df: int = terms.MIN_DF
     ngram_range: tuple[int, int] = (1, 2)
     blocks: Sequence[str] = ("Basic", "Quote", "Sentiment", "Linguistic")
+    steps: Sequence[Callable[[DataFrame], DataFrame]] = ()  # (doc_id, text, ...) -> the same, after all steps above
 
 
 def prepare(spec: PipelineSpec, docs: DataFrame, raw: str = "raw_text") -> DataFrame:
@@ -51,7 +52,11 @@ def prepare(spec: PipelineSpec, docs: DataFrame, raw: str = "raw_text") -> DataF
     if spec.stop_words:
         out = tx.remove_stop_words(out, spec.stop_words)
     rows = docs.select(*[c for c in docs.columns if c != raw], out.alias("text"))
-    return rows if spec.dictionary is None else annotation.normalise_text(rows, spec.dictionary)
+    if spec.dictionary is not None:
+        rows = annotation.normalise_text(rows, spec.dictionary)
+    for step in spec.steps:
+        rows = step(rows)
+    return rows
 
 
 def _unquoted(spec: PipelineSpec, docs: DataFrame) -> DataFrame:
@@ -150,9 +155,12 @@ class FittedPipeline:
 
     def predict_proba(self, docs: DataFrame, tokens: DataFrame | None = None, raw: str = "raw_text") -> DataFrame:
         """(doc_id, predicted, proba) for (doc_id, raw text)."""
-        prepared = prepare(self.spec, docs.select("doc_id", raw), raw)
+        return self.proba_of(prepare(self.spec, docs.select("doc_id", raw), raw), tokens)
+
+    def proba_of(self, prepared: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+        """(doc_id, predicted, proba) for texts that are prepared already."""
         long = self.features.transform(prepared, tokens)
-        ids = docs.select("doc_id")
+        ids = prepared.select("doc_id")
         if self.bayes is not None:
             scores = self.bayes.scores(long, ids)
             return scores.select(
@@ -188,6 +196,22 @@ class FittedPipeline:
             raise ValueError("only tree learners have importances")
         return learners.importances(self.space.index.sparkSession, self.learner, self.space.index, top)
 
+    def explain(self, docs: DataFrame, samples: int = explain.SAMPLES, top: int = explain.FEATURES, raw: str = "raw_text") -> DataFrame:
+        """(doc_id, class, feature, weight, rank): the words that speak for the predicted class.
+
+        Words are removed from the prepared text, so the recipe must work on text alone.
+        """
+        if self.spec.features != TFIDF:
+            raise ValueError("texts are explained for TF-IDF recipes; use explain.explain_rows for feature rows")
+
+        def proba(rows: DataFrame) -> DataFrame:
+            carried = [c for c in rows.columns if c != "text"]
+            return rows.select(*carried).join(self.proba_of(rows).select("doc_id", "proba"), "doc_id")
+
+        out = explain.explain_text(prepare(self.spec, docs.select("doc_id", raw), raw), proba, samples, top)
+        named = F.get(F.array(*[F.lit(n) for n in self.labels]), F.col("class_idx"))
+        return out.select("doc_id", named.alias("class"), "feature", "weight", "rank")
+
     def predict(self, docs: DataFrame, tokens: DataFrame | None = None, raw: str = "raw_text") -> DataFrame:
         return self.predict_proba(docs, tokens, raw).select("doc_id", "predicted")
 
@@ -261,6 +285,8 @@ def score(models: Mapping[str, FittedPipeline], articles: DataFrame, truth: str
 
 def save(model: FittedPipeline, path: str) -> None:
     """Write a fitted pipeline: its tables as parquet, its learner, one JSON line of settings."""
+    if model.spec.steps:
+        raise ValueError("a recipe with own steps cannot be saved: its functions are not data")
     spark = SparkSession.active()
     root = path.rstrip("/")
     if model.bayes is not None:
@@ -279,6 +305,7 @@ def save(model: FittedPipeline, path: str) -> None:
         if frame is not None:
             frame.write.parquet(f"{root}/{name}")
     plain = asdict(replace(model.spec, dictionary=None, sentiment_lexicon=None, lexicon=None))
+    del plain["steps"]
     settings = {
         "spec": plain, "tables": tables, "labels": model.labels,
         "priors": model.bayes.priors if model.bayes else None,

@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,56 @@ def test_long_cache_entries_are_not_broadcast_by_guess(spark):
         assert hits.count() == 60 and hits.where(F.size("tokens") == 5000).count() == 60
 
 
+def test_a_recipe_explains_its_predictions(spark):
+    articles = frame(spark, corpus(40)).withColumnRenamed("text", "raw_text")
+    spec = recipe.PipelineSpec(learner="nb", scaling=False, quote_removal=False, min_df=2, ngram_range=(1, 1))
+    model = recipe.fit(spec, articles)
+    rows = model.explain(articles.limit(6), samples=200, top=3).collect()
+    predicted = {r.doc_id: r.predicted for r in model.predict(articles).collect()}
+    texts = {r.doc_id: r.raw_text for r in articles.collect()}
+    assert {r.doc_id for r in rows} == {r.doc_id for r in articles.limit(6).collect()}
+    assert all(r["class"] == predicted[r.doc_id] and r.feature in texts[r.doc_id] and r["rank"] <= 3 for r in rows)
+    with pytest.raises(ValueError):
+        recipe.fit(recipe.PipelineSpec(features="style", learner="nb", blocks=("Basic",)), articles).explain(articles)
+
+
+def test_own_steps_run_after_the_others(spark, tmp_path):
+    articles = frame(spark, corpus(30)).withColumnRenamed("text", "raw_text")
+    spec = recipe.PipelineSpec(learner="nb", min_df=1, ngram_range=(1, 1), steps=[lambda d: d.withColumn("text", F.concat("text", F.lit(" extra")))])
+    model = recipe.fit(spec, articles)
+    assert "TFIDF__extra" in {r.feature for r in model.bayes.table.collect()}
+    with pytest.raises(ValueError):
+        recipe.save(model, str(tmp_path / "m"))
+
+
+def test_the_best_parameters_are_fitted_on_everything(spark):
+    articles = frame(spark, corpus(40)).withColumnRenamed("text", "raw_text")
+    spec = recipe.PipelineSpec(learner="nb", scaling=False, min_df=1, ngram_range=(1, 1))
+    table, best, model = search.search_recipes(spec, {"alpha": [0.1, 1000.0]}, articles, k=2)
+    rows = {r.params["alpha"]: r for r in table.collect()}
+    assert len(rows) == 2 and rows[str(best["alpha"])]["rank"] == 1
+    assert model.spec.learner_parameters["alpha"] == best["alpha"] and model.predict(articles).count() == 40
+
+
+def test_new_annotations_are_appended(spark, tmp_path):
+    def tagger(frames):
+        for f in frames:
+            yield pd.DataFrame({"sha": f["sha"], "tokens": [
+                [{"sent_idx": 0, "tok_idx": i, "word": w, "lemma": w, "morph": "", "pos": "N", "ner": "O"} for i, w in enumerate(t.split())]
+                for t in f["text"]]})
+
+    path = str(tmp_path / "cache")
+    first = spark.createDataFrame([(1, "een twee"), (2, "drie"), (3, "een twee")], "doc_id bigint, text string")
+    more = spark.createDataFrame([(4, "vier vijf zes"), (5, "drie")], "doc_id bigint, text string")
+    assert annotation.refresh_cache(first, path, tagger).count() == 2
+    files = spark.read.parquet(path).count()
+    cache = annotation.refresh_cache(first.unionByName(more), path, tagger)
+    assert files == 2 and spark.read.parquet(path).count() == 3 and cache.count() == 3
+    tokens = annotation.annotated_tokens(first.unionByName(more), cache).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in tokens} == {1: 2, 2: 1, 3: 2, 4: 3, 5: 1}
+    assert annotation.refresh_cache(more, path, tagger).count() == 3
+
+
 def test_cross_validation_of_other_learners(spark):
     articles = frame(spark, corpus(40)).withColumnRenamed("text", "raw_text")
     spec = recipe.PipelineSpec(learner="rf", learner_parameters={"n_estimators": 5, "max_depth": 4}, min_df=2)
