@@ -35,13 +35,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of near duplicates the row of the smallest doc_id stays, of equal ids one."""
+    """Of every component of near duplicates the row of the smallest doc_id stays; texts without words stay.
+
+    Of several rows with that id the smallest text hash stays, of equal rows one.
+    """
     groups = ngram_join.ngram_join(docs)
-    # a component's own row; texts without words have none and stay
-    kept = groups.where((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()).select("doc_id").distinct()
-    rows = docs.select(F.struct("*").alias("row"))
-    left = rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")
-    return left.dropDuplicates(["doc_id", "text"])
+    best = groups.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(
+        F.isnull("doc_id").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")).alias("b")).select("b.*")
+    rows = docs.select(
+        F.struct("*").alias("row"), F.isnull("doc_id").alias("none"),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"), F.xxhash64("text").alias("text_hash"),
+        F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words"))
+    # the join leaves equal rows in one place, so dropping copies moves nothing
+    key = ["none", "id", "text_hash"]
+    left = rows.where("words").join(best, key, "left_semi").dropDuplicates(key)
+    return left.select("row.*").unionByName(rows.where("NOT words").select("row.*"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -347,26 +347,26 @@ def _linked(key, cids, weights, sides, sets, percent) -> tuple[list, list, list]
 
 
 def ngram_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links), one row for each row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, n_links, text_hash, component), one row for each row of ``docs`` (doc_id, text).
 
     Words are white-space-separated, with A-Z in lower case.  A text of fewer words than ``gram`` has its
     whole sequence as its only n-gram; without words it has none and links with nothing.  Two rows link
     when 100 * shared >= percent * united n-grams.  ``component_id`` is the smallest doc_id reachable.
     Repeated rows and rows with one doc_id count one by one.  A row with a null doc_id links and is
-    counted, but gives no component its id; its own is null if no other can be reached.  Other columns
-    are ignored.
+    counted, but gives no component its id; its own is null if no other can be reached.  ``component`` tells
+    components apart that share a smallest id (null without words).  Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
     def member(batches):
         for batch, found in _sets(batches, gram, percent):
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(found.n.astype(np.int64)), pa.array(found.cid), pa.array(found.look.astype(np.int64))],
-                names=["doc_id", "n", "cid", "look"])
+                [column(batch, "doc_id"), column(batch, "text_hash"), pa.array(found.n.astype(np.int64)), pa.array(found.cid),
+                 pa.array(found.look.astype(np.int64))], names=["doc_id", "text_hash", "n", "cid", "look"])
 
-    members = settled(rows.mapInArrow(member, "doc_id bigint, n bigint, cid bigint, look bigint"), "members")
+    members = settled(rows.mapInArrow(member, "doc_id bigint, text_hash bigint, n bigint, cid bigint, look bigint"), "members")
     classes = settled(members.where("n > 0").groupBy("cid").agg(
-        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("look").alias("look")), "classes")
+        F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("look").alias("look")), "classes")
     total = classes.agg(F.sum("look")).first()[0] or 0
     found = clusters(rows, total, gram, percent).where("node >= 0")
     candidates = settled(classes.join(found.withColumnRenamed("node", "cid"), "cid"), "candidates")
@@ -375,14 +375,16 @@ def ngram_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Dat
         F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     placed = candidates.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     # one text stands for its class; the candidates' number has no bound, so they are never broadcast
-    texts = rows.join(placed.select("first", "cid", "component", "copies", "blocks", "block").hint("merge"),
-                      F.col("doc_id").eqNullSafe(F.col("first")))
+    chosen = placed.select(
+        F.col("row.doc_id").alias("row_id"), F.col("row.text_hash").alias("row_hash"), "cid", "component", "copies", "blocks", "block")
+    texts = rows.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("text_hash") == F.col("row_hash")))
     schema = "component bigint, cid bigint, copies bigint, blocks int, block int, grams binary"
 
     def own_sets(batches):
+        seen: set = set()
         for batch, sets in _sets(batches, gram, percent):
-            # a doc_id with several texts meets several classes: keep the right one
-            own = np.flatnonzero(column(batch, "cid").to_numpy() == sets.cid)
+            # rows repeated in full say the same once more
+            own = _fresh(sets, seen)
             yield pa.RecordBatch.from_arrays(
                 [column(batch, c).take(pa.array(own)) for c in ("component", "cid", "copies", "blocks", "block")]
                 + [pa.array([sets.hashes[sets.begin[i]:sets.begin[i] + sets.n[i]].tobytes() for i in own.tolist()], pa.binary())],
@@ -426,9 +428,9 @@ def ngram_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Dat
     labelled = classes.join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     per_class = labelled.join(smallest, "component").join(links, "cid", "left").select(
-        "cid", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        "cid", "component", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     own = F.when(F.col("n") > 0, F.col("cid"))
     return members.withColumn("cid", own).join(per_class, "cid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), "text_hash", F.when(F.col("n") > 0, F.col("component")).alias("component"))

@@ -58,7 +58,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return ngram_join.ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = ngram_join.ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,16 @@ def test_looked_at_parts_share_what_they_must():
     assert (np.diff(k) >= 0).all() and (k <= need).all() and (k >= 1).all() and (look >= k).all() and (look <= n).all()
 
 
+def test_many_texts_under_one_id_or_none(spark):
+    """No step pairs the rows of an id with all of its classes."""
+    made = [(None, t) for t in family()[:60]] + [(3, t) for t in family()[20:80]] + [(None, "a b c")] * 4
+    docs = spark.createDataFrame(made, "doc_id bigint, text string")
+    assert found(docs) == joined(texts(docs))
+    rows = ngram_join.ngram_join(docs).collect()
+    want = Counter(grams(t) for _, t in made)
+    assert len(rows) == len(made) and len({r["component"] for r in rows}) <= len(want)
+
+
 def test_no_documents_have_no_links(empty):
     assert ngram_join.ngram_join(empty).count() == 0
 
