@@ -35,8 +35,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         ledger.commit("2-delete", ledger.deletions(labels.where("toxic = 1").select("doc_id")))
     poor = labels.where("quality = 0 and toxic = 0").select("doc_id").distinct()
-    once = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
-    ledger.commit("3-revise", ledger.revisions(token_counts.count_tokens(once, versions)))
+    once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    # a text that stays the same needs no revision, so only changed ones are moved and counted
+    changed = docs.withColumn("once", once).where("once <> text").join(poor, "doc_id", "left_semi")
+    revised = changed.withColumn("text", F.col("once"))
+    ledger.commit("3-revise", ledger.revisions(token_counts.count_tokens(revised, versions)))
     return ledger.totals()
 
 
