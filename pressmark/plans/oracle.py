@@ -2,11 +2,39 @@
 
 from __future__ import annotations
 
-from ..functions import text as tx
-from ..operators import style
 from . import queries as q
 
-CLEAN = f"trim(regexp_replace(translate(text, '{tx.OCR_CHARS}', ''), '{tx.SPACES}', ' ', 'g'))"
+# The SQL side states its patterns and word classes itself, so that a wrong constant on either side shows.
+NOISE = "|_=()[]<>#/\\*~`«»®^°•★■{}™§♦±►и✓з□▼"
+BLANKS = (
+    r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+)
+TERM = r"[\p{L}\p{M}\p{N}_]{2,}"
+WORD = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]"
+SENTENCE = r"[^.!?]*[^.!?\s][^.!?]*(?:[.!?]+|$)"
+CURRENCY = "[$€£ƒ]"
+BASIC_NAMES = [
+    "question_marks_perc", "exclamation_marks_perc", "currency_symbols_perc", "digits_perc",
+    "sentences", "avg_sentence_length",
+]
+LINGUISTIC_NAMES = [
+    "adjectives_perc", "cogn_verbs_perc", "intensifiers_perc", "modal_adverbs_perc", "modal_verbs_perc",
+    "named_entities_perc", "number_perc", "pronoun_1_perc", "pronoun_2_perc", "pronoun_3_perc",
+    "unique_named_entities_perc",
+]
+# category -> (part-of-speech prefix, look up in lower case, feature name)
+CLASSES = {
+    "pronoun_1": ("VNW", False, "pronoun_1_perc"),
+    "pronoun_2": ("VNW", False, "pronoun_2_perc"),
+    "pronoun_3": ("VNW", False, "pronoun_3_perc"),
+    "modal_verb": ("WW", True, "modal_verbs_perc"),
+    "modal_adverb": ("BW", True, "modal_adverbs_perc"),
+    "intensifier": (None, True, "intensifiers_perc"),
+    "cogn_verb": ("WW", True, "cogn_verbs_perc"),
+}
+
+CLEAN = f"trim(regexp_replace(translate(text, '{NOISE}', ''), '{BLANKS}', ' ', 'g'))"
 DOCS = f"docs AS (SELECT doc_id, lang AS label, {CLEAN} AS text FROM documents)"
 
 
@@ -15,7 +43,7 @@ def _values(rows) -> str:
 
 
 def bags(source: str = "docs", prefix: str = "") -> str:
-    return f"""{prefix}toks AS (SELECT doc_id, regexp_extract_all(lower(text), '{tx.TERM}') AS t FROM {source}),
+    return f"""{prefix}toks AS (SELECT doc_id, regexp_extract_all(lower(text), '{TERM}') AS t FROM {source}),
 {prefix}grams AS (SELECT doc_id, unnest(list_concat(t, CASE WHEN len(t) >= 2
     THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term FROM {prefix}toks),
 {prefix}bags AS (SELECT doc_id, term, count(*) AS tf FROM {prefix}grams GROUP BY doc_id, term)"""
@@ -134,9 +162,9 @@ MEMBERS = f"""members AS (SELECT string_agg(pipeline_id, ',' ORDER BY pipeline_i
 EMB = """feats AS (SELECT vec_id AS doc_id, printf('e%02d', i - 1) AS feature, embedding[i]::DOUBLE AS value
     FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"""
 
-BASIC = f"""counts AS (SELECT doc_id, len(regexp_extract_all(text, '{tx.WORD}')) AS nw,
-    len(regexp_extract_all(text, '{tx.SENTENCE}')) AS ns, len(regexp_extract_all(text, '[?]')) AS nq,
-    len(regexp_extract_all(text, '!')) AS ne, len(regexp_extract_all(text, '{tx.CURRENCY}')) AS nc,
+BASIC = f"""counts AS (SELECT doc_id, len(regexp_extract_all(text, '{WORD}')) AS nw,
+    len(regexp_extract_all(text, '{SENTENCE}')) AS ns, len(regexp_extract_all(text, '[?]')) AS nq,
+    len(regexp_extract_all(text, '!')) AS ne, len(regexp_extract_all(text, '{CURRENCY}')) AS nc,
     len(regexp_extract_all(text, '\\p{{Nd}}')) AS nd FROM docs),
 basic AS (SELECT doc_id, CASE WHEN nw > 0 THEN nq / nw ELSE 0 END AS question_marks_perc,
     CASE WHEN nw > 0 THEN ne / nw ELSE 0 END AS exclamation_marks_perc,
@@ -144,7 +172,7 @@ basic AS (SELECT doc_id, CASE WHEN nw > 0 THEN nq / nw ELSE 0 END AS question_ma
     CASE WHEN nw > 0 THEN nd / nw ELSE 0 END AS digits_perc, ns::DOUBLE AS sentences,
     CASE WHEN ns > 0 THEN nw / ns ELSE 0 END AS avg_sentence_length FROM counts)"""
 
-TOKENS = f"""split AS (SELECT doc_id, unnest(regexp_extract_all(text, '{tx.WORD}')) AS word FROM docs),
+TOKENS = f"""split AS (SELECT doc_id, unnest(regexp_extract_all(text, '{WORD}')) AS word FROM docs),
 tagged AS (SELECT doc_id, word, substr(md5(word), 1, 1) AS c FROM split),
 tokens AS (SELECT doc_id, word, CASE WHEN c < '8' THEN lower(word) ELSE word END AS lemma,
     CASE WHEN regexp_matches(word, '^[0-9]+$') THEN 'TW(hoofd)' WHEN c < '4' THEN 'WW(pv)' WHEN c < '8' THEN 'ADJ(prenom)'
@@ -153,7 +181,7 @@ tokens AS (SELECT doc_id, word, CASE WHEN c < '8' THEN lower(word) ELSE word END
 
 
 def _share(category: str) -> str:
-    prefix, any_case = style.CATEGORIES[category]
+    prefix, any_case, _ = CLASSES[category]
     words = ", ".join(f"'{w}'" for w in q.LEXICON[category].split())
     test = f"{'lower(lemma)' if any_case else 'lemma'} IN ({words})"
     return test if prefix is None else f"pos LIKE '{prefix}%' AND {test}"
@@ -161,18 +189,18 @@ def _share(category: str) -> str:
 
 _COUNTS = {
     "adjectives_perc": "pos LIKE 'ADJ%'", "number_perc": "pos LIKE 'TW%'", "named_entities_perc": "ner LIKE 'B%'",
-    **{name: _share(c) for c, name in style._SHARE_OF.items()},
+    **{name: _share(c) for c, (_, _, name) in CLASSES.items()},
 }
-LINGUISTIC = f"""nw AS (SELECT doc_id, len(regexp_extract_all(text, '{tx.WORD}')) AS n FROM docs),
+LINGUISTIC = f"""nw AS (SELECT doc_id, len(regexp_extract_all(text, '{WORD}')) AS n FROM docs),
 ling AS (SELECT doc_id, {', '.join(f"count(*) FILTER ({c}) AS {n}" for n, c in _COUNTS.items())},
     count(DISTINCT CASE WHEN ner LIKE 'B%' THEN lower(lemma) END) AS unique_named_entities_perc
     FROM tokens GROUP BY doc_id),
 linguistic AS (SELECT nw.doc_id, {', '.join(
-    f"CASE WHEN n > 0 THEN coalesce({c}, 0) / n ELSE 0 END AS {c}" for c in style.LINGUISTIC)}
+    f"CASE WHEN n > 0 THEN coalesce({c}, 0) / n ELSE 0 END AS {c}" for c in LINGUISTIC_NAMES)}
     FROM nw LEFT JOIN ling USING (doc_id))"""
 
 SENTI = f"""lex(word, polarity, subjectivity) AS (VALUES {_values(q.SENTIMENT_ROWS)}),
-lower_words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{tx.WORD}')) AS word FROM docs),
+lower_words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM docs),
 means AS (SELECT doc_id, avg(polarity) AS polarity, avg(subjectivity) AS subjectivity
           FROM lower_words JOIN lex USING (word) GROUP BY doc_id),
 sentiment AS (SELECT d.doc_id, coalesce(polarity, 0) AS polarity, coalesce(subjectivity, 0) AS subjectivity
@@ -191,11 +219,11 @@ _WORDS = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+"
 def statements() -> dict[str, str]:
     preds = predictions()
     preds_unl = predictions(True)
-    sentences = f"list_transform(regexp_extract_all(text, '{tx.SENTENCE}'), lambda s: s)"
+    sentences = f"list_transform(regexp_extract_all(text, '{SENTENCE}'), lambda s: s)"
     out = {
         "clean_ocr": f"WITH {DOCS} SELECT doc_id, md5(text) AS digest, length(text)::BIGINT AS n FROM docs",
         "style_basic": f"WITH {DOCS}, {BASIC} SELECT doc_id, "
-        + ", ".join(f"round({c}, 9) AS {c}" for c in style.BASIC) + " FROM basic",
+        + ", ".join(f"round({c}, 9) AS {c}" for c in BASIC_NAMES) + " FROM basic",
         "stop_words": f"""WITH {DOCS} SELECT doc_id, md5(array_to_string(list_filter(regexp_extract_all(text, '{_PART}'),
             lambda p: lower(rtrim(p)) NOT IN ({_STOPS})), '')) AS digest FROM docs""",
         "lowercase": f"WITH {DOCS} SELECT doc_id, md5(lower(text)) AS digest FROM docs",
@@ -256,7 +284,7 @@ def statements() -> dict[str, str]:
         "sentiment": f"""WITH {DOCS}, {SENTI} SELECT doc_id, round(polarity, 9) AS polarity,
             round(subjectivity, 9) AS subjectivity FROM sentiment""",
         "linguistic": f"WITH {DOCS}, {TOKENS}, {LINGUISTIC} SELECT doc_id, "
-        + ", ".join(f"round({c}, 9) AS {c}" for c in style.LINGUISTIC) + " FROM linguistic",
+        + ", ".join(f"round({c}, 9) AS {c}" for c in LINGUISTIC_NAMES) + " FROM linguistic",
         "entity_frequency": f"WITH {DOCS}, {TOKENS} SELECT lemma AS entity, count(*) AS n FROM tokens WHERE ner LIKE 'B%' GROUP BY lemma",
         "maximal_entities": f"""WITH {DOCS}, {TOKENS},
             e AS (SELECT doc_id, list(DISTINCT lower(lemma)) AS l FROM tokens WHERE ner LIKE 'B%' GROUP BY doc_id),
@@ -265,7 +293,7 @@ def statements() -> dict[str, str]:
             SELECT doc_id, len(l) AS n_entities, array_to_string(top, '|') AS maximal,
                    array_to_string(list_filter(l, lambda x: NOT list_contains(top, x)), '|') AS contained FROM m""",
         "feature_union": f"""WITH {DOCS}, {BASIC}, {bags()}, {tfidf(ALL_TRAIN)},
-            u AS ({_long('basic', 'Basic', style.BASIC)} UNION ALL SELECT doc_id, 'TFIDF__' || term, w FROM w)
+            u AS ({_long('basic', 'Basic', BASIC_NAMES)} UNION ALL SELECT doc_id, 'TFIDF__' || term, w FROM w)
             SELECT doc_id, feature, round(value, 6) AS value FROM u""",
         "cache_misses": """SELECT DISTINCT sha1(text) AS sha FROM documents WHERE sha1(text) NOT IN
             (SELECT sha1(text) FROM documents JOIN labels USING (doc_id))""",
