@@ -8,6 +8,9 @@ from ..plans.lookup import broadcast_small
 
 UNLABELLED = "UNL"
 
+# Classes a model may have; what is kept per class stays small.
+MAX_LABELS = 10_000
+
 
 def label_dictionary(articles: DataFrame, label: str = "label") -> DataFrame:
     """(label_idx, label): sorted distinct labels, numbered from 0.
@@ -27,8 +30,10 @@ def label_dictionary(articles: DataFrame, label: str = "label") -> DataFrame:
 
 
 def label_list(articles: DataFrame, label: str = "label") -> list[str]:
-    """The dictionary on the driver (one entry per class)."""
-    found = [r.label for r in label_dictionary(articles, label).orderBy("label_idx").collect()]
+    """The dictionary on the driver: one entry per class, at most MAX_LABELS."""
+    found = [r.label for r in label_dictionary(articles, label).orderBy("label_idx").limit(MAX_LABELS + 1).collect()]
+    if len(found) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} distinct values in {label!r}: that is no label")
     if not found:
         raise ValueError("the corpus holds no label")
     return found

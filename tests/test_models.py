@@ -386,6 +386,14 @@ def test_grid_search(spark):
     assert search.top_candidates(seen, 1).count() == 1
 
 
+def test_a_column_of_ids_is_no_label(spark, monkeypatch):
+    monkeypatch.setattr(labels, "MAX_LABELS", 5)
+    rows = spark.range(6).select(F.col("id").cast("string").alias("label"))
+    assert labels.label_list(rows.limit(5)) == ["0", "1", "2", "3", "4"]
+    with pytest.raises(ValueError):
+        labels.label_list(rows)
+
+
 def test_chi2_by_hand(spark):
     w = spark.createDataFrame([(0, "t", 1.0), (1, "t", 3.0)], "doc_id bigint, term string, w double")
     y = spark.createDataFrame([(0, "A"), (1, "B"), (2, "B"), (3, "B")], "doc_id bigint, label string")
