@@ -8,7 +8,7 @@
 The rows are read twice; keep them if they are costly to compute.
 
 The brackets are wide enough for the sketch's error; should one still miss its
-rank the job fails instead of returning a wrong value.
+rank, the keys concerned go through both steps again with a finer sketch.
 """
 
 from __future__ import annotations
@@ -21,7 +21,10 @@ from .lookup import broadcast_small
 from .staging import settle
 
 ACCURACY = 10_000
+FINEST = 2_000_000_000
 GRID = 1000
+# Bracket width on either side, in errors of the sketch.
+MARGIN = 5.0
 
 
 def exact_quantiles(
@@ -32,8 +35,21 @@ def exact_quantiles(
     ``total`` (an expression on ``key``) is the number of values of the key when
     the rows leave out zeros; every given value must then be >= 0.
     """
+    found = settle(_bracketed(rows, probabilities, total, accuracy))
+    missed = found.where("missed").select("key")
+    right = found.where("NOT missed").select("key", "q")
+    if missed.isEmpty():
+        return right
+    if accuracy >= FINEST:
+        raise ValueError("the values of a key have no order to take quantiles of")
+    again = rows.join(broadcast_small(missed), "key", "left_semi")
+    return right.unionByName(exact_quantiles(again, probabilities, total, min(FINEST, accuracy * 100)))
+
+
+def _bracketed(rows: DataFrame, probabilities: Sequence[float], total: Column | None, accuracy: int) -> DataFrame:
+    """(key, q, missed): one round; ``missed`` where a bracket did not hold its rank."""
     p = list(probabilities)
-    margin = 5.0 / accuracy
+    margin = MARGIN / accuracy
     points = ",".join(f"{i / GRID!r}D" for i in range(GRID + 1))
     sketch = f"percentile_approx(value, array({points}), {accuracy})"
     sizes = rows.groupBy("key").agg(F.count("value").alias("given"), F.expr(sketch).alias("grid"))
@@ -77,12 +93,7 @@ def exact_quantiles(
 
     def statistic(i: int, q: float, side: int) -> Column:
         rank = (F.floor if side == 0 else F.ceil)(F.lit(q) * (n - 1)) - zeros
-        found = F.try_element_at("hit", F.lit(2 * i + side))
-        return (
-            F.when(rank < 0, F.lit(0.0))
-            .when(found.isNull(), F.raise_error("quantile bracket missed its rank").cast("double"))
-            .otherwise(found)
-        )
+        return F.when(rank < 0, F.lit(0.0)).otherwise(F.try_element_at("hit", F.lit(2 * i + side)))
 
     quantiles = []
     for i, q in enumerate(p):
@@ -90,4 +101,5 @@ def exact_quantiles(
         fraction = position - F.floor(position)
         a, b = statistic(i, q, 0), statistic(i, q, 1)
         quantiles.append(a + (b - a) * fraction)
-    return out.select("key", F.array(*quantiles).alias("q"))
+    q = F.array(*quantiles)
+    return out.select("key", q.alias("q"), F.exists(q, lambda x: x.isNull()).alias("missed"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pressmark.operators import folds
 from pressmark.plans import lookup as lk, ranks
+from pressmark.plans import quantiles
 from pressmark.plans.quantiles import exact_quantiles
 
 
@@ -43,6 +44,19 @@ def test_quantiles_match_numpy(spark):
         assert np.allclose(got[k], np.quantile(vs, p), atol=1e-12)
 
 
+def test_a_missed_bracket_is_refined(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "MARGIN", 0.0)
+    rng = np.random.default_rng(8)
+    values = {k: np.sort(rng.normal(size=n) ** 3) for k, n in (("a", 4000), ("b", 3), ("c", 1))}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "key string, value double")
+    p = [0.1, 0.5, 0.9]
+    first = quantiles._bracketed(df, p, None, 5).where("missed")
+    assert first.count() > 0, "a sketch this coarse must miss"
+    got = {r.key: list(r.q) for r in exact_quantiles(df, p, accuracy=5).collect()}
+    for k, vs in values.items():
+        assert np.allclose(got[k], np.quantile(vs, p), atol=1e-12)
+
+
 def test_quantiles_with_left_out_zeros(spark):
     rng = np.random.default_rng(3)
     given = rng.random(700)
