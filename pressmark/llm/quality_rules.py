@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.lookup import broadcast_small
 from .common import let, settled
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -146,27 +147,42 @@ def judged(
     Null and empty texts fail the base rules.  A null stratum is a stratum of its own.  Rows with a null
     or repeated doc_id are judged like any other.  Empty labels: only the base rules hold.
     """
-    measured = settled(docs.select(
-        F.col("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
-        F.xxhash64("text").alias("text_hash"), measures(F.col("text")).alias("m"),
+    measured = _measured(docs, stratum)
+    cutoffs = settled(thresholds(measured, labels, risk, delta), "cutoffs")
+    found = _verdict(measured, cutoffs)
+    return found.select("doc_id", "text_hash", *MEASURES, "base_failed", "kept")
+
+
+def _measured(docs: DataFrame, stratum: str) -> DataFrame:
+    return settled(docs.select(
+        F.col("doc_id"), _stratum(stratum).alias("stratum"), F.xxhash64("text").alias("text_hash"),
+        measures(F.col("text")).alias("m"),
     ).select("doc_id", "stratum", "text_hash", "m.*"), "measures")
-    cutoffs = thresholds(measured, labels, risk, delta)
-    # one row a stratum; a hot stratum is a matter of the larger side, which AQE splits or leaves in place
-    judged_ = measured.join(cutoffs, "stratum", "left").withColumn("base_failed", base_failed())
+
+
+def _stratum(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def _verdict(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Add base_failed and kept; the cutoffs, one row a stratum, go to every task if their counted size allows."""
     exceeds = F.lit(False)
     for rule in RULES:
         exceeds = exceeds | F.coalesce(ratio(rule) > F.col(rule), F.lit(False))
-    return judged_.select("doc_id", "text_hash", *MEASURES, "base_failed", (~F.col("base_failed") & ~exceeds).alias("kept"))
+    rows = measured.join(broadcast_small(cutoffs), "stratum", "left").withColumn("base_failed", base_failed())
+    # one condition, so that no part of it is evaluated a second time below the join
+    return rows.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(~exceeds))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns unchanged."""
-    bad = judged(docs, labels, stratum).where(~F.col("kept")).select(
-        F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(
-        bad, F.col("row.doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("row.text") == F.col("bad_hash")), "left_anti",
-    ).select("row.*")
+    """The rows of ``docs`` that are kept, with their columns unchanged.
+
+    The texts are measured again where they stand: that costs less than bringing all of them together
+    with their verdicts.
+    """
+    cutoffs = settled(thresholds(_measured(docs, stratum), labels), "cutoffs")
+    rows = docs.select(F.struct("*").alias("row"), _stratum(stratum).alias("stratum"), measures(F.col("text")).alias("m"))
+    return _verdict(rows.select("row", "stratum", "m.*"), cutoffs).where("kept").select("row.*")
 
 
 def statement(risk: float = RISK, delta: float = DELTA) -> str:
