@@ -99,6 +99,51 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LIN
         *[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in own], "n_chunks", "n_removed")
 
 
+def neighbours(text: Column) -> Column:
+    """A digest of every pair of neighbouring lines in order; null where both are blank."""
+
+    def digests(lines: Column) -> Column:
+        n = F.size(lines) - 1
+        return F.zip_with(F.slice(lines, 1, n), F.slice(lines, 2, n), lambda a, b: F.when(
+            F.concat(a, b).rlike(r"[^\s]"), F.unhex(F.sha2(F.concat_ws("\n", a, b), 256))))
+
+    return let(F.split(text, "\n"), digests)
+
+
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, any others) without repeated runs of two or more lines, plus n_lines and n_removed.
+
+    A run repeats if each of its pairs of neighbouring lines stands at an earlier place too, whatever
+    surrounds it; a pair that overlaps its own first place does not repeat it.  Places are ordered, and
+    rows, other columns, null and empty texts treated, as in ``line_dedup``.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
+    here = F.struct("doc_id", "text_hash", "place")
+    places = rows.select("doc_id", "text_hash", F.posexplode(neighbours(F.col("row.text"))).alias("place", "digest")).where(
+        F.col("digest").isNotNull())
+    first = places.groupBy("digest").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(
+        ~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first")
+    overlaps = F.struct("doc_id", "text_hash", (F.col("place") - 1).alias("place")).eqNullSafe(F.col("first"))
+    gone = places.join(first, "digest").where(~here.eqNullSafe(F.col("first")) & ~overlaps).groupBy(
+        F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).agg(F.collect_set("place").alias("pairs"))
+    joined = rows.join(
+        gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")
+    out = F.array_union(F.col("pairs"), F.transform("pairs", lambda i: i + 1))
+
+    def without(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out)
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    text = F.when(F.col("pairs").isNull(), F.col("row.text")).otherwise(let(F.split("row.text", "\n"), without))
+    done = joined.select(
+        "row", text.alias("text"),
+        F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.split("row.text", "\n"))).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size(out), F.lit(0)).cast("bigint").alias("n_removed"))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return done.select(
+        *[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in own], "n_lines", "n_removed")
+
+
 def statement(divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> str:
     """The same rows from DuckDB: doc_id, n_chunks, n_removed, text."""
     rolled = " + ".join(

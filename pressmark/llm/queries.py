@@ -23,6 +23,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chunks", "n_removed", "text")
 
 
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated runs of two or more lines, which op1's chunks mostly leave."""
+    found = line_dedup.passage_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after inserting all documents, deleting the toxic ones and revising those of low quality.
 
@@ -97,7 +103,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith(("op", "passage")) and callable(f)}
 
 
 def statements() -> dict[str, str]:

@@ -80,6 +80,47 @@ def test_line_dedup_keeps_other_columns_and_rows(odd, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def without_passages(rows, hashes):
+    """Brute force over pairs of neighbouring lines; rows are (doc_id, text)."""
+    key = lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]])
+    first, out = {}, {}
+    for doc in sorted({r for r in rows if r[1] is not None}, key=key):
+        lines, gone = doc[1].split("\n"), set()
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            if re.search(r"[^\s]", "".join(pair), re.A) and first.setdefault(pair, (doc, i)) not in [(doc, i), (doc, i - 1)]:
+                gone |= {i, i + 1}
+        out[doc] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone))
+    return [(r[0], *out.get(r, (None, 0, 0))) for r in rows]
+
+
+def test_passage_dedup_equals_brute_force(spark, odd, small, empty):
+    made = ["a\nb\nc", "x\nb\nc\ny", "s\ns\ns\ns\ns", "s\ns", "\n\n\n\n", "c\ny", "p\n\nq", "r\np\n\nq"]
+    docs = odd.select("doc_id", "text").unionByName(small.select("doc_id", "text")).unionByName(
+        spark.createDataFrame([(1000 + i, t) for i, t in enumerate(made)], "doc_id bigint, text string"))
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    found = [tuple(r) for r in line_dedup.passage_dedup(docs).select("doc_id", "text", "n_lines", "n_removed").collect()]
+    assert Counter(found) == Counter(without_passages(texts(docs), hashes))
+    got = {i: t for i, t, _, _ in found}
+    assert [got[1000 + i] for i in range(4)] == ["a\nb\nc", "x\ny", "s\ns", ""]
+    whole = line_dedup.passage_dedup(odd)
+    assert whole.columns == [*odd.columns, "n_lines", "n_removed"] and whole.count() == odd.count()
+    assert line_dedup.passage_dedup(empty).count() == 0
+
+
+def test_shared_passages_go_at_every_length(spark):
+    """Unlike surroundings: the second place of a passage goes whole, its surroundings stay."""
+    rows, want = [], {}
+    for n in (2, 3, 4, 5, 8, 10, 30):
+        for s in range(10):
+            block = [f"{prose(8, s)} {n}.{s}.{i}" for i in range(n)]
+            for k in range(2):
+                around = [[f"{side}{n}.{s}.{k}.{i} {prose(6, i)}" for i in range(5)] for side in "pq"]
+                rows.append((len(rows), "\n".join(around[0] + block + around[1])))
+                want[rows[-1][0]] = "\n".join(around[0] + around[1]) if k else rows[-1][1]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert dict(texts(line_dedup.passage_dedup(docs))) == want
+
+
 # --- quality rules --------------------------------------------------------------------
 
 
