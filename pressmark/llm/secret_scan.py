@@ -20,8 +20,10 @@ ASSIGN_CHARS = 6
 
 WINDOW = 20
 CANDIDATE = f"[A-Za-z0-9+/_-]{{{WINDOW},}}"
-#: Bits a character: digits with a-f, and letters mixed with digits.  Other classes are prose.
+#: Bits a character: digits with a-f in either case, one case with digits, and letters mixed with digits.
+#: Other classes are prose.
 HEX_BITS = 3.0
+ONE_CASE_BITS = 3.4
 MIXED_BITS = 3.75
 #: A candidate that holds one of these is documentation or a counter, not a secret.
 ALLOWED = ["EXAMPLE", "example", "0123456789", "1234567890", "abcdefghij", "ABCDEFGHIJ", "xxxxxxxx", "XXXXXXXX", "00000000"]
@@ -102,7 +104,8 @@ def suspicious(value: Column, allowed: list[str]) -> Column:
     for word in allowed:
         listed = listed | value.contains(word)
     letters = value.rlike("[A-Za-z]") & value.rlike("[0-9]")
-    bits = F.when(value.rlike("^[0-9a-f]+$"), HEX_BITS).otherwise(MIXED_BITS)
+    bits = F.when(value.rlike("^[0-9A-Fa-f]+$"), HEX_BITS).when(
+        value.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), ONE_CASE_BITS).otherwise(MIXED_BITS)
     return letters & ~listed & F.when(letters & ~listed, peak_entropy(value) >= bits).otherwise(False)
 
 
