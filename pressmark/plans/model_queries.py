@@ -58,7 +58,7 @@ def rf_predict(spark, sf):
 
 
 def gb_predict(spark, sf):
-    return _predictions(spark, sf, "gb", n_estimators=10)
+    return _predictions(spark, sf, "gb")
 
 
 def xgb_linear_predict(spark, sf):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pressmark.operators import annotation, bayes, comparison, explain, labels, learners, metrics, scaling, style, svm, terms, vectors
-from pressmark.plans import lookup as lk, recipe, search
+from pressmark.plans import lookup as lk, model_queries, recipe, search
 from pressmark.plans.staging import keep
 
 WORDS = "aap noot mies wim zus jet teun vuur gijs lam kees bok".split()
@@ -334,6 +334,19 @@ def test_learners_separate(spark, tag, parameters):
     assert all(abs(sum(r.proba) - 1) < 1e-6 for r in out)
 
 
+def test_boosting_query_fits_the_default_rounds(spark, monkeypatch):
+    """The query takes the learner's 100 rounds (only the fit is replaced, by one of a single round)."""
+    rounds, fit = [], learners.fit_learner
+
+    def counted(tag, train, names, dim, **parameters):
+        rounds.append((tag, learners.parameters(tag, **parameters).n_estimators))
+        return fit(tag, train, names, dim, n_estimators=1, max_depth=1)
+
+    monkeypatch.setattr(learners, "fit_learner", counted)
+    out = model_queries.gb_predict(spark, "/root/testdata/sf0.001")
+    assert rounds == [("gb", 100)] and out.columns == ["doc_id", "truth", "predicted", "confidence"]
+
+
 def test_learner_registry():
     with pytest.raises(ValueError, match="unknown learner"):
         learners.parameters("knn")
