@@ -42,9 +42,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ledger.commit("2-delete", ledger.deletions(labels.where("toxic = 1").select("doc_id")))
     poor = labels.where("quality = 0 and toxic = 0").select("doc_id").distinct()
     once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
-    # a text that stays the same needs no revision, so only changed ones are moved and counted
-    changed = docs.withColumn("once", once).where("once <> text").join(poor, "doc_id", "left_semi")
-    revised = changed.withColumn("text", F.col("once"))
+    # an id whose texts all stay the same needs no revision; of any other all rows are revised, as
+    # a revision takes back all that is known under its id
+    changed = docs.where(once != F.col("text")).select("doc_id").join(poor, "doc_id", "left_semi").distinct()
+    revised = docs.join(changed, "doc_id", "left_semi").withColumn("text", once)
     ledger.commit("3-revise", ledger.revisions(token_counts.count_tokens(revised, versions)))
     return ledger.totals()
 

@@ -13,7 +13,7 @@ from helpers_llm import texts
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pressmark.llm import bpe_codec, packing, token_counts
+from pressmark.llm import bpe_codec, packing, queries, token_counts
 from pressmark.llm.queries import BYTE_RANKS, MULTI_RANKS, WORD_BPE
 from pressmark.llm.word_bpe import WordEncoder
 
@@ -156,6 +156,19 @@ def test_the_ledger_equals_a_recount(spark, odd, small, tmp_path):
     assert ledger.committed() == ["0", "1", "2"]
 
 
+def test_texts_that_stay_are_kept_under_a_revised_id(spark, tmp_path):
+    """Two texts under one poor id, only one of them with repeated lines: both are counted after the revision."""
+    rows = [(1, "a b\na b", "s", "en"), (1, "other words", "t", "en"), (1, None, "u", "en"), (2, "stays", "s", "en"), (3, "x\nx", "s", "en")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0), (2, 0, 0), (3, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    enc = reference(BYTE_RANKS)
+    size = lambda *found: (len(found), sum(len(enc.encode_ordinary(t)) for t in found))
+    got = {r["source"]: (r["n_docs"], r["n_tokens"]) for r in queries.op2_token_counts(spark, str(tmp_path)).collect()
+           if r["tokenizer"] == "byte_bpe_50k"}
+    assert got == {"s": size("a b", "stays", "x\nx"), "t": size("other words"), "u": size("")}
+
+
 def test_a_batch_left_half_written_is_written_anew(spark, small, tmp_path):
     ledger = token_counts.Ledger(spark, str(tmp_path / "l"))
     counts = token_counts.count_tokens(small, {"a": BYTE_RANKS})
