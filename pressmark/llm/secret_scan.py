@@ -2,8 +2,8 @@
 
 Known forms are the base patterns.  Beyond them a candidate string of one character class is
 reported if the Shannon entropy of some window reaches the class's threshold; the entropy follows
-from counts that change by one character entering and one leaving.  Allow-listed strings are never
-candidates.
+from counts that change by one character entering and one leaving.  Known forms and tokens that hold
+an allow-listed word are cut out of a candidate; what is left is judged on its own.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ CANDIDATE = f"[A-Za-z0-9+/_-]{{{WINDOW},}}"
 HEX_BITS = 3.0
 ONE_CASE_BITS = 3.4
 MIXED_BITS = 3.75
-#: A candidate that holds one of these is documentation or a counter, not a secret.
+#: A token that holds one of these is documentation or a counter, not a secret.
 ALLOWED = ["EXAMPLE", "example", "0123456789", "1234567890", "abcdefghij", "ABCDEFGHIJ", "xxxxxxxx", "XXXXXXXX", "00000000"]
 
 BLOCK = 256
@@ -99,14 +99,43 @@ def peak_entropy(value: Column, window: int = WINDOW) -> Column:
     return let(F.split(value, ""), slide)
 
 
-def suspicious(value: Column, allowed: list[str]) -> Column:
-    listed = F.lit(False)
-    for word in allowed:
-        listed = listed | value.contains(word)
+def allowed_token(allowed: list[str]) -> str:
+    """Pattern of a token, as delimited by / _ and -, that holds an allow-listed word."""
+    words = "|".join(rf"\Q{word}\E" for word in allowed)
+    return f"(?<![A-Za-z0-9+])[A-Za-z0-9+]*(?:{words})[A-Za-z0-9+]*"
+
+
+def pieces(run: Column, base: Column, allowed: list[str]) -> Column:
+    """What base spans and allow-listed tokens leave of a candidate, as candidates of WINDOW or more characters."""
+    token = allowed_token(allowed) if allowed else None
+    touching = F.filter(base, lambda x: (x["start"] < run["end"]) & (run["start"] < x["end"]))
+    cuts = F.transform(touching, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    if token:
+        cuts = F.concat(cuts, F.transform(matches(run["value"], token, "entropy"), lambda x: F.struct(
+            (x["start"] + run["start"]).alias("start"), (x["end"] + run["start"]).alias("end"))))
+
+    def left(found: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            gap = F.struct(acc["at"].alias("start"), x["start"].alias("end"))
+            out = F.when(x["start"] - acc["at"] >= WINDOW, F.concat(acc["out"], F.array(gap))).otherwise(acc["out"])
+            return F.struct(out.alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
+
+        ends = F.concat(F.array_sort(found), F.array(F.struct(run["end"].alias("start"), run["end"].alias("end"))))
+        start = F.struct(F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"), run["start"].alias("at"))
+        gaps = F.aggregate(ends, start, step, lambda acc: acc["out"])
+        return F.transform(gaps, lambda g: F.struct(
+            g["start"].alias("start"), run["kind"].alias("kind"), g["end"].alias("end"),
+            F.substring(run["value"], (g["start"] - run["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int")).alias("value")))
+
+    return let(cuts, lambda found: F.when(F.size(found) > 0, left(found)).otherwise(F.array(run)))
+
+
+def suspicious(value: Column) -> Column:
     letters = value.rlike("[A-Za-z]") & value.rlike("[0-9]")
-    bits = F.when(value.rlike("^[0-9A-Fa-f]+$"), HEX_BITS).when(
-        value.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), ONE_CASE_BITS).otherwise(MIXED_BITS)
-    return letters & ~listed & F.when(letters & ~listed, peak_entropy(value) >= bits).otherwise(False)
+    # a cut leaves delimiters at the ends, which say nothing of the class
+    bits = F.when(value.rlike("^[/_-]*[0-9A-Fa-f]+[/_-]*$"), HEX_BITS).when(
+        value.rlike("^[/_-]*([0-9a-z]+|[0-9A-Z]+)[/_-]*$"), ONE_CASE_BITS).otherwise(MIXED_BITS)
+    return F.when(letters, peak_entropy(value) >= bits).otherwise(False)
 
 
 def spans(text: Column, allowed: list[str] | None = None) -> Column:
@@ -118,10 +147,8 @@ def spans(text: Column, allowed: list[str] | None = None) -> Column:
         F.concat(assign, matches(text, ACCESS, "access"), matches(text, HEX, "hex")), place))
 
     def with_base(b: Column) -> Column:
-        new = F.filter(
-            matches(text, CANDIDATE, "entropy"),
-            lambda s: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))
-            & suspicious(s["value"], allowed))
+        left = F.flatten(F.transform(matches(text, CANDIDATE, "entropy"), lambda s: pieces(s, b, allowed)))
+        new = F.filter(left, lambda s: suspicious(s["value"]))
         return F.struct(b.alias("base"), F.transform(new, place).alias("found"))
 
     return let(base, with_base)

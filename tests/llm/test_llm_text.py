@@ -246,6 +246,15 @@ def test_random_keys_are_found_in_every_class(spark):
     assert {k: found[k] for k in {r[:2] for r in rows} if found[k] < 368} == {}
 
 
+def test_keys_beside_known_forms_and_allowed_words_are_found(spark):
+    key, hexed = "q7Zt9Kx2Lm4Np8Rs1Vw5YbH3dGc6Fj0TaQeUiOzX", "9F8E7D6C5B4A3F2E1D0C"
+    made = [f"AKIA{'Z' * 16}/{key}", f"see /docs/example/{key} end", f"🙂 example-{hexed}_EXAMPLE", f"{key}EXAMPLE", f"a/example/{key[:18]}", key]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
+    got = dict(texts(secret_scan.redact(secret_scan.secret_scan(docs))))
+    mark = "[REDACTED]"
+    assert got == {0: mark * 2, 1: f"see /docs/example{mark} end", 2: f"🙂 example{mark}EXAMPLE", 3: made[3], 4: made[4], 5: mark}
+
+
 def test_redaction_hides_every_span(odd, spark, empty):
     made = ["a token=abcdefabcdefabcdefabcdef b", "🙂 password=secret1 🙂", "nothing", "", None, "AKIA" + "Z" * 16]
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
