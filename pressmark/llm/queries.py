@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann_tree, bpe_codec, knn_quality, license_scan, line_dedup, ngram_join, packing, quality_rules, secret_scan, token_counts
+from . import ann_tree, bpe_codec, knn_quality, license_scan, line_dedup, ngram_join, packing, quality_rules, secret_scan, sharding, token_counts
 from .common import table
 from ..session import shared_folder
 
@@ -103,9 +103,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.listed(F.col("all_spans")).alias("spans"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith(("op", "passage")) and callable(f)}
 
 
 def statements() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.statement(), "op8_quality_rules": quality_rules.statement()}
+    return {"op1_line_dedup": line_dedup.statement(), "op8_quality_rules": quality_rules.statement(),
+            "op11_sharding": sharding.statement()}
