@@ -8,12 +8,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann_tree, bpe_codec, knn_quality, license_scan, line_dedup, ngram_join, packing, quality_rules, secret_scan, sharding, token_counts
+from . import alignment, ann_tree, bpe_codec, knn_quality, license_scan, line_dedup, ngram_join, packing, quality_rules, secret_scan, sharding, token_counts
 from .common import table
 from ..session import shared_folder
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -108,6 +109,11 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' tokens of every document."""
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_RANKS, PIECE_BPE)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith(("op", "passage")) and callable(f)}
 
