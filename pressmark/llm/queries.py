@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, ann_tree, bpe_codec, knn_quality, license_scan, line_dedup, ngram_join, packing, quality_rules, secret_scan, sharding, token_counts
+from . import alignment, ann_tree, bpe_codec, knn_quality, lexical_treap, license_scan, line_dedup, ngram_join, packing, quality_rules, secret_scan, sharding, token_counts
 from .common import table
 from ..session import shared_folder
 
@@ -109,6 +109,12 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_lexical_treap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_treap.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links between two tokenizers' tokens of every document."""
     return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_RANKS, PIECE_BPE)
@@ -120,4 +126,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def statements() -> dict[str, str]:
     return {"op1_line_dedup": line_dedup.statement(), "op8_quality_rules": quality_rules.statement(),
-            "op11_sharding": sharding.statement()}
+            "op11_sharding": sharding.statement(), "op12_lexical_treap": lexical_treap.statement()}
