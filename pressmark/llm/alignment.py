@@ -5,7 +5,7 @@ are sorted by start, the running maximum of their ends is kept, and a group ends
 reaches it: that is where tokens of both sides end.  Within a group every token of one side is linked
 with every token of the other.
 
-A block is a few megabytes of text and works alone.  It keeps its distinct linked id pairs once, and per
+A block is a megabyte of text and works alone.  It keeps its distinct linked id pairs once, and per
 document the places of its pairs in that list.  Only the blocks' distinct pairs are shuffled: once to
 count documents, once to bring the counts back.
 """
@@ -26,7 +26,7 @@ from .common import binary, column, settled, slices
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary's file.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 LINKS_AT_ONCE = 4_000_000
 B_BITS = 20                # ids of the second tokenizer are below 2^20
 DENSE = 64                 # groups with more links are reduced to distinct ids first
