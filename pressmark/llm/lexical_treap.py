@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from .common import binary, column, settled, slices
 
 K = 10
 BLOCK_DOCS = 16_384
-BLOCK_CELLS = 1_000_000
+BLOCK_CELLS = 500_000
 ITEMS_AT_ONCE = 1_000
 ITEM_BYTES_AT_ONCE = 8 << 20
 CELLS_AT_ONCE = 16_384     # states taken from the queue together times rows of the item
@@ -120,12 +121,14 @@ class Treap:
     def packed(masks: list[np.ndarray], values: list[np.ndarray]) -> tuple[bytes, list[int], bytes, int]:
         """Masks, nodes per level, and every node's distance below its parent's maximum."""
         below = [np.repeat(values[n], _COUNT[masks[n]]) - values[n + 1] for n in range(len(masks))]
-        return (b"".join(m.tobytes() for m in masks), [len(v) for v in values],
-                b"".join(b.astype("<i8").tobytes() for b in below), int(values[0][0]))
+        # byte planes of the distances: the high ones are almost all zeros
+        planes = np.concatenate(below).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+        return zlib.compress(b"".join(m.tobytes() for m in masks), 1), [len(v) for v in values], zlib.compress(planes, 1), int(values[0][0])
 
     @classmethod
     def unpacked(cls, height: int, masks: bytes, sizes: list[int], below: bytes, top: int) -> Treap:
-        every, under = np.frombuffer(masks, np.uint8), np.frombuffer(below, "<i8")
+        every = np.frombuffer(zlib.decompress(masks), np.uint8)
+        under = np.frombuffer(zlib.decompress(below), np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
         levels, values, at, child = [], [np.array([top], np.int64)], 0, 0
         for n in range(height):
             levels.append(every[at:at + sizes[n]])
@@ -281,7 +284,7 @@ def _answer(docs: DataFrame, items: list[tuple], k: int) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 height, ids, masks, sizes, below, top = (column(batch, f.split()[0])[r] for f in INDEX.split(", "))
-                if not len(masks.as_py()):
+                if not len(sizes.values):
                     continue
                 tree = Treap.unpacked(height.as_py(), masks.as_py(), sizes.as_py(), below.as_py(), top.as_py())
                 null = ids.values.is_null().to_numpy(zero_copy_only=False)
