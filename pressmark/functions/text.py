@@ -73,7 +73,7 @@ def remove_stop_words(text: Column, words: Sequence[str]) -> Column:
     if all(re.fullmatch(r"\w+", w) for w in listed):
         lowered = sorted({w.lower() for w in listed})
         parts = F.regexp_extract_all(text, F.lit(_WORD_AND_BLANKS), F.lit(0))
-        kept = F.filter(parts, lambda p: ~F.lower(F.regexp_replace(p, SPACES + "$", "")).isin(lowered))
+        kept = F.filter(parts, lambda p: ~F.lower(F.rtrim(p, F.lit(OTHER_SPACES + " "))).isin(lowered))
         return F.array_join(kept, "")
     alternatives = "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in listed)
     return F.regexp_replace(text, rf"(?iuU)(?<!{_IN_WORD})({alternatives})(?!{_IN_WORD})\s*", "")

@@ -149,30 +149,15 @@ class TextBayesStatistics:
         return TextBayesModel(table, self.n_terms, self.labels * len(alphas), priors, self.held_out)
 
 
-def fit_text_bayes(
-    bags: DataFrame,
-    docs: DataFrame,
-    labels: Sequence[str],
-    held_out: Sequence[int | None] = (None,),
-    min_df: int = MIN_DF,
-    scaling: bool = False,
-) -> TextBayesStatistics:
-    """Sufficient statistics for every training set named in ``held_out``.
-
-    ``bags`` is (doc_id, label_idx[, fold], term, tf), partitioned by doc_id and
-    kept by the caller; ``docs`` holds (doc_id, label_idx[, fold]).
-    """
-    held = list(held_out)
-    folded = held != [None]
-    k = len(held)
-    group = ["label_idx", "fold"] if folded else ["label_idx"]
+def _sizes(docs: DataFrame, group: Sequence[str], held: Sequence[int | None], n_labels: int) -> list[list[int]]:
+    """Documents per training set and label."""
     sizes = docs.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).collect()  # labels x folds rows
-    documents = [
-        [sum(r.n for r in sizes if r.label_idx == c and (v is None or r.fold != v)) for c in range(len(labels))]
-        for v in held
-    ]
-    n_docs = [sum(per) for per in documents]
+    return [[sum(r.n for r in sizes if r.label_idx == c and (v is None or r.fold != v)) for c in range(n_labels)] for v in held]
 
+
+def _fold_idf(bags: DataFrame, n_docs: Sequence[int], held: Sequence[int | None], min_df: int):
+    """(term, df, idf, dfs) with one entry per training set, and the sizes of the vocabularies."""
+    k = len(held)
     # document frequency per training set: one pass, k conditional counts
     counts = bags.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"),
@@ -188,16 +173,58 @@ def fit_text_bayes(
     stats = idf_table.agg(
         F.count(F.lit(1)).alias("n"), *[F.count(F.col("idf")[i]).alias(f"n{i}") for i in range(k)]
     ).first()
-    vocabulary = [stats[f"n{i}"] for i in range(k)]
+    return idf_table, stats
 
+
+def _fold_norms(bags: DataFrame, idf_table: DataFrame, n_terms: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The bags' known terms with idf, and (doc_id, norm0, norm1, ...) per training set."""
     local = term_frequency_weight(F.col("tf"))
     known_bags = lookup(
-        bags, idf_table.select("term", "df", "idf"), "term", stats["n"], bytes_per_row=80 + 8 * k, frequency=F.col("df")
+        bags, idf_table.select("term", "df", "idf"), "term", n_terms, bytes_per_row=80 + 8 * k, frequency=F.col("df")
     )
     squares = [F.sum((local * F.col("idf")[i]) * (local * F.col("idf")[i])).alias(f"q{i}") for i in range(k)]
     norms = known_bags.groupBy("doc_id").agg(*squares).select(
         "doc_id", *[F.sqrt(f"q{i}").alias(f"norm{i}") for i in range(k)]
     )
+    return known_bags, norms
+
+
+def fold_weights(
+    bags: DataFrame, docs: DataFrame, held_out: Sequence[int | None], n_labels: int, min_df: int = MIN_DF, scaling: bool = True
+) -> tuple[DataFrame, int, list[list[int]]]:
+    """((term, df, idf, scale) with one entry per training set, number of terms, documents per training set and label)."""
+    held = list(held_out)
+    documents = _sizes(docs, ["label_idx", "fold"], held, n_labels)
+    n_docs = [sum(per) for per in documents]
+    idf_table, stats = _fold_idf(bags, n_docs, held, min_df)
+    _, norms = _fold_norms(bags, idf_table, stats["n"], len(held))
+    table = _with_scale(idf_table, bags, keep(norms) if scaling else norms, docs, held, n_docs, scaling)
+    return settle(table.select("term", "df", "idf", "scale")), stats["n"], documents
+
+
+def fit_text_bayes(
+    bags: DataFrame,
+    docs: DataFrame,
+    labels: Sequence[str],
+    held_out: Sequence[int | None] = (None,),
+    min_df: int = MIN_DF,
+    scaling: bool = False,
+) -> TextBayesStatistics:
+    """Sufficient statistics for every training set named in ``held_out``.
+
+    ``bags`` is (doc_id, label_idx[, fold], term, tf), partitioned by doc_id and
+    kept by the caller; ``docs`` holds (doc_id, label_idx[, fold]).
+    """
+    held = list(held_out)
+    folded = held != [None]
+    k = len(held)
+    group = ["label_idx", "fold"] if folded else ["label_idx"]
+    documents = _sizes(docs, group, held, len(labels))
+    n_docs = [sum(per) for per in documents]
+    idf_table, stats = _fold_idf(bags, n_docs, held, min_df)
+    vocabulary = [stats[f"n{i}"] for i in range(k)]
+    local = term_frequency_weight(F.col("tf"))
+    known_bags, norms = _fold_norms(bags, idf_table, stats["n"], k)
     if scaling:
         norms = keep(norms)
 

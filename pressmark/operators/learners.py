@@ -111,7 +111,12 @@ class FittedLearner:
         """Spark ML models with their own writer, pairwise models as one row per class pair."""
         root = path.rstrip("/")
         kind = type(self.model)
-        if isinstance(self.model, svm.PairwiseSvmModel):
+        if isinstance(self.model, svm.TextSvmModel):
+            m = self.model
+            m.coefficients.write.parquet(f"{root}/terms")
+            rows = [(p, *map(float, x), m.n_terms) for p, x in enumerate(zip(m.intercepts, m.slopes, m.offsets, strict=True))]
+            spark.createDataFrame(rows, "pair int, intercept double, slope double, offset double, n_terms int").write.parquet(f"{root}/pairs")
+        elif isinstance(self.model, svm.PairwiseSvmModel):
             m = self.model
             rows = [
                 (p, m.coefficients[p].tolist(), float(m.intercepts[p]), float(m.slopes[p]), float(m.offsets[p]))
@@ -132,12 +137,16 @@ class FittedLearner:
     def load(path: str, spark) -> "FittedLearner":
         root = path.rstrip("/")
         s = json.loads(spark.read.text(f"{root}/settings").first().value)
-        if s["kind"][1] == svm.PairwiseSvmModel.__name__:
+        if s["kind"][1] in (svm.PairwiseSvmModel.__name__, svm.TextSvmModel.__name__):
             rows = spark.read.parquet(f"{root}/pairs").orderBy("pair").collect()  # one row per class pair
             column = lambda name: np.array([r[name] for r in rows])
-            model = svm.PairwiseSvmModel(
-                s["labels"], column("coefficients"), column("intercept"), column("slope"), column("offset")
-            )
+            if s["kind"][1] == svm.TextSvmModel.__name__:
+                model = svm.TextSvmModel(
+                    s["labels"], spark.read.parquet(f"{root}/terms"), column("intercept"), column("slope"), column("offset"),
+                    rows[0]["n_terms"] if rows else 0)
+            else:
+                model = svm.PairwiseSvmModel(
+                    s["labels"], column("coefficients"), column("intercept"), column("slope"), column("offset"))
         else:
             model = getattr(importlib.import_module(s["kind"][0]), s["kind"][1]).load(f"{root}/model")
         return FittedLearner(

@@ -116,6 +116,30 @@ class PairwiseSvmModel:
         ).drop("_margins")
 
 
+@dataclass
+class TextSvmModel(PairwiseSvmModel):
+    """``coefficients`` is a table (feature, term, df, idf, scale, w array per pair); nothing of its size is on the driver."""
+
+    n_terms: int = 0
+
+    def score_bags(self, bags: DataFrame, docs: DataFrame) -> DataFrame:
+        """Votes, prediction and probability from (doc_id, term, tf): idf, scale and weights are one lookup."""
+        k = len(self.intercepts)
+        fused = self.coefficients.select(
+            "term", "df", "idf", F.transform("w", lambda x: x / F.col("scale")).alias("w"))
+        rows = lookup(bags, fused, "term", self.n_terms, bytes_per_row=120 + 8 * k, frequency=F.col("df"))
+        x = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
+        sums = rows.select("doc_id", x.alias("x"), "w").groupBy("doc_id").agg(
+            F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *[F.sum(F.col("x") * F.col("w")[p]).alias(f"m{p}") for p in range(k)])
+        margins = F.array(*[
+            F.coalesce(F.try_divide(f"m{p}", "norm"), F.lit(0.0)) + F.lit(float(b)) for p, b in enumerate(self.intercepts)])
+        joined = docs.join(sums, "doc_id", "left")
+        return self.decide(joined.select(*docs.columns, margins.alias("_margins")))
+
+    def named_coefficients(self) -> DataFrame:
+        return self.coefficients.select("feature", "w")
+
+
 def _fit_pair(data: DataFrame, i: int, j: int, c: float, max_iter: int):
     rows = data.where(F.col("label_idx").isin(i, j)).withColumn("label", (F.col("label_idx") == i).cast("double"))
     total = rows.agg(F.sum("weight")).first()[0]
@@ -136,15 +160,25 @@ def _fit_all(data: DataFrame, k: int, c: float, max_iter: int, parallelism: int)
 
 def _calibrate(model: PairwiseSvmModel, held_out: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Logistic fit of margin -> P(first class), all pairs per pass (Newton steps on grouped sums)."""
-    pairs = class_pairs(len(model.labels))
-    long = held_out.select("label_idx", F.posexplode(model.margins(F.col("features"))).alias("pair", "m"))
+    return calibrate(held_out.select("label_idx", model.margins(F.col("features")).alias("margins")), len(model.labels))
+
+
+def calibrate(held_out: DataFrame, n_labels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and offset per class pair from the (label_idx, margins) of held-out rows."""
+    pairs = class_pairs(n_labels)
+    long = held_out.select("label_idx", F.posexplode("margins").alias("pair", "m"))
     first = F.element_at(F.array(*[F.lit(i) for i, _ in pairs]), F.col("pair") + 1)
     second = F.element_at(F.array(*[F.lit(j) for _, j in pairs]), F.col("pair") + 1)
     points = settle(
         long.where((F.col("label_idx") == first) | (F.col("label_idx") == second))
         .select("pair", "m", (F.col("label_idx") == first).cast("double").alias("y"))
     )
-    a, b = np.ones(len(pairs)), np.zeros(len(pairs))
+    return newton(points, len(pairs))
+
+
+def newton(points: DataFrame, n_pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and offset per pair from held-out (pair, m, y)."""
+    a, b = np.ones(n_pairs), np.zeros(n_pairs)
     for _ in range(NEWTON_STEPS):
         slope = F.element_at(F.array(*[F.lit(float(x)) for x in a]), F.col("pair") + 1)
         offset = F.element_at(F.array(*[F.lit(float(x)) for x in b]), F.col("pair") + 1)
@@ -205,19 +239,23 @@ def fourier_features(rows: DataFrame, dim: int, gamma: float = 1.0, size: int =
     return rows.withColumn(column, array_to_vector(project(vector_to_array(F.col(column)))))
 
 
-def pair_weights(spark, model: PairwiseSvmModel, names: Sequence[str] | DataFrame, top: int = 10) -> DataFrame:
+def pair_weights(spark, model: PairwiseSvmModel, names: Sequence[str] | DataFrame | None, top: int = 10) -> DataFrame:
     """(first, second, feature, weight, rank): per class pair the ``top`` largest positive and
     the ``top`` smallest negative coefficients, ranked from the strongest.
 
     ``names``: one name per feature, or a table (feature, idx).
     """
-    if not isinstance(names, DataFrame):
+    if isinstance(model, TextSvmModel):
+        named = model.named_coefficients()
+    elif not isinstance(names, DataFrame):
         if len(names) != model.coefficients.shape[1]:
             raise ValueError(f"{len(names)} names for {model.coefficients.shape[1]} features")
         names = spark.createDataFrame(list(enumerate(names)), "idx int, feature string")
+    if not isinstance(model, TextSvmModel):
+        named = model.coefficient_table(spark).join(names, "idx")
     pairs = class_pairs(len(model.labels))
     name = lambda side: F.get(F.array(*[F.lit(model.labels[p[side]]) for p in pairs]), F.col("pair"))
-    long = model.coefficient_table(spark).join(names, "idx").select("feature", F.posexplode("w").alias("pair", "weight"))
+    long = named.select("feature", F.posexplode("w").alias("pair", "weight"))
     rows = long.where(F.col("weight") != 0).select(name(0).alias("first"), name(1).alias("second"), "feature", "weight")
     # the ranked rows of a pair are cut to ``top`` before they are exchanged
     strongest = Window.partitionBy("first", "second", F.signum("weight")).orderBy(F.abs("weight").desc(), "feature")

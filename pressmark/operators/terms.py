@@ -28,6 +28,20 @@ def bag_of_terms(
     return grams.groupBy("doc_id", *carry, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def bags_in_row(
+    docs: DataFrame, text: str = "text", carry: Sequence[str] = (), ngram_range: tuple[int, int] = (1, 2)
+) -> DataFrame:
+    """As ``bag_of_terms`` for scoring: terms are counted inside their row, so no text moves.
+
+    The sorted terms of a document are cut where a term differs from the one before it.
+    """
+    grams = docs.select("doc_id", *carry, F.array_sort(tx.ngrams(tx.vector_terms(F.col(text)), *ngram_range)).alias("g"))
+    starts = F.expr("filter(transform(g, (x, i) -> if(i > 0 and x = get(g, i - 1), null, i)), i -> i is not null)")
+    counted = grams.withColumn("s", starts).select(
+        "doc_id", *carry, F.expr("transform(s, (b, n) -> struct(get(g, b) as term, cast(coalesce(get(s, n + 1), size(g)) - b as bigint) as tf))").alias("t"))
+    return counted.select("doc_id", *carry, F.inline("t"))
+
+
 def document_frequency(bags: DataFrame, min_df: int = MIN_DF) -> DataFrame:
     """(term, df) of the terms that occur in at least min_df documents."""
     return bags.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)

@@ -102,19 +102,37 @@ def text_svm_predict(spark, sf):
     return fit(PipelineSpec(learner="svc"), docs).predict(docs.drop("label"))
 
 
+def text_svm_cv(spark, sf):
+    """The default recipe cross-validated: ten folds and all class pairs in the same rounds."""
+    from .recipe import PipelineSpec, cross_validate
+
+    return cross_validate(PipelineSpec(learner="svc"), _raw_articles(spark, sf))
+
+
+def text_svm_cv_accuracy(spark, sf):
+    """Out-of-fold predictions of the default recipe against the truth: at least nine of ten are right, in every fold and label."""
+    rows = text_svm_cv(spark, sf).withColumn("right", (F.col("predicted") == F.col("truth")).cast("int"))
+    folds_right = rows.groupBy("fold").agg(F.avg("right").alias("a")).agg(F.count(F.lit(1)).alias("n_folds"), F.min("a").alias("worst_fold"))
+    labels_right = rows.groupBy("truth").agg(F.avg("right").alias("a")).agg(F.min("a").alias("worst_label"))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("doc_id").alias("n_docs"), F.lit(0).alias("k")).join(
+        folds_right.withColumn("k", F.lit(0)), "k").join(labels_right.withColumn("k", F.lit(0)), "k").select(
+        "n_rows", "n_docs", "n_folds", (F.col("worst_fold") >= 0.9).alias("folds_right"), (F.col("worst_label") >= 0.9).alias("labels_right"))
+
+
 def text_svm_checks(spark, sf):
     """What any fitted default recipe must fulfil, counted over its full output."""
     from .recipe import PipelineSpec, fit
 
     docs = _raw_articles(spark, sf)
     model = fit(PipelineSpec(learner="svc"), docs)
-    proba = model.predict_proba(docs.drop("label"))
+    proba = model.predict_proba(docs.drop("label")).join(docs.select("doc_id", "label"), "doc_id")
     total = F.aggregate("proba", F.lit(0.0), lambda a, x: a + x)
     rows = proba.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("doc_id").alias("n_docs"),
         F.sum((F.abs(total - 1) < 1e-9).cast("bigint")).alias("n_sums"),
         F.sum((F.array_min("proba") >= 0).cast("bigint")).alias("n_positive"),
-        F.sum(F.col("predicted").isin(*model.labels).cast("bigint")).alias("n_labelled"), F.lit(0).alias("k"))
+        F.sum(F.col("predicted").isin(*model.labels).cast("bigint")).alias("n_labelled"),
+        (F.avg((F.col("predicted") == F.col("label")).cast("int")) >= 0.95).alias("accurate"), F.lit(0).alias("k"))
     weights = model.pair_weights().groupBy("first", "second", F.signum("weight")).agg(F.count(F.lit(1)).alias("n"))
     strongest = weights.agg(
         F.sum((F.col("n") > 10).cast("bigint")).alias("n_over"), F.count_distinct("first", "second").alias("n_pairs"), F.lit(0).alias("k"))
@@ -230,7 +248,7 @@ def lime_text_checks(spark, sf):
 
 
 MODELS = [
-    text_svm_checks, importance_checks, shap_checks, lime_text_checks,
+    text_svm_cv, text_svm_cv_accuracy, text_svm_checks, importance_checks, shap_checks, lime_text_checks,
     svm_predict, svm_rbf_predict, rf_predict, gb_predict, xgb_linear_predict, lgbm_forest_predict, mlp_predict,
     svm_pair_weights, class_pairs, rf_importance, text_svm_predict, style_bayes_predict, combined_bayes_predict,
     lime_text, lime_tabular, shap_values,

@@ -360,6 +360,9 @@ def _sources(known: dict[str, str]) -> dict[str, str]:
         "lines_corpus": f"""WITH {DOCS} SELECT d.doc_id AS page, lang AS label, 1950 + d.doc_id % 40 AS year, source AS newspaper,
             2::BIGINT AS n_urls, md5(rtrim('text: ' || c.text)) AS digest FROM documents d JOIN docs c USING (doc_id)""",
         "line_numbers": "SELECT 0::BIGINT AS low, count(*) - 1 AS high, count(*) AS n FROM documents",
+        "strict_load": """SELECT count(*) FILTER (doc_id % 7 <> 3) AS n_good, count(*) FILTER (doc_id % 7 <> 3) AS n_strict,
+            count(DISTINCT lang) FILTER (doc_id % 7 <> 3) AS n_labels, count(*) FILTER (doc_id % 7 = 3) AS n_bad,
+            0::BIGINT AS n_none, true AS refused FROM documents""",
         "csv_corpus": """SELECT lang AS label, md5('"a", ' || text) AS digest, count(*) AS n FROM documents GROUP BY ALL""",
         "stop_word_source": "SELECT DISTINCT source AS word FROM documents",
         "prediction_sink": """SELECT doc_id::VARCHAR AS id, 'd' || (doc_id % 7) AS date, lang AS label, source AS newspaper,
@@ -376,8 +379,10 @@ def _sources(known: dict[str, str]) -> dict[str, str]:
         "dict_vectoriser": f"SELECT doc_id, {columns}, n_chars::DOUBLE AS n_chars FROM documents",
         "dict_keys": "SELECT DISTINCT lang AS feature FROM documents UNION SELECT 'n_chars'",
         "text_svm_checks": """SELECT count(*) AS n_rows, count(*) AS n_docs, count(*) AS n_sums, count(*) AS n_positive,
-            count(*) AS n_labelled, 0::BIGINT AS n_over, (count(DISTINCT lang) * (count(DISTINCT lang) - 1) / 2)::BIGINT AS n_pairs
+            count(*) AS n_labelled, true AS accurate, 0::BIGINT AS n_over, (count(DISTINCT lang) * (count(DISTINCT lang) - 1) / 2)::BIGINT AS n_pairs
             FROM documents""",
+        "text_svm_cv_accuracy": """SELECT count(*) AS n_rows, count(*) AS n_docs, 10::BIGINT AS n_folds, true AS folds_right,
+            true AS labels_right FROM documents""",
         "importance_checks": "SELECT 64::BIGINT AS n_features, 64::BIGINT AS n_names, true AS adds_up, true AS positive",
         "shap_checks": """SELECT n AS n_values, n AS n_exact, n AS n_full
             FROM (SELECT count(*) * count(DISTINCT label) AS n FROM embeddings)""",

@@ -19,7 +19,8 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators import annotation, bayes, explain, folds as fold_ops, labels as label_ops, learners, scaling, style, svm, terms, vectors
+from ..operators import annotation, bayes, explain, folds as fold_ops, labels as label_ops, learners, scaling, style, svm, terms, text_svm, vectors
+from .ranks import hash_key
 from .staging import keep, settle
 
 TFIDF, STYLE, STYLE_TFIDF = "tfidf", "style", "style_tfidf"
@@ -159,8 +160,11 @@ class FittedPipeline:
 
     def proba_of(self, prepared: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
         """(doc_id, predicted, proba) for texts that are prepared already."""
-        long = self.features.transform(prepared, tokens)
         ids = prepared.select("doc_id")
+        if self.learner is not None and isinstance(self.learner.model, svm.TextSvmModel):
+            bags = terms.bags_in_row(_unquoted(self.spec, prepared), ngram_range=self.spec.ngram_range)
+            return self.learner.named(self.learner.model.score_bags(bags, ids)).select("doc_id", "predicted", "proba")
+        long = self.features.transform(prepared, tokens)
         if self.bayes is not None:
             scores = self.bayes.scores(long, ids)
             return scores.select(
@@ -188,7 +192,8 @@ class FittedPipeline:
         """The strongest features of every class pair; only a linear kernel has them."""
         if self.learner is None or not self.linear:
             raise ValueError("only linear support vectors have weights per feature")
-        return svm.pair_weights(self.space.index.sparkSession, self.learner.model, self.space.index, top)
+        names = None if self.space is None else self.space.index
+        return svm.pair_weights(SparkSession.active(), self.learner.model, names, top)
 
     def importances(self, top: int = 30) -> DataFrame:
         """Relative importance of the features of a tree learner."""
@@ -222,6 +227,8 @@ def fit(spec: PipelineSpec, articles: DataFrame, tokens: DataFrame | None = None
     index = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("label").cast("string")) - 1
     train = settle(prepare(spec, articles.select("doc_id", index.cast("int").alias("label_idx"), raw), raw))
     n_docs = train.count()
+    if _is_text_svm(spec):
+        return _fit_text_svm(spec, train, names, n_docs)
     model, features = fit_features(spec, train, n_docs, tokens)
     ids = train.select("doc_id", "label_idx")
     if spec.learner == "nb":
@@ -233,16 +240,45 @@ def fit(spec: PipelineSpec, articles: DataFrame, tokens: DataFrame | None = None
     return FittedPipeline(spec, names, model, learner=fitted, space=space)
 
 
+def _is_text_svm(spec: PipelineSpec) -> bool:
+    """The default recipe: TF-IDF and linear support vectors."""
+    return spec.learner == "svc" and spec.features == TFIDF and learners.parameters("svc", **spec.learner_parameters).kernel == "linear"
+
+
+def _fit_text_svm(spec: PipelineSpec, train: DataFrame, names: list[str], n_docs: int) -> FittedPipeline:
+    """All class pairs on all documents, and on four fifths of them to calibrate on the rest, in one run."""
+    aside = F.pmod(hash_key(F.col("doc_id"), "|calibrate"), F.lit(svm.CALIBRATION_SHARE)) == 0
+    rows = train.withColumn("fold", F.when(aside, 0).otherwise(1))
+    bags = keep(terms.bag_of_terms(_unquoted(spec, rows), carry=["label_idx", "fold"], ngram_range=spec.ngram_range))
+    given = learners.parameters("svc", **spec.learner_parameters)
+    fitted = text_svm.fit_text_svm(
+        bags, rows.select("doc_id", "label_idx", "fold"), names, [None, 0], spec.min_df, spec.scaling, given.penalty_parameter_c)
+    slopes, offsets = svm.calibrate(fitted.margins().where("set = 1"), len(names))
+    table, intercepts = fitted.table(0)
+    model = svm.TextSvmModel(names, table, intercepts, slopes, offsets, fitted.n_terms)
+    return FittedPipeline(spec, names, _text_features(spec, table, n_docs, fitted.n_terms), learner=learners.FittedLearner("svc", model, names))
+
+
+def _text_features(spec: PipelineSpec, table: DataFrame, n_docs: int, n_terms: int) -> FeatureModel:
+    """The feature steps of a text model's table."""
+    tfidf = terms.TfIdfModel(table.select("term", "df", "idf"), n_docs, n_terms)
+    scale = table.where("scale <> 1").select("feature", F.lit(0.0).alias("shift"), "scale")
+    return FeatureModel(spec, tfidf, [scaling.ScalerModel(scale, n_terms)] if spec.scaling else [])
+
+
 def cross_validate(
     spec: PipelineSpec, articles: DataFrame, k: int = 10, seed: int = fold_ops.SEED, tokens: DataFrame | None = None,
     raw: str = "raw_text", parallelism: int = 2,
 ) -> DataFrame:
     """Out-of-fold predictions (doc_id, fold, truth, predicted); every step is fitted per training set.
 
-    TF-IDF with naive Bayes trains all folds in one pass over the terms; other
-    learners run one fit per fold from a small thread pool.
+    TF-IDF with naive Bayes trains all folds in one pass over the terms, TF-IDF with linear support
+    vectors all folds and class pairs in the same rounds; other learners run one fit per fold from a
+    small thread pool.
     """
     folded = keep(fold_ops.shuffled_folds(articles, k, seed))
+    if _is_text_svm(spec):
+        return _text_svm_folds(spec, folded, k, raw)[0]
     if spec.learner == "nb" and spec.features == TFIDF:
         names = label_ops.label_list(articles)
         index = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("label").cast("string")) - 1
@@ -268,6 +304,19 @@ def cross_validate(
     return out
 
 
+def _text_svm_folds(spec: PipelineSpec, folded: DataFrame, k: int, raw: str) -> tuple[DataFrame, text_svm.FittedTextSvm]:
+    """Out-of-fold predictions (doc_id, fold, truth, predicted) of the default recipe, and the fitted models."""
+    names = label_ops.label_list(folded)
+    index = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("label").cast("string")) - 1
+    docs = settle(prepare(spec, folded.select("doc_id", "fold", index.cast("int").alias("label_idx"), raw), raw))
+    bags = keep(terms.bag_of_terms(_unquoted(spec, docs), carry=["label_idx", "fold"], ngram_range=spec.ngram_range))
+    given = learners.parameters("svc", **spec.learner_parameters)
+    fitted = text_svm.fit_text_svm(
+        bags, docs.select("doc_id", "label_idx", "fold"), names, list(range(k)), spec.min_df, spec.scaling, given.penalty_parameter_c)
+    name = lambda c: F.get(F.array(*[F.lit(n) for n in names]), F.col(c))
+    return fitted.votes().select("doc_id", "fold", name("label_idx").alias("truth"), name("predicted_idx").alias("predicted")), fitted
+
+
 def score(models: Mapping[str, FittedPipeline], articles: DataFrame, truth: str = "label", run_id: str | None = None,
           tokens: DataFrame | None = None, raw: str = "raw_text") -> DataFrame:
     """Long predictions of several fitted pipelines on one corpus."""
@@ -292,7 +341,8 @@ def save(model: FittedPipeline, path: str) -> None:
     if model.bayes is not None:
         model.bayes.table.write.parquet(f"{root}/bayes")
     else:
-        model.space.index.write.parquet(f"{root}/space")
+        if model.space is not None:
+            model.space.index.write.parquet(f"{root}/space")
         model.learner.save(f"{root}/learner", spark)
     if model.features.tfidf is not None:
         model.features.tfidf.table.write.parquet(f"{root}/idf")
@@ -309,7 +359,7 @@ def save(model: FittedPipeline, path: str) -> None:
     settings = {
         "spec": plain, "tables": tables, "labels": model.labels,
         "priors": model.bayes.priors if model.bayes else None,
-        "n_features": model.bayes.n_features if model.bayes else model.space.size, "scalers": [s.n_features for s in model.features.scalers],
+        "n_features": model.bayes.n_features if model.bayes else model.space.size if model.space else 0, "scalers": [s.n_features for s in model.features.scalers],
         "tfidf": None if model.features.tfidf is None else [model.features.tfidf.n_docs, model.features.tfidf.n_terms],
     }
     spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.text(f"{root}/settings")
@@ -332,7 +382,7 @@ def load(spark, path: str) -> FittedPipeline:
     ]
     features, names, size = FeatureModel(spec, tfidf, scalers), settings["labels"], settings["n_features"]
     if settings["priors"] is None:
-        space = vectors.VectorSpace(spark.read.parquet(f"{root}/space"), size)
+        space = vectors.VectorSpace(spark.read.parquet(f"{root}/space"), size) if size else None
         learner = learners.FittedLearner.load(f"{root}/learner", spark)
         return FittedPipeline(spec, names, features, learner=learner, space=space)
     table = bayes.LongBayesModel(spark.read.parquet(f"{root}/bayes"), size, names, settings["priors"])

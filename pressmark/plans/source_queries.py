@@ -39,6 +39,27 @@ def line_numbers(spark, sf):
     return rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count_distinct("doc_id").alias("n"))
 
 
+def strict_load(spark, sf):
+    """Lines with and without a label: the strict load refuses the whole, and takes the good ones alone."""
+    start = F.when(F.col("doc_id") % 7 == 3, "plain ").otherwise(F.concat(F.lit("__label__"), F.col("lang"), F.lit(" ")))
+    lines = q.documents(spark, sf).select(
+        start.alias("start"), F.concat(start, F.lit("text: "), tx.clean_ocr(F.col("text"))).alias("value"))
+    every, good = scratch_path(spark, "lines"), scratch_path(spark, "lines")
+    lines.select("value").write.text(every)
+    lines.where("start <> 'plain '").select("value").write.text(good)
+    try:
+        corpus.read_labelled_lines(spark, every, mode="strict")
+        refused = False
+    except ValueError as error:
+        refused = str(error).startswith("Error in line ") and str(error).endswith(": no label")
+    rows, bad = corpus.read_labelled_lines(spark, every)
+    strict, none = corpus.read_labelled_lines(spark, good, mode="strict")
+    kept = rows.agg(F.count(F.lit(1)).alias("n_good"), F.lit(0).alias("k"))
+    strict_kept = strict.agg(F.count(F.lit(1)).alias("n_strict"), F.count_distinct("label").alias("n_labels"), F.lit(0).alias("k"))
+    return kept.join(strict_kept, "k").join(bad.agg(F.count(F.lit(1)).alias("n_bad"), F.lit(0).alias("k")), "k").join(
+        none.agg(F.count(F.lit(1)).alias("n_none"), F.lit(0).alias("k")), "k").drop("k").withColumn("refused", F.lit(refused))
+
+
 def csv_corpus(spark, sf):
     """Texts with quotes, commas and line feeds through a CSV file with a header."""
     path = scratch_path(spark, "csv")
@@ -142,7 +163,7 @@ def _dictionaries(spark, sf):
 
 
 QUERIES = [
-    lines_corpus, line_numbers, csv_corpus, stop_word_source, prediction_sink, corpus_store, token_store, model_store,
+    lines_corpus, line_numbers, strict_load, csv_corpus, stop_word_source, prediction_sink, corpus_store, token_store, model_store,
     score_pipelines, score_metrics, score_comparison, selected_features, dict_vectoriser, dict_keys,
 ]
 

@@ -78,14 +78,19 @@ def parse_labelled_lines(lines: DataFrame, value: str = "value", date_format: st
 def read_labelled_lines(
     spark: SparkSession, path: str | Sequence[str], date_format: str = DATE_FORMAT, mode: str = "quarantine"
 ) -> tuple[DataFrame, DataFrame]:
-    """(articles, bad_rows).  ``mode='strict'`` makes a bad line fail the load with its line number."""
+    """(articles, bad_rows).  ``mode='strict'`` fails the load at the first bad line.
+
+    The strict load reads the lines once more: one counting pass finds the smallest bad line number.
+    """
     paths = [path] if isinstance(path, str) else list(path)
     parsed = parse_labelled_lines(with_line_numbers(spark.read.text(paths)), "value", date_format)
     bad = parsed.where(F.col("error").isNotNull()).select("doc_id", "raw_text", "label", "error")
     if mode == "strict":
-        message = F.concat(F.lit("Error in line "), F.col("doc_id").cast("string"), F.lit(": "), F.col("error"))
-        checked = F.when(F.col("error").isNull(), F.col("doc_id")).otherwise(F.raise_error(message).cast("bigint"))
-        return parsed.withColumn("doc_id", checked).drop("error"), bad
+        # decided before a frame is returned: no later projection, count or grouping can prune the check away
+        first = bad.agg(F.min(F.struct("doc_id", "error")).alias("b")).first()["b"]
+        if first is not None:
+            raise ValueError(f"Error in line {first['doc_id']}: {first['error']}")
+        return parsed.drop("error"), bad
     if mode != "quarantine":
         raise ValueError(f"unknown mode {mode!r}")
     return parsed.where(F.col("error").isNull()).drop("error"), bad

@@ -117,24 +117,34 @@ def test_saved_learners_predict_the_same(spark, tmp_path, learner, parameters):
 
 def test_linear_scores_need_no_vectors(spark):
     articles = frame(spark, corpus(40)).withColumnRenamed("text", "raw_text")
-    model = recipe.fit(recipe.PipelineSpec(learner="svc", min_df=2, learner_parameters={"max_iter": 30}), articles)
+    model = recipe.fit(recipe.PipelineSpec(learner="svc", min_df=2), articles)
     docs = articles.select("doc_id", "raw_text").unionByName(spark.createDataFrame([(900, ""), (901, "zzz")], "doc_id bigint, raw_text string"))
-    long = model.features.transform(recipe.prepare(model.spec, docs))
-    a = {r.doc_id: r for r in model.learner.transform(model.space.vectors(long, docs.select("doc_id"))).collect()}
-    b = {r.doc_id: r for r in model.predict_proba(docs).collect()}
-    assert len(a) == len(b) == 42
-    assert all(a[d].predicted == b[d].predicted and np.allclose(a[d].proba, b[d].proba) and abs(sum(b[d].proba) - 1) < 1e-9 for d in a)
-    names = {r.feature: r.idx for r in model.space.index.collect()}
+    fitted = model.learner.model
+    weights = {r["feature"]: r["w"] for r in fitted.coefficients.collect()}
+    margins = {r.doc_id: np.array(fitted.intercepts) for r in docs.collect()}
+    # the recipe's own steps, one after the other, and the table's weights
+    for r in model.features.transform(recipe.prepare(model.spec, docs)).collect():
+        margins[r.doc_id] = margins[r.doc_id] + r.value * np.array(weights[r.feature])
+    scored = {r.doc_id: r for r in model.predict_proba(docs).collect()}
+    assert len(scored) == 42
     pairs = svm.class_pairs(len(model.labels))
-    weights = model.pair_weights(3).collect()
-    for r in weights:
+    for d, m in margins.items():
+        votes, chance = np.zeros(len(model.labels)), np.zeros(len(model.labels))
+        for p, (i, j) in enumerate(pairs):
+            votes[i if m[p] > 0 else j] += 1
+            q = 1 / (1 + np.exp(-(m[p] * fitted.slopes[p] + fitted.offsets[p])))
+            chance += np.eye(len(votes))[i] * q + np.eye(len(votes))[j] * (1 - q)
+        assert scored[d].predicted == model.labels[int(votes.argmax())]
+        assert np.allclose(scored[d].proba, chance / chance.sum(), atol=1e-9)
+    for r in model.pair_weights(3).collect():
         p = pairs.index((model.labels.index(r["first"]), model.labels.index(r["second"])))
-        row = model.learner.model.coefficients[p]
-        assert row[names[r.feature]] == r.weight
-        same = row[np.sign(row) == np.sign(r.weight)]
-        assert (np.abs(same) > abs(r.weight) + 1e-15).sum() <= r["rank"] - 1
+        column = np.array([w[p] for w in weights.values()])
+        assert weights[r["feature"]][p] == r["weight"]
+        same = column[np.sign(column) == np.sign(r["weight"])]
+        assert (np.abs(same) > abs(r["weight"]) + 1e-15).sum() <= r["rank"] - 1
+    dense = svm.PairwiseSvmModel(["a", "b"], np.zeros((1, 3)), np.zeros(1), np.ones(1), np.zeros(1))
     with pytest.raises(ValueError):
-        svm.pair_weights(spark, model.learner.model, ["too", "few"])
+        svm.pair_weights(spark, dense, ["too", "few"])
     with pytest.raises(ValueError):
         model.importances()
 

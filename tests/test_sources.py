@@ -42,10 +42,14 @@ def test_labelled_lines(spark, tmp_path):
     assert {(r.doc_id, r.error) for r in bad.collect()} == {(2, "no label"), (3, "no text")}
 
 
-def test_strict_mode_names_the_line(spark, tmp_path):
+def test_strict_mode_names_the_line_whatever_is_read_later(spark, tmp_path):
     path = write(tmp_path / "c.txt", "\n".join(LINES))
-    with pytest.raises(Exception, match="Error in line [23]: no"):
-        corpus.read_labelled_lines(spark, path, mode="strict")[0].collect()
+    for read in (lambda d: d.select("raw_text").collect(), lambda d: d.count(), lambda d: d.groupBy("label").count().collect()):
+        with pytest.raises(ValueError, match="Error in line 2: no label"):
+            read(corpus.read_labelled_lines(spark, path, mode="strict")[0])
+    good = write(tmp_path / "g.txt", "__label__A one\n__label__B two")
+    rows, bad = corpus.read_labelled_lines(spark, good, mode="strict")
+    assert rows.count() == 2 and bad.count() == 0 and "error" not in rows.columns
 
 
 def test_at_most_twenty_metadata_tokens(spark, tmp_path):
