@@ -370,6 +370,10 @@ def _sources(known: dict[str, str]) -> dict[str, str]:
         "corpus_store": "SELECT doc_id, lang AS label, md5(text) AS digest FROM documents WHERE lang = 'en'",
         "token_store": """SELECT doc_id, len(list_filter(string_split(text, ' '), lambda w: w <> ''))::BIGINT AS n_tokens
             FROM documents WHERE len(list_filter(string_split(text, ' '), lambda w: w <> '')) > 0""",
+        "annotation_store": f"""WITH {DOCS}, shas AS (SELECT doc_id, sha1(text) AS sha, text FROM docs),
+            early AS (SELECT DISTINCT sha FROM shas WHERE doc_id % 2 = 0)
+            SELECT doc_id, sha, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::BIGINT AS n_letters,
+              CASE WHEN sha IN (SELECT sha FROM early) THEN 'even' ELSE 'all' END AS writer FROM shas""",
         "model_store": f"{_full()} SELECT doc_id, predicted FROM best",
         "score_pipelines": f"{scored} SELECT doc_id, pipeline_id, predicted, truth FROM preds",
         "score_metrics": f"{scored}, {metrics('preds')} SELECT pipeline_id, {ROUNDED} FROM result",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import comparison, metrics, style
+from ..operators import annotation, comparison, metrics, style
+from ..operators.annotation_store import AnnotationStore
 from ..session import scratch_path
 from ..sources import archive, corpus
 from . import queries as q
@@ -106,6 +108,35 @@ def token_store(spark, sf):
     return corpus.read_tokens(spark, path).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
 
 
+def _tagger(mark: str):
+    """A batch tagger with one token a text: the number of its letters from A to Z."""
+
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame({"sha": frame["sha"], "tokens": [
+                [{"sent_idx": 0, "tok_idx": 0, "word": str(sum(c.isascii() and c.isalpha() for c in t)), "lemma": "", "morph": "", "pos": "", "ner": mark}]
+                for t in frame["text"]]})
+
+    return run
+
+
+def annotation_store(spark, sf):
+    """Miss, annotate, append, hit: half of the documents first, then all by two writers at once, then one batch again.
+
+    The second writer found its misses before the first had committed, so both bring the same texts.
+    """
+    store = AnnotationStore(spark, scratch_path(spark, "annotations"))
+    docs = q.articles(spark, sf).select("doc_id", "text")
+    store.annotate(docs.where("doc_id % 2 = 0"), _tagger("even"))
+    late = annotation.annotate(store.misses(docs), _tagger("late"))
+    store.annotate(docs, _tagger("all"))
+    store.append(late)
+    store.compact()
+    store.vacuum()
+    hits = store.hits(docs)
+    return hits.select("doc_id", "sha", F.col("tokens")[0]["word"].cast("bigint").alias("n_letters"), F.col("tokens")[0]["ner"].alias("writer"))
+
+
 def model_store(spark, sf):
     """A fitted recipe saved, loaded and applied."""
     path = scratch_path(spark, "model")
@@ -163,7 +194,7 @@ def _dictionaries(spark, sf):
 
 
 QUERIES = [
-    lines_corpus, line_numbers, strict_load, csv_corpus, stop_word_source, prediction_sink, corpus_store, token_store, model_store,
+    lines_corpus, line_numbers, strict_load, csv_corpus, stop_word_source, prediction_sink, corpus_store, token_store, annotation_store, model_store,
     score_pipelines, score_metrics, score_comparison, selected_features, dict_vectoriser, dict_keys,
 ]
 
