@@ -230,6 +230,7 @@ def statements() -> dict[str, str]:
         "sentence_split": f"""WITH {DOCS}, s AS (SELECT doc_id, {sentences} AS l FROM docs)
             SELECT doc_id, (i - 1)::BIGINT AS pos, trim(l[i]) AS sentence
             FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM s)""",
+        **_stems_and_abbreviations(),
         "long_sentences": f"""WITH {DOCS}, s AS (SELECT doc_id, {sentences} AS l FROM docs),
             one AS (SELECT doc_id, i, string_split(l[i], ' ') AS t
                     FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM s)),
@@ -348,6 +349,69 @@ def statements() -> dict[str, str]:
     return out
 
 
+def _stems_and_abbreviations() -> dict[str, str]:
+    docs = f"""{DOCS}, short AS (SELECT doc_id, replace(replace(text, ' the ', ' nr. '), ' la ', ' s.v. ') AS text FROM docs)"""
+    learned = r"""tokens AS (SELECT unnest(string_split(text, ' ')) AS t FROM short),
+        types AS (SELECT lower(rtrim(t, '.')) AS type, count(*) AS n, sum((t LIKE '%.')::INT)::BIGINT AS n_stop
+          FROM tokens WHERE regexp_matches(t, '^\p{L}+(\.\p{L}+)*\.?$') GROUP BY 1),
+        p AS (SELECT sum(n_stop)::DOUBLE / sum(n) AS p FROM types),
+        parts AS (SELECT types.*, n - n_stop AS rest, length(replace(type, '.', ''))::DOUBLE AS letters, p FROM types, p),
+        abbreviations AS (SELECT type, n, n_stop, -2 * ((n_stop * ln(p) + rest * ln(1 - p)) - (n_stop * ln(0.99) + rest * ln(1 - 0.99)))
+          * exp(-letters) * (length(type) - letters + 1) * pow(letters, -rest::DOUBLE) AS score FROM parts),
+        learned AS (SELECT * FROM abbreviations WHERE score >= 0.3 AND n_stop > 0)"""
+    joined = "list_transform({s}, lambda b, n: array_to_string(list_slice({p}, b + 1, coalesce({s}[n + 1], len({p}))), ''))"
+    v, c = "[aeiouyè]", "[^aeiouyè]"
+    cut = lambda w, n: f"left({w}, length({w}) - {n})"
+    undouble = lambda w: f"CASE WHEN regexp_matches({w}, '(kk|dd|tt)$') THEN {cut(w, 1)} ELSE {w} END"
+    inside = lambda w, n, r: f"length({w}) - {n} >= {r}"
+    en = lambda w, n: f"({inside(w, n, 'p1')} AND regexp_matches({cut(w, n)}, '{c}$') AND {cut(w, n)} NOT LIKE '%gem')"
+    s_end = lambda n: f"({inside('w', n, 'p1')} AND regexp_matches({cut('w', n)}, '[^aeiouyèj]$'))"
+    e_end = lambda w: f"({w} LIKE '%e' AND {inside(w, 1, 'p1')} AND regexp_matches({cut(w, 1)}, '{c}$'))"
+    ig = lambda w: f"({w} LIKE '%ig' AND {inside(w, 2, 'p2')} AND {w} NOT LIKE '%eig')"
+    three, four = cut("w", 3), cut("w", 4)
+    vowels = "w"
+    for x in "aeou":
+        vowels = f"regexp_replace({vowels}, '({c}){x}{x}([^aeiouyèI])$', '\\1{x}\\2')"
+    stems = f"""WITH {DOCS}, words AS (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM docs),
+        counted AS (SELECT word, count(*) AS n, regexp_replace(regexp_replace(regexp_replace(translate(word, 'äáëéïíöóüú', 'aaeeiioouu'),
+          '^y', 'Y'), '({v})y', '\\1Y', 'g'), '({v})i({v})', '\\1I\\2', 'g') AS w FROM words GROUP BY word),
+        found AS (SELECT *, length(regexp_extract(w, '^.*?{v}{c}')) AS f, length(regexp_extract(w, '^.*?{v}{c}.*?{v}{c}')) AS b FROM counted),
+        regions AS (SELECT word, n, w, CASE WHEN f > 0 THEN greatest(f, 3) ELSE length(w) END AS p1,
+          CASE WHEN b > 0 THEN b ELSE length(w) END AS p2 FROM found),
+        one AS (SELECT word, n, p1, p2, CASE
+          WHEN w LIKE '%heden' THEN CASE WHEN {inside('w', 5, 'p1')} THEN {cut('w', 5)} || 'heid' ELSE w END
+          WHEN w LIKE '%ene' THEN CASE WHEN {en('w', 3)} THEN {undouble(cut('w', 3))} ELSE w END
+          WHEN w LIKE '%en' THEN CASE WHEN {en('w', 2)} THEN {undouble(cut('w', 2))} ELSE w END
+          WHEN w LIKE '%se' THEN CASE WHEN {s_end(2)} THEN {cut('w', 2)} ELSE w END
+          WHEN w LIKE '%s' THEN CASE WHEN {s_end(1)} THEN {cut('w', 1)} ELSE w END ELSE w END AS w FROM regions),
+        two AS (SELECT word, n, p1, p2, {e_end('w')} AS e, CASE WHEN {e_end('w')} THEN {undouble(cut('w', 1))} ELSE w END AS w FROM one),
+        three AS (SELECT word, n, p1, p2, e, w LIKE '%heid' AND {inside('w', 4, 'p2')} AND w NOT LIKE '%cheid' AS h, w FROM two),
+        cut3 AS (SELECT word, n, p1, p2, e, h, CASE WHEN h THEN {cut('w', 4)} ELSE w END AS w FROM three),
+        en3 AS (SELECT word, n, p1, p2, e, CASE WHEN h AND w LIKE '%en' AND {en('w', 2)} THEN {undouble(cut('w', 2))} ELSE w END AS w FROM cut3),
+        four AS (SELECT word, n, CASE
+          WHEN w LIKE '%end' OR w LIKE '%ing' THEN CASE WHEN {inside('w', 3, 'p2')} THEN CASE WHEN {ig(three)} THEN {cut(three, 2)}
+            ELSE {undouble(three)} END ELSE w END
+          WHEN w LIKE '%ig' THEN CASE WHEN {ig('w')} THEN {cut('w', 2)} ELSE w END
+          WHEN w LIKE '%lijk' THEN CASE WHEN {inside('w', 4, 'p2')} THEN CASE WHEN {e_end(four)} THEN {undouble(cut(four, 1))}
+            ELSE {four} END ELSE w END
+          WHEN w LIKE '%baar' THEN CASE WHEN {inside('w', 4, 'p2')} THEN {four} ELSE w END
+          WHEN w LIKE '%bar' THEN CASE WHEN {inside('w', 3, 'p2')} AND e THEN {three} ELSE w END ELSE w END AS w FROM en3)
+        SELECT word, n, lower({vowels}) AS stem FROM four"""
+    starts = "list_filter(range(0, len({p})), lambda i: i = 0 OR {begins})"
+    inner = starts.format(p="p", begins="p[i + 1] LIKE ' %'")
+    outer = starts.format(p="q", begins="NOT (q[i] LIKE '%.' AND list_contains(a, lower(regexp_extract(q[i], '([^ ]*)\\.$', 1))))")
+    return {
+        "abbreviation_list": f"WITH {docs}, {learned} SELECT type, n, n_stop, round(score, 6) AS score FROM learned",
+        "abbreviation_sentences": f"""WITH {docs}, {learned}, known AS (SELECT coalesce(list(type), []) AS a FROM learned),
+            pieces AS (SELECT doc_id, regexp_extract_all(text, '{SENTENCE}') AS p FROM short),
+            first AS (SELECT doc_id, p, {inner} AS s FROM pieces),
+            whole AS (SELECT doc_id, {joined.format(s="s", p="p")} AS q FROM first),
+            second AS (SELECT doc_id, q, {outer} AS s FROM whole, known)
+            SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string({joined.format(s="s", p="q")}, '|')) AS digest FROM second""",
+        "word_stems": stems,
+    }
+
+
 def _sources(known: dict[str, str]) -> dict[str, str]:
     """Sources, sinks, stores, and the checks of learners and explanations."""
     preds = " UNION ALL ".join(

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators import annotation, bayes, comparison, folds, labels, metrics, scaling, style, terms
+from ..operators import abbreviations, annotation, bayes, comparison, folds, labels, metrics, scaling, stems, style, terms
 from ..sources import archive, corpus
 from .search import NB_ALPHAS
 from .staging import keep, spread
@@ -89,6 +89,28 @@ def sentence_split(spark, sf):
     )
 
 
+def _abbreviated(spark, sf):
+    """The corpus with two words written as abbreviations, one of them with inner full stops."""
+    text = F.replace(F.replace(F.col("text"), F.lit(" the "), F.lit(" nr. ")), F.lit(" la "), F.lit(" s.v. "))
+    return articles(spark, sf).withColumn("text", text)
+
+
+def abbreviation_list(spark, sf):
+    return _rounded(abbreviations.learn(_abbreviated(spark, sf)), 6, ("type", "n", "n_stop"))
+
+
+def abbreviation_sentences(spark, sf):
+    """Sentences that learned abbreviations do not end."""
+    docs = _abbreviated(spark, sf)
+    rows = abbreviations.with_sentences(docs, abbreviations.known(abbreviations.learn(docs)))
+    return rows.select("doc_id", F.size("sentences").cast("bigint").alias("n"), F.md5(F.array_join("sentences", "|")).alias("digest"))
+
+
+def word_stems(spark, sf):
+    """Every distinct word with its stem by rules."""
+    return stems.stem_table(articles(spark, sf))
+
+
 def long_sentences(spark, sf):
     chunks = tx.split_long_sentences(tx.sentences(F.col("text")), 10)
     return articles(spark, sf).select("doc_id", F.posexplode(chunks).alias("pos", "chunk")).select(
@@ -499,7 +521,7 @@ def majority_vote(spark, sf):
 
 
 CORE = [
-    clean_ocr, style_basic, quote_ratio, remove_quotes, stop_words, lowercase, sentence_split, long_sentences,
+    clean_ocr, style_basic, quote_ratio, remove_quotes, stop_words, lowercase, sentence_split, abbreviation_list, abbreviation_sentences, word_stems, long_sentences,
     character_frequency, normalise_text, labelled_line_parse, label_dictionary, label_encode, label_decode,
     label_by_year, label_by_year_events, corpus_size, duplicate_texts, kfold, stratified_kfold, holdout_split,
     term_df, tfidf_weights, tfidf_scaled, chi2_select, robust_scale, minmax_scale, sentiment, linguistic,
