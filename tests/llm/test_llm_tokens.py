@@ -184,3 +184,21 @@ def test_an_empty_ledger_and_no_documents(spark, empty, tmp_path):
     ledger = token_counts.Ledger(spark, str(tmp_path / "l"))
     assert ledger.commit("0", ledger.insertions(token_counts.count_tokens(empty, {"a": BYTE_RANKS})))
     assert ledger.commit("1", ledger.deletions(empty.select("doc_id"))) and totals(ledger) == {}
+
+
+def test_a_batch_built_on_an_older_state_is_refused(spark, tmp_path):
+    ledger = token_counts.Ledger(spark, str(tmp_path / "l"))
+    docs = spark.createDataFrame([(1, "one two three", "en", "s"), (2, "four five", "en", "s")], "doc_id bigint, text string, lang string, source string")
+    counts = token_counts.count_tokens(docs, {"a": BYTE_RANKS})
+    ledger.commit("0", ledger.insertions(counts))
+    one, two = ledger.deletions(docs.where("doc_id = 1")), ledger.deletions(docs.where("doc_id = 1"))
+    late = ledger.revisions(token_counts.count_tokens(docs.where("doc_id = 2"), {"a": BYTE_RANKS}))
+    assert ledger.commit("1", one)
+    left = totals(ledger)
+    assert [n for n, _ in left.values()] == [1]
+    for name, batch in (("2", two), ("3", late)):
+        with pytest.raises(token_counts.StaleBatch):
+            ledger.commit(name, batch)
+    assert totals(ledger) == left and ledger.committed() == ["0", "1"]
+    assert ledger.commit("2", ledger.deletions(docs.where("doc_id = 1"))) and totals(ledger) == left
+    assert not ledger.commit("1", two) and totals(ledger) == left
