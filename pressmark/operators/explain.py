@@ -1,8 +1,8 @@
 """Local explanations: perturb rows on the executors, score them with the model, fit a
 weighted linear surrogate per row.
 
-All generators yield a bounded table per explained row (samples x its own words or
-features); the surrogate of one row is solved in one small task.
+Samples are made again from a hash wherever they are needed; no sample text is stored.  A surrogate is
+solved from weighted sums, the square of a row's own words or features, whatever the number of samples.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.lookup import broadcast_small
 from ..plans.quantiles import exact_quantiles
 from ..plans.staging import settle
 
@@ -36,38 +37,82 @@ ProbaFn = Callable[[DataFrame], DataFrame]
 """(doc_id, text or features, *carried) -> (doc_id, *carried, proba)."""
 
 
-def _ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
-    """Weighted ridge with an unpenalised intercept; solves the smaller of both systems."""
-    w = w / w.sum()
-    mx, my = w @ x, w @ y
-    root = np.sqrt(w)[:, None]
-    xc, yc = (x - mx) * root, (y - my) * root[:, 0]
-    scale = alpha / len(y)
-    if x.shape[1] <= x.shape[0]:
-        coef = np.linalg.solve(xc.T @ xc + scale * np.eye(x.shape[1]), xc.T @ yc)
-    else:
-        coef = xc.T @ np.linalg.solve(xc @ xc.T + scale * np.eye(x.shape[0]), yc)
-    return coef, float(my - mx @ coef)
-
-
-def _surrogate(x: np.ndarray, proba: np.ndarray, weights: np.ndarray, top: int) -> pd.DataFrame:
-    """Top features of a linear fit to the probability of the class predicted for row 0."""
-    # ridge strengths are meant for unnormalised sample weights
-    total = weights.sum() / len(weights)
-    label = int(np.argmax(proba[0]))
-    y = proba[:, label]
-    coef, _ = _ridge(x, y, weights, SELECTION_RIDGE / total)
-    chosen = np.argsort(-np.abs(coef * x[0]), kind="stable")[:top]
-    coef, intercept = _ridge(x[:, chosen], y, weights, FINAL_RIDGE / total)
-    order = np.argsort(-np.abs(coef), kind="stable")
-    fitted = x[:, chosen] @ coef + intercept
-    mean = np.average(y, weights=weights)
-    spread = np.average((y - mean) ** 2, weights=weights)
-    fit = 1.0 - np.average((y - fitted) ** 2, weights=weights) / spread if spread > 0 else 0.0
-    return pd.DataFrame({
-        "class_idx": label, "feature_idx": chosen[order].astype(int), "weight": coef[order],
-        "rank": np.arange(1, len(order) + 1), "intercept": intercept, "fit": fit,
-    })
+class Sums:
+    """Weighted sums of the samples of one row: all a surrogate needs, features squared in size."""
+
+    def __init__(self, width: int, classes: int):
+        self.n, self.weight, self.xx = 0, 0.0, np.zeros((width, width))
+        self.x, self.y, self.yy, self.xy = np.zeros(width), np.zeros(classes), np.zeros(classes), np.zeros((width, classes))
+        self.given: tuple[np.ndarray, np.ndarray] | None = None   # mask and shares of sample 0, the row itself
+
+    def add(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, sample: np.ndarray) -> None:
+        weighted = x * w[:, None]
+        self.n += len(w)
+        self.weight += w.sum()
+        self.xx += x.T @ weighted
+        self.x += weighted.sum(axis=0)
+        self.xy += weighted.T @ y
+        self.y += w @ y
+        self.yy += w @ (y * y)
+        for r in np.flatnonzero(sample == 0):
+            self.given = (x[r], y[r])
+
+    def ridge(self, label: int, alpha: float, chosen: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, float]:
+        """Weighted ridge with an unpenalised intercept over the ``chosen`` features."""
+        mx, my = self.x[chosen] / self.weight, self.y[label] / self.weight
+        xx = self.xx[chosen][:, chosen] / self.weight - np.outer(mx, mx)
+        xy = self.xy[chosen, label] / self.weight - mx * my
+        coef = np.linalg.solve(xx + alpha / self.n * np.eye(len(mx)), xy)
+        return coef, float(my - mx @ coef)
+
+    def surrogate(self, top: int) -> pd.DataFrame:
+        """Top features of a linear fit to the probability of the class predicted for the row itself."""
+        x0, proba = self.given
+        label = int(np.argmax(proba))
+        # ridge strengths are meant for unnormalised sample weights
+        total = self.weight / self.n
+        coef, _ = self.ridge(label, SELECTION_RIDGE / total)
+        chosen = np.argsort(-np.abs(coef * x0), kind="stable")[:top]
+        coef, intercept = self.ridge(label, FINAL_RIDGE / total, chosen)
+        order = np.argsort(-np.abs(coef), kind="stable")
+        mean = self.y[label] / self.weight
+        spread = self.yy[label] / self.weight - mean * mean
+        # weighted mean of (y - x coef - intercept)^2 from the sums
+        rest = (self.yy[label] - 2 * coef @ self.xy[chosen, label] - 2 * intercept * self.y[label]
+                + coef @ self.xx[chosen][:, chosen] @ coef + 2 * intercept * coef @ self.x[chosen]) / self.weight + intercept**2
+        fit = 1.0 - rest / spread if spread > 1e-15 else 0.0
+        return pd.DataFrame({
+            "class_idx": label, "feature_idx": chosen[order].astype(int), "weight": coef[order],
+            "rank": np.arange(1, len(order) + 1), "intercept": intercept, "fit": fit,
+        })
+
+
+def _solved(scored: DataFrame, key: str, weigh: Callable[[np.ndarray], np.ndarray], top: int, kind: str) -> DataFrame:
+    """One surrogate per ``key`` from (key, sample, mask, proba).
+
+    The samples of a row come one after the other and leave only their sums: memory is a batch and the
+    sums of one row.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, sums = None, None
+        for frame in frames:
+            if not len(frame):
+                continue
+            keys = frame[key].to_numpy()
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for low, high in zip(edges, edges[1:]):
+                part = frame.iloc[low:high]
+                x, y = np.stack(part["mask"].to_numpy()).astype(float), np.stack(part["proba"].to_numpy())
+                if sums is None or keys[low] != now:
+                    if sums is not None:
+                        yield sums.surrogate(top).assign(**{key: now})
+                    now, sums = keys[low], Sums(x.shape[1], y.shape[1])
+                sums.add(x, y, weigh(x), part["sample"].to_numpy())
+        if sums is not None:
+            yield sums.surrogate(top).assign(**{key: now})
+
+    return scored.select(key, "sample", "mask", "proba").mapInPandas(run, f"{_SURROGATE}, {key} {kind}")
 
 
 _SURROGATE = "class_idx int, feature_idx int, weight double, rank int, intercept double, fit double"
@@ -95,38 +140,38 @@ def explain_text(
         F.transform("parts", lambda p: F.struct(p.alias("p"), F.array_contains("words", p).alias("is_word"))).alias("parts"),
     ))
     draw = lambda w: F.xxhash64(F.lit(seed), F.col("item"), F.col("sample"), w)
+
+    def limited(rows: DataFrame) -> DataFrame:
+        """The rank limit of (item, sample, words): a word stays if its draw lies above; nothing of it is stored."""
+        removed = F.when(F.col("sample") == 0, 0).otherwise(
+            F.pmod(F.xxhash64(F.lit(seed), F.lit("m"), "item", "sample"), F.size("words").cast("bigint")).cast("int") + 1
+        )
+        limit = F.when(F.col("m") > 0, F.element_at(F.sort_array(F.transform("words", draw)), F.greatest(F.col("m"), F.lit(1))))
+        return rows.withColumn("m", removed).withColumn("limit", limit)
+
+    kept_word = lambda w: F.col("limit").isNull() | (draw(w) > F.col("limit"))
     sampled = split.select(
         F.col("doc_id").alias("item"), "words", "parts", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")
     )
     # the articles are few and the samples many: spread the samples
-    sampled = sampled.repartition("item", "sample")
-    removed = F.when(F.col("sample") == 0, 0).otherwise(
-        F.pmod(F.xxhash64(F.lit(seed), F.lit("m"), "item", "sample"), F.size("words").cast("bigint")).cast("int") + 1
-    )
-    limit = F.when(F.col("m") > 0, F.element_at(F.sort_array(F.transform("words", draw)), F.greatest(F.col("m"), F.lit(1))))
-    masked = sampled.withColumn("m", removed).withColumn("limit", limit)
-    kept_word = lambda w: F.col("limit").isNull() | (draw(w) > F.col("limit"))
-    perturbed = masked.select(
+    perturbed = limited(sampled.repartition("item", "sample")).select(
         # a key of its own for every sample: item and sample as text never overflow or collide
         F.concat_ws(":", "item", "sample").alias("doc_id"), "item", "sample",
-        F.transform("words", kept_word).alias("mask"),
         F.array_join(
             F.transform(F.filter("parts", lambda s: ~s["is_word"] | kept_word(s["p"])), lambda s: s["p"]), ""
         ).alias("text"),
     )
-    scored = predict_proba(settle(perturbed))
+    scored = predict_proba(perturbed).select("item", "sample", "proba")
+    words = split.select(F.col("doc_id").alias("item"), "words")
+    # only the shares move to the item's task; its words come once and the masks are made again there
+    together = scored.join(words.hint("shuffle_hash"), "item").sortWithinPartitions("item", "sample")
+    masked = limited(together).withColumn("mask", F.transform("words", kept_word))
 
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sample")
-        x = np.stack(rows["mask"].to_numpy()).astype(float)
-        p = np.stack(rows["proba"].to_numpy())
+    def weigh(x: np.ndarray) -> np.ndarray:
         cosine = np.sqrt(x.sum(axis=1) / x.shape[1])  # with the all-ones row
-        weights = np.sqrt(np.exp(-((100 * (1 - cosine)) ** 2) / TEXT_KERNEL**2))
-        out = _surrogate(x, p, weights, top)
-        out.insert(0, "item", key[0])
-        return out
+        return np.sqrt(np.exp(-((100 * (1 - cosine)) ** 2) / TEXT_KERNEL**2))
 
-    solved = scored.select("item", "sample", "mask", "proba").groupBy("item").applyInPandas(solve, f"item bigint, {_SURROGATE}")
+    solved = _solved(masked, "item", weigh, top, "bigint")
     named = split.select(F.col("doc_id").alias("item"), F.posexplode("words").alias("feature_idx", "feature"))
     return solved.join(named, ["item", "feature_idx"]).select(
         F.col("item").alias("doc_id"), "class_idx", "feature", "weight", "rank", "intercept", "fit"
@@ -149,7 +194,7 @@ class TrainingBins:
         """``rows`` (doc_id, array column); one row per feature and bin reaches the driver."""
         long = rows.select(F.posexplode(features).alias("key", "value")).select("key", F.col("value").cast("double").alias("value"))
         quartiles = settle(exact_quantiles(long, [0.25, 0.5, 0.75]))
-        joined = long.join(F.broadcast(quartiles), "key")
+        joined = long.join(broadcast_small(quartiles), "key")
         bins = (
             joined.withColumn("bin", F.size(F.filter("q", lambda b: F.col("value") > b)))
             .groupBy("key", "bin").agg(
@@ -220,17 +265,13 @@ def explain_rows(
     drawn = spread.mapInPandas(draw, "doc_id bigint, sample int, x array<double>, mask array<boolean>")
     scored = predict_proba(drawn.withColumn("features", array_to_vector("x")).drop("x"))
 
-    def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("sample")
-        x = np.stack(group["mask"].to_numpy()).astype(float)
-        p = np.stack(group["proba"].to_numpy())
+    def weigh(x: np.ndarray) -> np.ndarray:
+        # sample 0 lies in all of the row's own bins
         width = np.sqrt(x.shape[1]) * 0.75
-        distance = ((x - x[0]) ** 2).sum(axis=1)
-        out = _surrogate(x, p, np.sqrt(np.exp(-distance / width**2)), top)
-        out.insert(0, "doc_id", key[0])
-        return out
+        return np.sqrt(np.exp(-((x - 1.0) ** 2).sum(axis=1) / width**2))
 
-    return scored.select("doc_id", "sample", "mask", "proba").groupBy("doc_id").applyInPandas(solve, f"doc_id bigint, {_SURROGATE}")
+    together = scored.select("doc_id", "sample", "mask", "proba").repartition("doc_id").sortWithinPartitions("doc_id", "sample")
+    return _solved(together, "doc_id", weigh, top, "bigint").select("doc_id", *[c.split()[0] for c in _SURROGATE.split(", ")])
 
 
 def tabular_samples(n_features: int) -> int:
