@@ -35,11 +35,13 @@ def bags_in_row(
 
     The sorted terms of a document are cut where a term differs from the one before it.
     """
-    grams = docs.select("doc_id", *carry, F.array_sort(tx.ngrams(tx.vector_terms(F.col(text)), *ngram_range)).alias("g"))
+    tokens = docs.select("doc_id", *carry, tx.vector_terms(F.col(text)).alias("tokens"))
+    grams = tokens.select("doc_id", *carry, F.sort_array(tx.ngrams(F.col("tokens"), *ngram_range)).alias("g"))
     starts = F.expr("filter(transform(g, (x, i) -> if(i > 0 and x = get(g, i - 1), null, i)), i -> i is not null)")
     counted = grams.withColumn("s", starts).select(
         "doc_id", *carry, F.expr("transform(s, (b, n) -> struct(get(g, b) as term, cast(coalesce(get(s, n + 1), size(g)) - b as bigint) as tf))").alias("t"))
-    return counted.select("doc_id", *carry, F.inline("t"))
+    # an inner generator would have its emptiness test pushed below, with every step written into the next
+    return counted.select("doc_id", *carry, F.inline_outer("t")).where("term IS NOT NULL")
 
 
 def document_frequency(bags: DataFrame, min_df: int = MIN_DF) -> DataFrame:
