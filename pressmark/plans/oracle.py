@@ -419,6 +419,19 @@ def _sources(known: dict[str, str]) -> dict[str, str]:
             FROM (WITH {bayes("w", repr(alpha))} SELECT * FROM best) b JOIN docs USING (doc_id)"""
         for name, alpha in (("nb_smooth", 1.0), ("nb", 0.1)))
     scored = f"""WITH {DOCS}, {bags()}, {tfidf(ALL_TRAIN)}, test AS (SELECT 0 AS v, doc_id FROM docs), preds AS ({preds})"""
+    chosen = bayes("wk").replace("idfs", "kept")
+    chi2_cv = f"""WITH {DOCS}, {FOLDS.replace('ntile(10)', 'ntile(3)')}, {bags()}, {tfidf(FOLD_TRAIN.format(k=3))},
+        test AS (SELECT fold AS v, doc_id FROM folds),
+        shares AS (SELECT v, label, count(*)::DOUBLE / any_value(n) AS share FROM train JOIN docs USING (doc_id) JOIN sizes USING (v)
+          GROUP BY v, label),
+        seen AS (SELECT v, term, label, sum(w.w) AS o FROM w JOIN train USING (v, doc_id) JOIN docs USING (doc_id) GROUP BY v, term, label),
+        whole AS (SELECT v, term, sum(o) AS t FROM seen GROUP BY v, term),
+        chi AS (SELECT whole.v, whole.term, round(sum(power(coalesce(o, 0) - t * share, 2) / (t * share)), 6) AS c
+          FROM whole JOIN shares USING (v) LEFT JOIN seen ON seen.v = whole.v AND seen.term = whole.term AND seen.label = shares.label
+          GROUP BY whole.v, whole.term),
+        kept AS (SELECT v, term FROM chi QUALIFY row_number() OVER (PARTITION BY v ORDER BY c DESC, 'TFIDF__' || term) <= 200),
+        wk AS (SELECT w.* FROM w SEMI JOIN kept USING (v, term)), {chosen}
+        SELECT doc_id, fold, label AS truth, predicted FROM best JOIN folds USING (doc_id)"""
     columns = ", ".join(f"(lang = '{c}')::INT::DOUBLE AS {c}" for c in ("de", "en", "es", "fr"))
     return {
         "lines_corpus": f"""WITH {DOCS} SELECT d.doc_id AS page, lang AS label, 1950 + d.doc_id % 40 AS year, source AS newspaper,
@@ -438,6 +451,7 @@ def _sources(known: dict[str, str]) -> dict[str, str]:
             early AS (SELECT DISTINCT sha FROM shas WHERE doc_id % 2 = 0)
             SELECT doc_id, sha, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::BIGINT AS n_letters,
               CASE WHEN sha IN (SELECT sha FROM early) THEN 'even' ELSE 'all' END AS writer FROM shas""",
+        "chi2_bayes_cv": chi2_cv,
         "model_store": f"{_full()} SELECT doc_id, predicted FROM best",
         "score_pipelines": f"{scored} SELECT doc_id, pipeline_id, predicted, truth FROM preds",
         "score_metrics": f"{scored}, {metrics('preds')} SELECT pipeline_id, {ROUNDED} FROM result",

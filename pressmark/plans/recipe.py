@@ -11,6 +11,7 @@ basic and quote blocks still see them.
 
 from __future__ import annotations
 
+import importlib
 import json
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -26,6 +27,36 @@ from .staging import keep, settle
 TFIDF, STYLE, STYLE_TFIDF = "tfidf", "style", "style_tfidf"
 
 
+class FeatureStep:
+    """A user's own fitted step over long features (doc_id, feature, value); a dataclass of plain parameters.
+
+    What ``fit`` learns from the training documents is a table; it is applied to every later document, and
+    saved and loaded with the recipe.
+    """
+
+    def fit(self, features: DataFrame, labelled: DataFrame) -> DataFrame:
+        """State from the training features and (doc_id, label_idx)."""
+        raise NotImplementedError
+
+    def apply(self, features: DataFrame, state: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+
+@dataclass(frozen=True)
+class BestByChi2(FeatureStep):
+    """Keep the ``k`` features with the largest chi2 against the label (rounded to six digits, then by name)."""
+
+    k: int = 100
+
+    def fit(self, features: DataFrame, labelled: DataFrame) -> DataFrame:
+        scores = terms.chi2_scores(features, labelled.withColumnRenamed("label_idx", "label"), "feature", "value")
+        return terms.select_k_best(scores.withColumn("chi2", F.round("chi2", 6)), self.k, "feature").select("feature")
+
+    def apply(self, features: DataFrame, state: DataFrame) -> DataFrame:
+        # at most k rows
+        return features.join(F.broadcast(state), "feature", "left_semi").select(*features.columns)
+
+
 @dataclass(frozen=True)
 class PipelineSpec:
     features: str = TFIDF
@@ -43,6 +74,7 @@ class PipelineSpec:
     ngram_range: tuple[int, int] = (1, 2)
     blocks: Sequence[str] = ("Basic", "Quote", "Sentiment", "Linguistic")
     steps: Sequence[Callable[[DataFrame], DataFrame]] = ()  # (doc_id, text, ...) -> the same, after all steps above
+    feature_steps: Sequence[FeatureStep] = ()    # fitted on the training features, after extraction and scaling
 
 
 def prepare(spec: PipelineSpec, docs: DataFrame, raw: str = "raw_text") -> DataFrame:
@@ -94,6 +126,7 @@ class FeatureModel:
     spec: PipelineSpec
     tfidf: terms.TfIdfModel | None
     scalers: list[scaling.ScalerModel]
+    states: list[DataFrame] = field(default_factory=list)   # one table per feature step
 
     def raw(self, docs: DataFrame, tokens: DataFrame | None) -> DataFrame:
         parts = {}
@@ -111,6 +144,8 @@ class FeatureModel:
         features = self.raw(docs, tokens)
         for scaler in self.scalers:
             features = scaler.transform(features)
+        for step, state in zip(self.spec.feature_steps, self.states, strict=True):
+            features = step.apply(features, state)
         return features
 
 
@@ -137,6 +172,10 @@ def _fit_features(spec, docs, n_docs, tokens):
         scaler = fit_one(features)
         model.scalers.append(scaler)
         features = settle(scaler.transform(features))
+    for step in spec.feature_steps:
+        state = settle(step.fit(features, docs.select("doc_id", "label_idx")))
+        model.states.append(state)
+        features = settle(step.apply(features, state))
     return model, features
 
 
@@ -242,6 +281,8 @@ def fit(spec: PipelineSpec, articles: DataFrame, tokens: DataFrame | None = None
 
 def _is_text_svm(spec: PipelineSpec) -> bool:
     """The default recipe: TF-IDF and linear support vectors."""
+    if spec.feature_steps:
+        return False
     return spec.learner == "svc" and spec.features == TFIDF and learners.parameters("svc", **spec.learner_parameters).kernel == "linear"
 
 
@@ -279,7 +320,7 @@ def cross_validate(
     folded = keep(fold_ops.shuffled_folds(articles, k, seed))
     if _is_text_svm(spec):
         return _text_svm_folds(spec, folded, k, raw)[0]
-    if spec.learner == "nb" and spec.features == TFIDF:
+    if spec.learner == "nb" and spec.features == TFIDF and not spec.feature_steps:
         names = label_ops.label_list(articles)
         index = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("label").cast("string")) - 1
         docs = _unquoted(spec, prepare(spec, folded.select("doc_id", "label", "fold", index.cast("int").alias("label_idx"), raw), raw))
@@ -348,14 +389,17 @@ def save(model: FittedPipeline, path: str) -> None:
         model.features.tfidf.table.write.parquet(f"{root}/idf")
     for i, scaler in enumerate(model.features.scalers):
         scaler.table.write.parquet(f"{root}/scaler_{i}")
+    for i, state in enumerate(model.features.states):
+        state.write.parquet(f"{root}/state_{i}")
     tables = {}
     for name in ("dictionary", "sentiment_lexicon", "lexicon"):
         frame = getattr(model.spec, name)
         tables[name] = frame is not None
         if frame is not None:
             frame.write.parquet(f"{root}/{name}")
-    plain = asdict(replace(model.spec, dictionary=None, sentiment_lexicon=None, lexicon=None))
+    plain = asdict(replace(model.spec, dictionary=None, sentiment_lexicon=None, lexicon=None, feature_steps=()))
     del plain["steps"]
+    plain["feature_steps"] = [[type(x).__module__, type(x).__qualname__, asdict(x)] for x in model.spec.feature_steps]
     settings = {
         "spec": plain, "tables": tables, "labels": model.labels,
         "priors": model.bayes.priors if model.bayes else None,
@@ -371,6 +415,8 @@ def load(spark, path: str) -> FittedPipeline:
     plain = settings["spec"]
     for name in ("stop_words", "linguistic", "ngram_range", "blocks"):
         plain[name] = tuple(plain[name])
+    plain["feature_steps"] = tuple(
+        getattr(importlib.import_module(module), name)(**given) for module, name, given in plain["feature_steps"])
     for name, present in settings["tables"].items():
         plain[name] = spark.read.parquet(f"{root}/{name}") if present else None
     spec = PipelineSpec(**plain)
@@ -380,7 +426,8 @@ def load(spark, path: str) -> FittedPipeline:
     scalers = [
         scaling.ScalerModel(spark.read.parquet(f"{root}/scaler_{i}"), n) for i, n in enumerate(settings["scalers"])
     ]
-    features, names, size = FeatureModel(spec, tfidf, scalers), settings["labels"], settings["n_features"]
+    states = [spark.read.parquet(f"{root}/state_{i}") for i in range(len(spec.feature_steps))]
+    features, names, size = FeatureModel(spec, tfidf, scalers, states), settings["labels"], settings["n_features"]
     if settings["priors"] is None:
         space = vectors.VectorSpace(spark.read.parquet(f"{root}/space"), size) if size else None
         learner = learners.FittedLearner.load(f"{root}/learner", spark)

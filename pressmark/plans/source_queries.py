@@ -145,6 +145,13 @@ def model_store(spark, sf):
     return recipe.load(spark, path).predict(docs.drop("label"))
 
 
+def chi2_bayes_cv(spark, sf):
+    """Naive Bayes on the 200 terms chosen by chi2: the choice is a user's step, fitted on the training folds only."""
+    spec = recipe.PipelineSpec(learner="nb", scaling=False, quote_removal=False, feature_steps=(recipe.BestByChi2(200),))
+    out = recipe.cross_validate(spec, _articles(spark, sf), k=3)
+    return out.select("doc_id", F.col("fold").cast("bigint").alias("fold"), "truth", "predicted")
+
+
 def score_pipelines(spark, sf):
     """Fitted recipes on one corpus, in long form with the truth."""
     return _scored(spark, sf).select("doc_id", "pipeline_id", "predicted", "truth")
@@ -194,7 +201,7 @@ def _dictionaries(spark, sf):
 
 
 QUERIES = [
-    lines_corpus, line_numbers, strict_load, csv_corpus, stop_word_source, prediction_sink, corpus_store, token_store, annotation_store, model_store,
+    lines_corpus, line_numbers, strict_load, csv_corpus, stop_word_source, prediction_sink, corpus_store, token_store, annotation_store, model_store, chi2_bayes_cv,
     score_pipelines, score_metrics, score_comparison, selected_features, dict_vectoriser, dict_keys,
 ]
 
