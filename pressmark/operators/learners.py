@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 import json
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, fields
 
 import numpy as np
@@ -314,6 +315,42 @@ def importances(spark, fitted: FittedLearner, names: Sequence[str] | DataFrame,
     return relative_importance(rows, sum(used.values()), top)
 
 
+def split_counts(spark, fitted: FittedLearner, names: Sequence[str] | DataFrame, path: str) -> DataFrame:
+    """(feature, n_splits, gain) of every feature: how many inner nodes of all trees ask for it, and their summed gain.
+
+    The trees are saved below ``path`` (a new folder every executor can reach) and their nodes read back as
+    a table, so no tree is walked on the driver.  ``names`` as of ``importances``; a feature no node asks
+    for has 0 and 0.0.
+    """
+    nodes = saved_nodes(spark, fitted, path).where(F.col("feature_idx") >= 0)
+    if not isinstance(names, DataFrame):
+        names = spark.createDataFrame(list(enumerate(names)), "idx int, feature string")
+    counted = nodes.groupBy(F.col("feature_idx").alias("idx")).agg(F.count(F.lit(1)).alias("n_splits"), F.sum("gain").alias("gain"))
+    return names.join(counted, "idx", "left").select(
+        "feature", F.coalesce("n_splits", F.lit(0)).cast("bigint").alias("n_splits"), F.coalesce("gain", F.lit(0.0)).alias("gain"))
+
+
+def saved_nodes(spark, fitted: FittedLearner, path: str) -> DataFrame:
+    """(model, tree, node, feature_idx, gain, n_rows) of every node of a fitted tree learner; a leaf has feature -1.
+
+    ``model`` is the class of a one-vs-rest model, else 0.
+    """
+    models = getattr(fitted.model, "models", None) or [fitted.model]
+    if not all(hasattr(m, "trees") for m in models):
+        raise ValueError("only tree learners have splits")
+    root = path.rstrip("/")
+    with ThreadPoolExecutor(min(8, len(models))) as pool:
+        list(pool.map(lambda i: models[i].write().save(f"{root}/model={i}"), range(len(models))))
+    # the writer's layout: one folder of node rows per model
+    node = F.col("nodeData")
+    parts = spark.read.option("basePath", root).parquet(*[f"{root}/model={i}/data" for i in range(len(models))])
+    inner = node["leftChild"] >= 0
+    return parts.select(
+        F.col("model").cast("int").alias("model"), F.col("treeID").alias("tree"), node["id"].alias("node"),
+        F.when(inner, node["split"]["featureIndex"]).otherwise(-1).alias("feature_idx"),
+        F.when(inner, node["gain"]).otherwise(0.0).alias("gain"), node["rawCount"].alias("n_rows"))
+
+
 def relative_importance(rows: DataFrame, total: float, top: int = 30) -> DataFrame:
     """(feature, importance): shares of ``total``, the ``top`` largest."""
     share = rows.select("feature", F.round(F.col("importance") / (total or 1.0), 3).alias("importance"))

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
 from ..operators import bayes, explain, labels, learners, svm, terms, vectors
-from . import queries as q
+from ..session import scratch_path
+from . import queries as q, search
+from .recipe import PipelineSpec
 from .staging import settle, spread
 
 DIM = 64
@@ -19,6 +21,7 @@ NAMES = [f"e{i:02d}" for i in range(DIM)]
 TEXT_SAMPLES = explain.SAMPLES
 # Coalitions of a Kernel SHAP explanation: a parameter of the query, as its background is.
 SHAP_SAMPLES = 256
+STYLE_FOREST = PipelineSpec(features="style", learner="rf", blocks=("Basic", "Quote"))
 
 
 def embeddings(spark, sf) -> tuple[DataFrame, list[str]]:
@@ -90,6 +93,55 @@ def rf_importance(spark, sf):
     return learners.importances(spark, fitted, NAMES)
 
 
+def _splits(spark, sf, tag, **parameters):
+    _, fitted = _fit(spark, sf, tag, **parameters)
+    return fitted, learners.split_counts(spark, fitted, NAMES, scratch_path(spark, "trees"))
+
+
+def xgb_split_counts(spark, sf):
+    """Splits and gain per feature of boosted trees, all classes together."""
+    return _splits(spark, sf, "xgb")[1].select("feature", "n_splits", F.round("gain", 6).alias("gain"))
+
+
+def lgbm_split_counts(spark, sf):
+    """The same of the forest mode."""
+    return _splits(spark, sf, "lgbm", boosting_type="rf")[1].select("feature", "n_splits", F.round("gain", 6).alias("gain"))
+
+
+def split_count_checks(spark, sf):
+    """Splits of all features against the node numbers of the model itself: a binary tree has one leaf more than inner nodes."""
+    fitted, counts = _splits(spark, sf, "lgbm", boosting_type="rf")
+    inner = sum((m.totalNumNodes - m.getNumTrees) // 2 for m in getattr(fitted.model, "models", None) or [fitted.model])
+    used = [i for i, v in enumerate(fitted.model.featureImportances.toArray()) if v > 0]
+    return counts.agg(
+        F.count(F.lit(1)).alias("n_features"), (F.sum("n_splits") == inner).alias("all_nodes"),
+        (F.sum(F.when(F.col("feature").isin(*[NAMES[i] for i in used]), F.col("n_splits")).otherwise(0)) == F.sum("n_splits")).alias("used_only"),
+        (F.sum((F.col("n_splits") > 0).cast("int")) >= len(used)).alias("all_used"), (F.min("gain") >= 0).alias("no_loss"))
+
+
+def svc_grid(spark, sf):
+    """The default recipe's penalty, searched over five folds: all candidates, folds and class pairs in the same rounds."""
+    table = search.score_candidates(PipelineSpec(learner="svc"), search.SVC_SPACE, _raw_articles(spark, sf))
+    return _ranked(table, search.SVC_SPACE)
+
+
+def rf_grid(spark, sf):
+    """A forest on style features, searched over five folds; finished scores are kept in a ledger."""
+    return _ranked(search.score_candidates(
+        STYLE_FOREST, search.RF_SPACE, _raw_articles(spark, sf), ledger=scratch_path(spark, "ledger")), search.RF_SPACE)
+
+
+def rf_grid_top(spark, sf):
+    """The report of the same search: ranks 1 to 3, ties included."""
+    return search.top_candidates(rf_grid(spark, sf))
+
+
+def _ranked(table, space):
+    return table.select(
+        "candidate_id", *[F.col("params")[n].alias(n) for n in sorted(space)], F.round("mean_score", 6).alias("mean_score"),
+        F.round("std_score", 6).alias("std_score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 def _raw_articles(spark, sf):
     return spread(q.documents(spark, sf).select("doc_id", F.col("lang").alias("label"), F.col("text").alias("raw_text")))
 
@@ -249,6 +301,7 @@ def lime_text_checks(spark, sf):
 
 MODELS = [
     text_svm_cv, text_svm_cv_accuracy, text_svm_checks, importance_checks, shap_checks, lime_text_checks,
+    xgb_split_counts, lgbm_split_counts, split_count_checks, svc_grid, rf_grid, rf_grid_top,
     svm_predict, svm_rbf_predict, rf_predict, gb_predict, xgb_linear_predict, lgbm_forest_predict, mlp_predict,
     svm_pair_weights, class_pairs, rf_importance, text_svm_predict, style_bayes_predict, combined_bayes_predict,
     lime_text, lime_tabular, shap_values,

@@ -342,6 +342,7 @@ def statements() -> dict[str, str]:
         round(CASE WHEN sum(n) OVER w > 0 THEN n / sum(n) OVER w ELSE 0 END, 9) AS share FROM c
         WINDOW w AS (PARTITION BY pipeline_id, truth)"""
     out["nb_grid"] = _grid()
+    out["nb_grid_top"] = f"SELECT * FROM ({_grid()}) WHERE rank <= 3"
     out |= _sources(out)
     out["class_pairs"] = """WITH l AS (SELECT DISTINCT label::VARCHAR AS label, label AS n FROM embeddings)
         SELECT row_number() OVER (ORDER BY a.n, b.n) - 1 AS pair, a.label AS first, b.label AS second
@@ -466,6 +467,8 @@ def _sources(known: dict[str, str]) -> dict[str, str]:
         "text_svm_cv_accuracy": """SELECT count(*) AS n_rows, count(*) AS n_docs, 10::BIGINT AS n_folds, true AS folds_right,
             true AS labels_right FROM documents""",
         "importance_checks": "SELECT 64::BIGINT AS n_features, 64::BIGINT AS n_names, true AS adds_up, true AS positive",
+        "split_count_checks": """SELECT 64::BIGINT AS n_features, true AS all_nodes, true AS used_only, true AS all_used,
+            true AS no_loss""",
         "shap_checks": """SELECT n AS n_values, n AS n_exact, n AS n_full
             FROM (SELECT count(*) * count(DISTINCT label) AS n FROM embeddings)""",
         "lime_text_checks": "SELECT count(*) AS n_items, count(*) AS n_short, count(*) AS n_ranked, count(*) AS n_held FROM benchmark",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import text as tx
 from ..operators import abbreviations, annotation, bayes, comparison, folds, labels, metrics, scaling, stems, style, terms
 from ..sources import archive, corpus
-from .search import NB_ALPHAS
+from .search import NB_ALPHAS, top_candidates
 from .staging import keep, spread
 
 # Query parameters shared with the SQL side.
@@ -423,6 +423,11 @@ def nb_grid(spark, sf):
     return _rounded(naive_bayes_grid(docs, ALPHAS), 9, ("candidate_id", "alpha", "rank"))
 
 
+def nb_grid_top(spark, sf):
+    """The report of the same search: ranks 1 to 3, ties included."""
+    return top_candidates(nb_grid(spark, sf))
+
+
 def bulk_score(spark, sf):
     """Documents as archive lines, parsed, scored and decoded to the sink's columns."""
     docs = spread(documents(spark, sf))
@@ -527,7 +532,7 @@ CORE = [
     term_df, tfidf_weights, tfidf_scaled, chi2_select, robust_scale, minmax_scale, sentiment, linguistic,
     entity_frequency, maximal_entities, style_vector, feature_union, cache_misses, cache_hits,
     nb_predict, nb_scaled_predict, nb_proba, nb_cv_predictions, nb_cv_scaled, nb_cv_metrics, nb_quality_predict,
-    nb_grid, bulk_score, confusion, confusion_norm, class_support, pipeline_metrics, percent_scores, metric_compare,
+    nb_grid, nb_grid_top, bulk_score, confusion, confusion_norm, class_support, pipeline_metrics, percent_scores, metric_compare,
     accuracy, comparison_long, comparison_wide, agreement_sets, agreement_members, majority_vote,
 ]
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..operators import annotation, bayes, explain, folds as fold_ops, labels as label_ops, learners, scaling, style, svm, terms, text_svm, vectors
+from ..session import scratch_path
 from .ranks import hash_key
 from .staging import keep, settle
 
@@ -203,7 +204,10 @@ class FittedPipeline:
         if self.learner is not None and isinstance(self.learner.model, svm.TextSvmModel):
             bags = terms.bags_in_row(_unquoted(self.spec, prepared), ngram_range=self.spec.ngram_range)
             return self.learner.named(self.learner.model.score_bags(bags, ids)).select("doc_id", "predicted", "proba")
-        long = self.features.transform(prepared, tokens)
+        return self.proba_of_features(self.features.transform(prepared, tokens), ids)
+
+    def proba_of_features(self, long: DataFrame, ids: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+        """(doc_id, predicted, proba) of documents ``ids`` with long features; ``rows`` are their vectors if there are some."""
         if self.bayes is not None:
             scores = self.bayes.scores(long, ids)
             return scores.select(
@@ -212,7 +216,7 @@ class FittedPipeline:
         if self.linear:
             scored = self.learner.named(self.learner.model.score_long(long, self.weights(), self.space.size, ids))
         else:
-            scored = self.learner.transform(self.space.vectors(long, ids))
+            scored = self.learner.transform(self.space.vectors(long, ids) if rows is None else rows)
         return scored.select("doc_id", "predicted", "proba")
 
     @property
@@ -240,6 +244,13 @@ class FittedPipeline:
             raise ValueError("only tree learners have importances")
         return learners.importances(self.space.index.sparkSession, self.learner, self.space.index, top)
 
+    def split_counts(self) -> DataFrame:
+        """(feature, n_splits, gain) of a tree learner's features."""
+        if self.learner is None or self.learner.tag not in ("rf", "gb", "xgb", "lgbm"):
+            raise ValueError("only tree learners have splits")
+        spark = self.space.index.sparkSession
+        return learners.split_counts(spark, self.learner, self.space.index, scratch_path(spark, "trees"))
+
     def explain(self, docs: DataFrame, samples: int = explain.SAMPLES, top: int = explain.FEATURES, raw: str = "raw_text") -> DataFrame:
         """(doc_id, class, feature, weight, rank): the words that speak for the predicted class.
 
@@ -260,26 +271,53 @@ class FittedPipeline:
         return self.predict_proba(docs, tokens, raw).select("doc_id", "predicted")
 
 
-def fit(spec: PipelineSpec, articles: DataFrame, tokens: DataFrame | None = None, raw: str = "raw_text") -> FittedPipeline:
-    """Fit every step on (doc_id, label, raw text)."""
-    names = label_ops.label_list(articles)
-    index = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("label").cast("string")) - 1
-    train = settle(prepare(spec, articles.select("doc_id", index.cast("int").alias("label_idx"), raw), raw))
-    n_docs = train.count()
-    if _is_text_svm(spec):
-        return _fit_text_svm(spec, train, names, n_docs)
-    model, features = fit_features(spec, train, n_docs, tokens)
+@dataclass
+class TrainingSet:
+    """Labelled documents with fitted features: what any number of learner settings can be fitted on."""
+
+    spec: PipelineSpec
+    labels: list[str]
+    features: FeatureModel
+    long: DataFrame                          # features of the documents
+    ids: DataFrame                           # (doc_id, label_idx)
+    space: vectors.VectorSpace | None = None
+    rows: DataFrame | None = None            # vectors, for learners that need them
+
+    def fit(self, parameters: Mapping) -> FittedPipeline:
+        spec = replace(self.spec, learner_parameters=dict(parameters))
+        if spec.learner == "nb":
+            alpha = learners.parameters("nb", **parameters).alpha
+            return FittedPipeline(spec, self.labels, self.features, bayes=bayes.fit_long_bayes(self.long, self.ids, self.labels, alpha))
+        fitted = learners.fit_learner(spec.learner, self.rows, self.labels, self.space.size, **parameters)
+        return FittedPipeline(spec, self.labels, self.features, learner=fitted, space=self.space)
+
+
+def training_set(spec: PipelineSpec, articles: DataFrame, tokens: DataFrame | None = None, raw: str = "raw_text") -> TrainingSet:
+    """Fit every step before the learner on (doc_id, label, raw text)."""
+    train, names = _encoded(spec, articles, raw)
+    model, features = fit_features(spec, train, train.count(), tokens)
     ids = train.select("doc_id", "label_idx")
     if spec.learner == "nb":
-        alpha = learners.parameters("nb", **spec.learner_parameters).alpha
-        return FittedPipeline(spec, names, model, bayes=bayes.fit_long_bayes(features, ids, names, alpha))
+        return TrainingSet(spec, names, model, features, ids)
     space = vectors.fit_vector_space(features)
-    rows = settle(space.vectors(features, ids))
-    fitted = learners.fit_learner(spec.learner, rows, names, space.size, **spec.learner_parameters)
-    return FittedPipeline(spec, names, model, learner=fitted, space=space)
+    return TrainingSet(spec, names, model, features, ids, space, settle(space.vectors(features, ids)))
+
+
+def _encoded(spec: PipelineSpec, articles: DataFrame, raw: str) -> tuple[DataFrame, list[str]]:
+    names = label_ops.label_list(articles)
+    index = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("label").cast("string")) - 1
+    return settle(prepare(spec, articles.select("doc_id", index.cast("int").alias("label_idx"), raw), raw)), names
+
 
+def fit(spec: PipelineSpec, articles: DataFrame, tokens: DataFrame | None = None, raw: str = "raw_text") -> FittedPipeline:
+    """Fit every step on (doc_id, label, raw text)."""
+    if is_text_svm(spec):
+        train, names = _encoded(spec, articles, raw)
+        return _fit_text_svm(spec, train, names, train.count())
+    return training_set(spec, articles, tokens, raw).fit(spec.learner_parameters)
 
-def _is_text_svm(spec: PipelineSpec) -> bool:
+
+def is_text_svm(spec: PipelineSpec) -> bool:
     """The default recipe: TF-IDF and linear support vectors."""
     if spec.feature_steps:
         return False
@@ -318,7 +356,7 @@ def cross_validate(
     small thread pool.
     """
     folded = keep(fold_ops.shuffled_folds(articles, k, seed))
-    if _is_text_svm(spec):
+    if is_text_svm(spec):
         return _text_svm_folds(spec, folded, k, raw)[0]
     if spec.learner == "nb" and spec.features == TFIDF and not spec.feature_steps:
         names = label_ops.label_list(articles)
@@ -347,15 +385,29 @@ def cross_validate(
 
 def _text_svm_folds(spec: PipelineSpec, folded: DataFrame, k: int, raw: str) -> tuple[DataFrame, text_svm.FittedTextSvm]:
     """Out-of-fold predictions (doc_id, fold, truth, predicted) of the default recipe, and the fitted models."""
+    given = learners.parameters("svc", **spec.learner_parameters)
+    votes, fitted = text_svm_candidates(spec, folded, list(range(k)), [given.penalty_parameter_c], raw)
+    return votes.select("doc_id", "fold", "truth", "predicted"), fitted
+
+
+def text_svm_candidates(
+    spec: PipelineSpec, folded: DataFrame, held_out: Sequence[int], penalties: Sequence[float], raw: str = "raw_text",
+) -> tuple[DataFrame, text_svm.FittedTextSvm]:
+    """Out-of-fold predictions (doc_id, fold, truth, predicted, candidate) of the default recipe for several penalties.
+
+    Candidate i has ``penalties[i]``; all candidates, folds and class pairs are fitted in the same rounds.
+    """
     names = label_ops.label_list(folded)
     index = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("label").cast("string")) - 1
     docs = settle(prepare(spec, folded.select("doc_id", "fold", index.cast("int").alias("label_idx"), raw), raw))
     bags = keep(terms.bag_of_terms(_unquoted(spec, docs), carry=["label_idx", "fold"], ngram_range=spec.ngram_range))
-    given = learners.parameters("svc", **spec.learner_parameters)
+    sets = [(fold, c) for c in penalties for fold in held_out]
     fitted = text_svm.fit_text_svm(
-        bags, docs.select("doc_id", "label_idx", "fold"), names, list(range(k)), spec.min_df, spec.scaling, given.penalty_parameter_c)
+        bags, docs.select("doc_id", "label_idx", "fold"), names, [fold for fold, _ in sets], spec.min_df, spec.scaling, [c for _, c in sets])
     name = lambda c: F.get(F.array(*[F.lit(n) for n in names]), F.col(c))
-    return fitted.votes().select("doc_id", "fold", name("label_idx").alias("truth"), name("predicted_idx").alias("predicted")), fitted
+    return fitted.votes().select(
+        "doc_id", "fold", name("label_idx").alias("truth"), name("predicted_idx").alias("predicted"),
+        F.floor(F.col("set") / len(held_out)).cast("int").alias("candidate")), fitted
 
 
 def score(models: Mapping[str, FittedPipeline], articles: DataFrame, truth: str = "label", run_id: str | None = None,
