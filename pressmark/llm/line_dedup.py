@@ -161,3 +161,19 @@ def statement(divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> str:
             coalesce(string_agg(body, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text FROM r GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed, 0) AS n_removed, k.text
         FROM documents d LEFT JOIN k USING (doc_id)"""
+
+
+def passage_statement() -> str:
+    """The rows of ``passage_dedup`` from DuckDB: doc_id, n_lines, n_removed, text."""
+    return """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+            generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+        p AS (SELECT doc_id, i, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM l),
+        f AS (SELECT a, b, min(ROW(doc_id, i)) AS first FROM p
+            WHERE b IS NOT NULL AND regexp_matches(concat(a, b), '[^\\s]') GROUP BY a, b HAVING count(*) > 1),
+        g AS (SELECT doc_id, i FROM p JOIN f USING (a, b) WHERE first <> ROW(doc_id, i) AND first <> ROW(doc_id, i - 1)),
+        x AS (SELECT doc_id, i FROM g UNION SELECT doc_id, i + 1 FROM g),
+        k AS (SELECT l.doc_id, count(*) AS n_lines, count(x.i) AS n_removed,
+            coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (x.i IS NULL), '') AS text
+            FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.i = x.i GROUP BY l.doc_id)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, k.text
+        FROM documents d LEFT JOIN k USING (doc_id)"""

@@ -125,5 +125,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def statements() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.statement(), "op8_quality_rules": quality_rules.statement(),
+    return {"op1_line_dedup": line_dedup.statement(), "passage_dedup": line_dedup.passage_statement(),
+            "op8_quality_rules": quality_rules.statement(),
             "op11_sharding": sharding.statement(), "op12_lexical_treap": lexical_treap.statement()}
