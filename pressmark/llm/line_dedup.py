@@ -1,22 +1,26 @@
 """Line dedup over content-defined chunks of lines (DataFrame functions only).
 
-A rolling hash over the hashes of the last lines decides where a chunk ends, so an inserted or
-deleted line moves the boundaries near it and no others.  A chunk of several lines whose bytes occur
-more than once in the corpus stays where it occurs first and is removed everywhere else.
+A rolling hash over the hashes of two neighbouring lines says whether they are a boundary.  A chunk
+consists of the lines of a boundary, or reaches from one boundary to the next if lines between them
+belong to neither.  Nothing outside a chunk's own lines decides about it, so a passage has the same
+chunks wherever it stands, and an inserted or deleted line changes none but those it lies in.  A chunk
+whose bytes occur more than once in the corpus stays where it occurs first; the lines of all its other
+places are removed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import let
+from ..plans.lookup import lookup
+from .common import let, settled
 
-#: A chunk ends where the rolling hash is divisible by this: about so many lines a chunk.
-DIVISOR = 3
-#: Lines under the rolling hash, and its multiplier.
-ROLLED = 3
+#: Two neighbouring lines are a boundary unless their rolling hash is divisible by this.
+DIVISOR = 5
+#: Multiplier of the rolling hash.
 FACTOR = 31
-MIN_LINES = 2
+#: Repeated chunks are broadcast up to this size; beyond it only the most frequent ones are.
+BROADCAST_BYTES = 32 << 20
 
 
 def line_value(line: Column) -> Column:
@@ -24,79 +28,93 @@ def line_value(line: Column) -> Column:
 
 
 def chunks(text: Column, divisor: int = DIVISOR) -> Column:
-    """Chunks of a text in order: array of (lines, body); joined by line feeds they are the text."""
+    """Chunks of a text in order: array of (place, lines, body), place being the first line from 0.
+
+    Chunks overlap.  A text of one line has none.
+    """
 
     def cut(lines: Column) -> Column:
-        def with_values(values: Column) -> Column:
-            def rolled(i: Column) -> Column:
-                return sum(
-                    (F.coalesce(F.get(values, i - k), F.lit(0)) * FACTOR**k for k in range(1, ROLLED)), F.get(values, i))
+        def piece(place: Column, n: Column) -> Column:
+            return F.struct(place.alias("place"), n.alias("lines"), F.array_join(F.slice(lines, place + 1, n), "\n").alias("body"))
 
-            ends = F.filter(
-                F.sequence(F.lit(0), F.size(lines) - 1),
-                lambda i: (i == F.size(lines) - 1) | (F.pmod(rolled(i), F.lit(divisor)) == 0))
+        def around(bounds: Column) -> Column:
+            gaps = F.filter(
+                F.zip_with(bounds, F.slice(bounds, 2, F.greatest(F.size(bounds) - 1, F.lit(0))),
+                           lambda a, b: F.struct(a.alias("place"), (b - a + 2).alias("lines"))),
+                lambda g: g["lines"] > 4)
+            return F.concat(
+                F.transform(bounds, lambda i: piece(i, F.lit(2))), F.transform(gaps, lambda g: piece(g["place"], g["lines"])))
 
-            def bodies(found: Column) -> Column:
-                def body(end: Column, k: Column) -> Column:
-                    begin = F.coalesce(F.get(found, k - 1) + 1, F.lit(0))
-                    n = end - begin + 1
-                    return F.struct(n.alias("lines"), F.array_join(F.slice(lines, begin + 1, n), "\n").alias("body"))
+        def with_values(values: Column) -> Column:
+            rolled = lambda i: F.get(values, i) * FACTOR + F.get(values, i + 1)
+            return let(F.filter(
+                F.sequence(F.lit(0), F.size(lines) - 2), lambda i: F.pmod(rolled(i), F.lit(divisor)) != 0), around)
 
-                return F.transform(found, body)
+        return F.when(F.size(lines) > 1, let(F.transform(lines, line_value), with_values))
 
-            return let(ends, bodies)
+    return let(F.split(text, "\n"), cut)
 
-        return let(F.transform(lines, line_value), with_values)
 
-    return let(F.split(text, "\n"), cut)
+def chunk_places(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+    """(doc_id, text_hash, place, lines, body) of every chunk that is not blank."""
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(chunks(F.col("text"), divisor))).where(
+        F.col("body").rlike(r"[^\s]"))
 
 
-def repeated_chunks(parts: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(digest, first) of every chunk whose bytes occur more than once; ``first`` is its first place.
+def repeated_chunks(places: DataFrame) -> DataFrame:
+    """(digest, n, first) of every chunk whose bytes occur at more than one place; ``first`` is its first place.
 
     Chunks are grouped by their bytes.  Two different chunks with one digest would both be left out,
     so a digest stands for its bytes from here on.
     """
-    each = parts.select("doc_id", "text_hash", F.posexplode("chunks").alias("place", "chunk")).where(
-        (F.col("chunk.lines") >= min_lines) & F.col("chunk.body").rlike(r"[^\s]"))
-    by_bytes = each.groupBy(F.col("chunk.body").alias("body")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "place")).alias("first"))
+    here = F.struct("doc_id", "text_hash", "place")
+    by_bytes = places.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first"), F.max(here).alias("last"))
     return by_bytes.groupBy(F.md5("body").alias("digest")).agg(
-        F.count(F.lit(1)).alias("bodies"), F.max("n").alias("n"), F.min("first").alias("first"),
-    ).where((F.col("bodies") == 1) & (F.col("n") > 1)).select("digest", "first")
+        F.count(F.lit(1)).alias("bodies"), F.max("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"),
+    ).where((F.col("bodies") == 1) & ~F.col("first").eqNullSafe(F.col("last"))).select("digest", "n", "first")
 
 
-def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` (doc_id, text, any others) without repeated chunks, plus n_chunks and n_removed.
+def line_dedup(docs: DataFrame, divisor: int = DIVISOR, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``docs`` (doc_id, text, any others) without repeated chunks, plus n_lines and n_removed.
 
-    The first place is the smallest (doc_id, hash of the text, position); a null doc_id comes first.
-    Equal rows (same doc_id, same text) are one document and are treated alike.  A null text stays
-    null, an empty one empty; a text of repeated chunks only becomes empty.  Every row stays.  Other
-    columns keep their values whatever their names, but for n_chunks and n_removed.
+    The first place is the smallest (doc_id, hash of the text, position); a null doc_id comes first.  A
+    chunk that overlaps its own first place does not repeat it.  Of every line at least one copy stays.
+    Equal rows (same doc_id, same text) are one document and are treated alike.  A null text stays null
+    (0 lines), an empty one empty (1 line); a text of repeated chunks only becomes empty.  Every row
+    stays; an empty table gives an empty one.  Other columns keep their values whatever their names, but
+    for n_lines and n_removed.
     """
-    rows = docs.select(
-        F.struct("*").alias("row"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"),
-        chunks(F.col("text"), divisor).alias("chunks"))
-    first = repeated_chunks(rows.select("doc_id", "text_hash", "chunks"), min_lines)
-    places = rows.select("doc_id", "text_hash", F.posexplode("chunks").alias("place", "chunk")).where(
-        F.col("chunk.lines") >= min_lines).select("doc_id", "text_hash", "place", F.md5("chunk.body").alias("digest"))
-    # what leaves a document: a list no longer than its chunks
-    gone = places.join(first, "digest").where(
-        ~F.struct("doc_id", "text_hash", "place").eqNullSafe(F.col("first"))
-    ).groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).agg(
-        F.collect_set("place").alias("gone"))
-    joined = rows.join(
+    places = chunk_places(docs, divisor)
+    first = settled(repeated_chunks(places), "line-chunks")
+    found = lookup(
+        places.select("doc_id", "text_hash", "place", "lines", F.md5("body").alias("digest")), first, "digest", first.count(),
+        bytes_per_row=160, frequency=F.col("n"), limit_bytes=broadcast_bytes)
+    at_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (
+        F.col("place") < F.col("first.place") + F.col("lines"))
+    # what leaves a document: no more chunks than it has lines
+    gone = found.where(~at_first).groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).agg(
+        F.collect_set(F.struct("place", "lines")).alias("gone"))
+    joined = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash")).join(
         gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")
-    n = F.size("chunks")
-    left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(
-        F.array_join(F.transform(left, lambda i: F.get(F.col("chunks"), i)["body"]), "\n"))
+    out = F.array_distinct(F.flatten(F.transform("gone", lambda g: F.sequence(g["place"], g["place"] + g["lines"] - 1))))
+    return without_lines(docs, joined.withColumn("out", out))
+
+
+def without_lines(docs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (column row) without the lines whose places are listed in the column out, if it is not null."""
+
+    def kept(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("out"))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    text = F.when(F.col("out").isNull(), F.col("row.text")).otherwise(let(F.split("row.text", "\n"), kept))
     done = joined.select(
-        "row", text.alias("text"), F.when(F.col("row.text").isNull(), 0).otherwise(n).cast("bigint").alias("n_chunks"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
-    own = [c for c in docs.columns if c not in ("n_chunks", "n_removed")]
+        "row", text.alias("text"),
+        F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.split("row.text", "\n"))).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("out"), F.lit(0)).cast("bigint").alias("n_removed"))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return done.select(
-        *[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in own], "n_chunks", "n_removed")
+        *[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in own], "n_lines", "n_removed")
 
 
 def neighbours(text: Column) -> Column:
@@ -129,37 +147,26 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     joined = rows.join(
         gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")
     out = F.array_union(F.col("pairs"), F.transform("pairs", lambda i: i + 1))
+    return without_lines(docs, joined.withColumn("out", out))
 
-    def without(lines: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out)
-        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
-    text = F.when(F.col("pairs").isNull(), F.col("row.text")).otherwise(let(F.split("row.text", "\n"), without))
-    done = joined.select(
-        "row", text.alias("text"),
-        F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.split("row.text", "\n"))).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size(out), F.lit(0)).cast("bigint").alias("n_removed"))
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return done.select(
-        *[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in own], "n_lines", "n_removed")
-
-
-def statement(divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> str:
-    """The same rows from DuckDB: doc_id, n_chunks, n_removed, text."""
-    rolled = " + ".join(
-        f"coalesce(lag(v, {k}) OVER (PARTITION BY doc_id ORDER BY i), 0) * {FACTOR**k}" for k in range(1, ROLLED))
+def statement(divisor: int = DIVISOR) -> str:
+    """The same rows from DuckDB: doc_id, n_lines, n_removed, text."""
     return f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
             generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
         v AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS v FROM l),
-        e AS (SELECT doc_id, i, line, (v + {rolled}) % {divisor} = 0 AS ends FROM v),
-        p AS (SELECT doc_id, i, line, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM e),
-        c AS (SELECT doc_id, place, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS body FROM p GROUP BY ALL),
-        r AS (SELECT *, lines >= {min_lines} AND regexp_matches(body, '[^\\s]') AND row_number() OVER (
-            PARTITION BY body, lines >= {min_lines} ORDER BY doc_id, place) > 1 AS gone FROM c),
-        k AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed,
-            coalesce(string_agg(body, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text FROM r GROUP BY doc_id)
-        SELECT d.doc_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed, 0) AS n_removed, k.text
+        w AS (SELECT doc_id, i, v * {FACTOR} + lead(v) OVER (PARTITION BY doc_id ORDER BY i) AS rolled FROM v),
+        b AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM w WHERE rolled % {divisor} <> 0),
+        s AS (SELECT doc_id, i, 2 AS n FROM b UNION ALL SELECT doc_id, i, following - i + 2 FROM b WHERE following - i > 2),
+        c AS (SELECT s.doc_id, s.i, s.n, string_agg(l.line, chr(10) ORDER BY l.i) AS body
+            FROM s JOIN l ON l.doc_id = s.doc_id AND l.i BETWEEN s.i AND s.i + s.n - 1 GROUP BY s.doc_id, s.i, s.n),
+        f AS (SELECT *, min(ROW(doc_id, i)) OVER (PARTITION BY body) AS first FROM c WHERE regexp_matches(body, '[^\\s]')),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM f
+            WHERE NOT (first[1] = doc_id AND i < first[2] + n)),
+        k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+            coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text
+            FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, k.text
         FROM documents d LEFT JOIN k USING (doc_id)"""
 
 

@@ -21,11 +21,11 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated chunks of lines."""
     found = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_chunks", "n_removed", "text")
+    return found.select("doc_id", "n_lines", "n_removed", "text")
 
 
 def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without repeated runs of two or more lines, which op1's chunks mostly leave."""
+    """All documents without repeated runs of two or more lines, whatever their hashes."""
     found = line_dedup.passage_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", "text")
 

@@ -20,62 +20,78 @@ SPACE = r"[^\x20\x09-\x0D]+"
 
 
 def cut(text, divisor=line_dedup.DIVISOR):
-    lines, out, begin = text.split("\n"), [], 0
+    """Chunks of a text: (place, lines, body)."""
+    lines = text.split("\n")
     v = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-    for i in range(len(lines)):
-        rolled = v[i] + sum(v[i - k] * line_dedup.FACTOR**k for k in range(1, line_dedup.ROLLED) if i >= k)
-        if i == len(lines) - 1 or rolled % divisor == 0:
-            out.append(lines[begin:i + 1])
-            begin = i + 1
-    return ["\n".join(c) for c in out], [len(c) for c in out]
+    bounds = [i for i in range(len(lines) - 1) if (v[i] * line_dedup.FACTOR + v[i + 1]) % divisor]
+    spans = [(a, a + 2) for a in bounds] + [(a, b + 2) for a, b in zip(bounds, bounds[1:]) if b > a + 2]
+    return [(a, b - a, "\n".join(lines[a:b])) for a, b in spans]
 
 
 def deduped(rows, hashes):
     """Brute force; ``hashes`` gives the order of texts under one id."""
     key = lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]])
-    first = {}
+    first, out = {}, {}
     for doc in sorted({r for r in rows if r[1] is not None}, key=key):
-        for body, n in zip(*cut(doc[1])):
-            if n >= line_dedup.MIN_LINES and re.search(r"[^\s]", body, re.A):
-                first.setdefault(body, []).append(doc)
-    out = []
-    for doc in rows:
-        if doc[1] is None:
-            out.append((*doc, 0, 0))
-            continue
-        kept, gone, seen = [], 0, set()
-        for body, _ in zip(*cut(doc[1])):
-            again = body in first and (first[body][0] != doc or body in seen)
-            seen.add(body)
-            gone += again
-            if not again:
-                kept.append(body)
-        out.append((doc[0], "\n".join(kept), len(cut(doc[1])[0]), gone))
-    return out
+        lines, gone = doc[1].split("\n"), set()
+        for place, n, body in sorted(cut(doc[1])):
+            if re.search(r"[^\s]", body, re.A):
+                at = first.setdefault(body, (doc, place))
+                if at[0] != doc or place >= at[1] + n:
+                    gone |= set(range(place, place + n))
+        out[doc] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone))
+    return [(r[0], *out.get(r, (None, 0, 0))) for r in rows]
 
 
 def test_line_dedup_equals_brute_force(spark, odd, small):
     block = "\n".join(prose(8, i) for i in range(30))
     more = spark.createDataFrame(
         [(100 + i, f"{prose(9, 1000 + i)}\n{block}\n{prose(9, 2000 + i)}") for i in range(6)]
-        + [(200, block + "\n" + block), (201, "\n\n\n\n\n\n"), (202, block)], "doc_id bigint, text string")
+        + [(200, block + "\n" + block), (201, "\n\n\n\n\n\n"), (202, block), (203, "s\n" * 9)], "doc_id bigint, text string")
     docs = odd.select("doc_id", "text").unionByName(more).unionByName(small.select("doc_id", "text"))
     rows = texts(docs)
     hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
-    got = Counter((r["doc_id"], r["text"], r["n_chunks"], r["n_removed"]) for r in line_dedup.line_dedup(docs).collect())
-    assert got == Counter(deduped(rows, hashes))
-    assert sum(n for *_, n in got) > 50
+    want = Counter(deduped(rows, hashes))
+    for most in (line_dedup.BROADCAST_BYTES, 0):  # all repeated chunks broadcast, or the frequent ones only
+        found = line_dedup.line_dedup(docs, broadcast_bytes=most)
+        assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in found.collect()) == want
+    assert sum(n for *_, n in want) > 50
 
 
-def test_an_inserted_line_moves_no_distant_boundary():
+def test_surroundings_change_no_chunk_of_a_passage():
     lines = [prose(8, i) for i in range(60)]
-    a, b = cut("\n".join(lines))[0], cut("\n".join([lines[0], "new", *lines[1:]]))[0]
-    assert len(set(a) & set(b)) >= len(a) - 3
+    passage = {body for _, _, body in cut("\n".join(lines[20:40]))}
+    assert passage <= {body for _, _, body in cut("\n".join(lines))}
+    a, b = cut("\n".join(lines)), cut("\n".join([*lines[:30], "new", *lines[30:]]))
+    assert len({c[2] for c in a} - {c[2] for c in b}) <= 3
+
+
+def test_line_dedup_recall_by_length(spark):
+    """Passages between unlike surroundings: the share of lines that leave the second place; nothing else does."""
+    rows, lines = [], Counter()
+    for n in (2, 3, 4, 8, 30):
+        for s in range(100):
+            block = [f"{n}.{s}.{i} {prose(6, i)}" for i in range(n)]
+            for k in range(2):
+                around = [[f"{side}{n}.{s}.{k}.{i} {prose(6, i)}" for i in range(3)] for side in "pq"]
+                rows.append((10_000 * n + 2 * s + k, "\n".join(around[0] + block + around[1])))
+            lines[n] += n
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got, want = Counter(), Counter()
+    for i, text, _, removed in deduped(rows, {t: 0 for _, t in rows}):
+        want[i // 10_000] += removed
+    for r in line_dedup.line_dedup(docs).collect():
+        got[r["doc_id"] // 10_000] += r["n_removed"]
+        assert r["doc_id"] % 2 or not r["n_removed"]
+        assert [x for x in r["text"].split("\n") if x[0] in "pq"] == [x for x in dict(rows)[r["doc_id"]].split("\n") if x[0] in "pq"]
+    assert got == want
+    share = {n: got[n] / lines[n] for n in lines}
+    assert share[2] > 0.7 and share[3] > 0.8 and share[4] > 0.85 and share[8] > 0.92 and share[30] > 0.97, share
 
 
 def test_line_dedup_keeps_other_columns_and_rows(odd, empty):
     found = line_dedup.line_dedup(odd)
-    assert found.columns == [*odd.columns, "n_chunks", "n_removed"] and found.count() == odd.count()
+    assert found.columns == [*odd.columns, "n_lines", "n_removed"] and found.count() == odd.count()
     other = [c for c in odd.columns if c != "text"]
     assert Counter(map(tuple, found.select(other).collect())) == Counter(map(tuple, odd.select(other).collect()))
     assert line_dedup.line_dedup(empty).count() == 0
