@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+
+from ..operators.style import DUTCH_LEXICON
 from . import queries as q
 
 # The SQL side states its patterns and word classes itself, so that a wrong constant on either side shows.
@@ -18,6 +21,7 @@ BASIC_NAMES = [
     "question_marks_perc", "exclamation_marks_perc", "currency_symbols_perc", "digits_perc",
     "sentences", "avg_sentence_length",
 ]
+QUOTE_NAME = "direct_quotes_perc"
 LINGUISTIC_NAMES = [
     "adjectives_perc", "cogn_verbs_perc", "intensifiers_perc", "modal_adverbs_perc", "modal_verbs_perc",
     "named_entities_perc", "number_perc", "pronoun_1_perc", "pronoun_2_perc", "pronoun_3_perc",
@@ -180,25 +184,37 @@ tokens AS (SELECT doc_id, word, CASE WHEN c < '8' THEN lower(word) ELSE word END
     CASE WHEN regexp_matches(word, '^[A-Z]') THEN 'B-PER' ELSE 'O' END AS ner FROM tagged)"""
 
 
-def _share(category: str) -> str:
+def _share(category: str, listed) -> str:
     prefix, any_case, _ = CLASSES[category]
-    words = ", ".join(f"'{w}'" for w in q.LEXICON[category].split())
+    words = ", ".join(f"'{w}'" for w in listed)
     test = f"{'lower(lemma)' if any_case else 'lemma'} IN ({words})"
     return test if prefix is None else f"pos LIKE '{prefix}%' AND {test}"
 
 
-_COUNTS = {
-    "adjectives_perc": "pos LIKE 'ADJ%'", "number_perc": "pos LIKE 'TW%'", "named_entities_perc": "ner LIKE 'B%'",
-    **{name: _share(c) for c, (_, _, name) in CLASSES.items()},
-}
-LINGUISTIC = f"""nw AS (SELECT doc_id, len(regexp_extract_all(text, '{WORD}')) AS n FROM docs),
-ling AS (SELECT doc_id, {', '.join(f"count(*) FILTER ({c}) AS {n}" for n, c in _COUNTS.items())},
+def _linguistic(lexicon) -> str:
+    """CTEs nw, ling, linguistic; ``lexicon`` maps a category to its lemmas."""
+    counts = {
+        "adjectives_perc": "pos LIKE 'ADJ%'", "number_perc": "pos LIKE 'TW%'", "named_entities_perc": "ner LIKE 'B%'",
+        **{name: _share(c, lexicon[c]) for c, (_, _, name) in CLASSES.items()},
+    }
+    return f"""nw AS (SELECT doc_id, len(regexp_extract_all(text, '{WORD}')) AS n FROM docs),
+ling AS (SELECT doc_id, {', '.join(f"count(*) FILTER ({c}) AS {n}" for n, c in counts.items())},
     count(DISTINCT CASE WHEN ner LIKE 'B%' THEN lower(lemma) END) AS unique_named_entities_perc
     FROM tokens GROUP BY doc_id),
 linguistic AS (SELECT nw.doc_id, {', '.join(
     f"CASE WHEN n > 0 THEN coalesce({c}, 0) / n ELSE 0 END AS {c}" for c in LINGUISTIC_NAMES)}
     FROM nw LEFT JOIN ling USING (doc_id))"""
 
+
+LINGUISTIC = _linguistic({c: words.split() for c, words in q.LEXICON.items()})
+
+
+def _dutch() -> dict[str, list[str]]:
+    with open(DUTCH_LEXICON, encoding="utf-8", newline="") as lines:
+        rows = list(csv.DictReader(lines))
+    return {c: [r["lemma"].replace("'", "''") for r in rows if r["category"] == c] for c in CLASSES}
+
+
 SENTI = f"""lex(word, polarity, subjectivity) AS (VALUES {_values(q.SENTIMENT_ROWS)}),
 lower_words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM docs),
 means AS (SELECT doc_id, avg(polarity) AS polarity, avg(subjectivity) AS subjectivity
@@ -207,10 +223,50 @@ sentiment AS (SELECT d.doc_id, coalesce(polarity, 0) AS polarity, coalesce(subje
               FROM docs d LEFT JOIN means USING (doc_id))"""
 
 
+# Quotes without look-ahead: a mark is set in front of whatever may not stand inside a quote, and a quote holds no mark.
+# Cleaned texts hold no blank but the space.
+_MARK = "\ue000"
+_W = r"[\p{L}\p{M}\p{N}_]"
+_STOP = f"„|‚‚|,,| [\"”''’]{_W}{_W}"
+_QUOTED = (
+    f"(?:„|‚‚|,,|\"|”|''|’)(?: {_W}|{_W}{_W}?)[^{_MARK}]{{0,1000}}?(?:\"|”|''|’)"
+    f"(?:$|{_MARK}?[^{_W[1:-1]}{_MARK}])"
+)
+QUOTES = f"""marked AS (SELECT doc_id, label, text, regexp_replace(text, '({_STOP})', '{_MARK}\\1', 'g') AS m FROM docs),
+quotes AS (SELECT doc_id, label, len(regexp_extract_all(m, '{_QUOTED}')) AS n_quotes,
+    len(regexp_extract_all(text, '{SENTENCE}')) AS ns, replace(regexp_replace(m, '{_QUOTED}', '', 'g'), '{_MARK}', '') AS plain
+    FROM marked),
+quote AS (SELECT doc_id, CASE WHEN ns > 0 THEN n_quotes / ns ELSE 0 END AS {QUOTE_NAME} FROM quotes)"""
+
+
 def _long(source: str, block: str, names) -> str:
     return " UNION ALL ".join(f"SELECT doc_id, '{block}__{n}' AS feature, {n}::DOUBLE AS value FROM {source}" for n in names)
 
 
+def _style() -> str:
+    return " UNION ALL ".join([
+        _long("basic", "Basic", BASIC_NAMES), _long("quote", "Quote", [QUOTE_NAME]),
+        _long("sentiment", "Sentiment", ["polarity", "subjectivity"]), _long("linguistic", "Linguistic", LINGUISTIC_NAMES)])
+
+
+def _style_bayes(with_terms: bool) -> str:
+    """Naive Bayes over quartile-scaled, then min-max-scaled features; lexicon blocks and terms see no quotes."""
+    plain = [part.replace("FROM docs", "FROM plain") for part in (_linguistic(_dutch()), SENTI)]
+    words = f""" UNION ALL SELECT doc_id, 'TFIDF__' || term, w FROM
+        (WITH {bags('plain')}, {tfidf(ALL_TRAIN)} SELECT doc_id, term, w FROM w)""" if with_terms else ""
+    return f"""WITH {DOCS}, {QUOTES}, plain AS (SELECT doc_id, label, plain AS text FROM quotes),
+        {BASIC}, {TOKENS}, {', '.join(plain)}, train AS ({ALL_TRAIN}), test AS ({ALL_TRAIN}),
+        sizes AS (SELECT v, count(*) AS n FROM train GROUP BY v),
+        w AS (SELECT 0 AS v, doc_id, feature AS term, value AS w FROM ({_style()}{words})),
+        idfs AS (SELECT v, term, count(*) AS df FROM w GROUP BY v, term), {SCALED},
+        span AS (SELECT v, term, CASE WHEN count(*) < any_value(n) THEN least(min(ws.w), 0) ELSE min(ws.w) END AS low,
+            CASE WHEN count(*) < any_value(n) THEN greatest(max(ws.w), 0) ELSE max(ws.w) END AS high
+            FROM ws JOIN sizes USING (v) GROUP BY v, term),
+        xs AS (SELECT v, doc_id, term, (ws.w - low) / CASE WHEN high > low THEN high - low ELSE 1 END AS w
+            FROM ws JOIN span USING (v, term)), {bayes('xs')}
+        SELECT doc_id, predicted FROM best"""
+
+
 _STOPS = ", ".join(f"'{w}'" for w in q.STOP_WORDS)
 _PART = r"[\p{L}\p{M}\p{N}_]+\s*|[^\p{L}\p{M}\p{N}_]+"
 _WORDS = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+"
@@ -224,6 +280,12 @@ def statements() -> dict[str, str]:
         "clean_ocr": f"WITH {DOCS} SELECT doc_id, md5(text) AS digest, length(text)::BIGINT AS n FROM docs",
         "style_basic": f"WITH {DOCS}, {BASIC} SELECT doc_id, "
         + ", ".join(f"round({c}, 9) AS {c}" for c in BASIC_NAMES) + " FROM basic",
+        "quote_ratio": f"WITH {DOCS}, {QUOTES} SELECT * FROM quote",
+        "remove_quotes": f"WITH {DOCS}, {QUOTES} SELECT doc_id, n_quotes::INT AS n_quotes, md5(plain) AS digest FROM quotes",
+        "style_vector": f"""WITH {DOCS}, {QUOTES}, {BASIC}, {SENTI}, {TOKENS}, {LINGUISTIC}
+            SELECT doc_id, feature, round(value, 9) AS value FROM ({_style()})""",
+        "style_bayes_predict": _style_bayes(False),
+        "combined_bayes_predict": _style_bayes(True),
         "stop_words": f"""WITH {DOCS} SELECT doc_id, md5(array_to_string(list_filter(regexp_extract_all(text, '{_PART}'),
             lambda p: lower(rtrim(p)) NOT IN ({_STOPS})), '')) AS digest FROM docs""",
         "lowercase": f"WITH {DOCS} SELECT doc_id, md5(lower(text)) AS digest FROM docs",
