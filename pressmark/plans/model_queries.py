@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
-from ..operators import bayes, explain, labels, learners, svm, terms, vectors
+from ..operators import bayes, explain, kernel_map, labels, learners, svm, terms, vectors
 from ..session import scratch_path
 from . import queries as q, search
 from .recipe import PipelineSpec
@@ -21,6 +21,9 @@ NAMES = [f"e{i:02d}" for i in range(DIM)]
 TEXT_SAMPLES = explain.SAMPLES
 # Coalitions of a Kernel SHAP explanation: a parameter of the query, as its background is.
 SHAP_SAMPLES = 256
+KERNEL_GAMMA = 0.5
+#: Components the made labels depend on.
+PLANTED = (3, 40)
 STYLE_FOREST = PipelineSpec(features="style", learner="rf", blocks=("Basic", "Quote"))
 
 
@@ -56,6 +59,30 @@ def svm_rbf_predict(spark, sf):
     return _predictions(spark, sf, "svc", kernel="rbf", gamma=0.5)
 
 
+def kernel_error_checks(spark, sf):
+    """Kernel features with landmarks: the error against the exact kernel, between all rows and 256 other sampled ones."""
+    data, _ = embeddings(spark, sf)
+    model = kernel_map.fit_kernel_map(data, KERNEL_GAMMA)
+    probes = kernel_map.sampled(data, 256, "|probes")
+    wanted = model.error <= kernel_map.TARGET or 2 * len(model.landmarks) >= min(data.count() - 1, 2 * kernel_map.SAMPLE)
+    return model.error_over(data, probes).select(
+        "n", F.lit(wanted).alias("reached_or_all_taken"),
+        (F.col("error") <= 1.2 * max(model.error, kernel_map.TARGET)).alias("holds"))
+
+
+def svm_kernel_predict(spark, sf):
+    """Support vectors over kernel features of measured error."""
+    data, names = embeddings(spark, sf)
+    model = kernel_map.fit_kernel_map(data, KERNEL_GAMMA)
+    rows = settle(model.transform(data.drop("features")).select("doc_id", "label_idx", "features"))
+    scored = svm.fit_pairwise_svm(rows, names).transform(rows)
+    name = F.array(*[F.lit(n) for n in names])
+    return scored.select(
+        "doc_id", F.element_at(name, F.col("label_idx") + 1).alias("truth"),
+        F.element_at(name, F.col("prediction").cast("int") + 1).alias("predicted"),
+        F.round(F.array_max(vector_to_array("probability")), 6).alias("confidence"))
+
+
 def rf_predict(spark, sf):
     return _predictions(spark, sf, "rf")
 
@@ -275,6 +302,35 @@ def importance_checks(spark, sf):
         (F.abs(F.sum("importance") - 1) < 0.05).alias("adds_up"), (F.min("importance") >= 0).alias("positive"))
 
 
+def planted_importance_checks(spark, sf):
+    """Labels made from the signs of two components: a forest must find these two, and hardly anything else."""
+    data, _ = embeddings(spark, sf)
+    sign = lambda i: (F.col("features_array")[i] > 0).cast("int")
+    rows = data.select("doc_id", (2 * sign(PLANTED[0]) + sign(PLANTED[1])).alias("label_idx"), "features")
+    fitted = learners.fit_learner("rf", rows, ["0", "1", "2", "3"], DIM)
+    planted = F.col("feature").isin(*[NAMES[i] for i in PLANTED])
+    return learners.importances(spark, fitted, NAMES, top=DIM).agg(
+        F.count(F.lit(1)).alias("n_features"),
+        (F.min(F.when(planted, F.col("importance"))) > 3 * F.max(F.when(~planted, F.col("importance")))).alias("found"))
+
+
+def shap_linear_checks(spark, sf):
+    """Of a linear score every value is known: weight times the distance from the mean."""
+    data, _ = embeddings(spark, sf)
+    weights = [(i % 7 - 3) / 10 for i in range(DIM)]
+    w = F.array(*[F.lit(x) for x in weights])
+
+    def score(rows: DataFrame) -> DataFrame:
+        dot = F.aggregate(F.zip_with(vector_to_array("features"), w, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        return rows.withColumn("proba", F.array(dot, F.lit(1.0) - dot))
+
+    means = data.agg(F.array(*[F.avg(F.col("features_array")[i]) for i in range(DIM)])).first()[0]  # one row
+    found = _shap(data, score, SHAP_SAMPLES).join(data.select("doc_id", "features_array"), "doc_id")
+    known = (F.get("features_array", F.col("feature_idx")) - F.get(F.array(*[F.lit(x) for x in means]), F.col("feature_idx"))) * F.get(
+        w, F.col("feature_idx")) * F.when(F.col("class_idx") == 0, 1.0).otherwise(-1.0)
+    return found.agg(F.count(F.lit(1)).alias("n_values"), F.sum((F.abs(F.col("value") - known) < 1e-6).cast("bigint")).alias("n_right"))
+
+
 def shap_checks(spark, sf):
     """Per row and class the values add up to f(row) - f(background)."""
     data, _, predict_proba = _row_explainer(spark, sf)
@@ -302,6 +358,7 @@ def lime_text_checks(spark, sf):
 MODELS = [
     text_svm_cv, text_svm_cv_accuracy, text_svm_checks, importance_checks, shap_checks, lime_text_checks,
     xgb_split_counts, lgbm_split_counts, split_count_checks, svc_grid, rf_grid, rf_grid_top,
+    kernel_error_checks, svm_kernel_predict, planted_importance_checks, shap_linear_checks,
     svm_predict, svm_rbf_predict, rf_predict, gb_predict, xgb_linear_predict, lgbm_forest_predict, mlp_predict,
     svm_pair_weights, class_pairs, rf_importance, text_svm_predict, style_bayes_predict, combined_bayes_predict,
     lime_text, lime_tabular, shap_values,

@@ -531,6 +531,9 @@ def _sources(known: dict[str, str]) -> dict[str, str]:
         "importance_checks": "SELECT 64::BIGINT AS n_features, 64::BIGINT AS n_names, true AS adds_up, true AS positive",
         "split_count_checks": """SELECT 64::BIGINT AS n_features, true AS all_nodes, true AS used_only, true AS all_used,
             true AS no_loss""",
+        "planted_importance_checks": "SELECT 64::BIGINT AS n_features, true AS found",
+        "kernel_error_checks": "SELECT count(*) AS n, true AS reached_or_all_taken, true AS holds FROM embeddings",
+        "shap_linear_checks": "SELECT count(*) * 128 AS n_values, count(*) * 128 AS n_right FROM embeddings",
         "shap_checks": """SELECT n AS n_values, n AS n_exact, n AS n_full
             FROM (SELECT count(*) * count(DISTINCT label) AS n FROM embeddings)""",
         "lime_text_checks": "SELECT count(*) AS n_items, count(*) AS n_short, count(*) AS n_ranked, count(*) AS n_held FROM benchmark",
