@@ -12,7 +12,7 @@ def frame(spark, values):
 
 
 def test_features_give_the_kernel_back(spark):
-    x = np.random.default_rng(1).normal(size=(300, 4))
+    x = np.random.default_rng(1).normal(size=(300, 2))
     rows = frame(spark, [*x, None, x[0]])
     model = kernel_map.fit_kernel_map(rows, gamma=0.2, target=0.02)
     assert model.error <= 0.02 and len(model.landmarks) < 150
