@@ -48,7 +48,7 @@ class KernelMap:
             found = iter(of(np.stack(arrays[known].to_numpy())) if known.any() else ())
             return pd.Series([next(found) if k else None for k in known], dtype=object)
 
-        return rows.withColumn(column, array_to_vector(mapped(values)))
+        return rows.withColumn(column, F.when(F.col(values).isNotNull(), array_to_vector(mapped(values))))
 
     def error_over(self, rows: DataFrame, probes: np.ndarray, values: str = "features_array") -> DataFrame:
         """One row (n, error): the relative error between every row and the ``probes`` (a bounded number of rows)."""
