@@ -28,7 +28,7 @@ def test_features_give_the_kernel_back(spark):
 
 def test_more_landmarks_less_error_and_few_rows(spark):
     x = np.random.default_rng(2).normal(size=(200, 8))
-    loose, tight = (kernel_map.fit_kernel_map(frame(spark, x), 0.5, t) for t in (0.5, 0.0))
+    loose, tight = (kernel_map.fit_kernel_map(frame(spark, x), 0.05, t) for t in (0.5, 0.0))
     assert len(loose.landmarks) < len(tight.landmarks) == 100 and tight.error < loose.error
     one = kernel_map.fit_kernel_map(frame(spark, x[:1]), 0.5)
     assert one.error < 1e-9
