@@ -22,6 +22,9 @@ TARGET = 0.05
 #: Directions of the landmark kernel below this share of the greatest one carry only rounding.
 RANK_TOLERANCE = 1e-10
 
+#: Rows of one product.
+TILE = 240
+
 
 def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     far = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T
@@ -45,7 +48,10 @@ class KernelMap:
         @F.pandas_udf("array<double>")
         def mapped(arrays: pd.Series) -> pd.Series:
             known = arrays.notna().to_numpy()
-            found = iter(of(np.stack(arrays[known].to_numpy())) if known.any() else ())
+            x = np.stack(arrays[known].to_numpy()) if known.any() else np.zeros((0, 1))
+            # products of one shape: a row's last bits depend less on the rows that come with it
+            padded = np.concatenate([x, np.zeros((-len(x) % TILE, x.shape[1]))])
+            found = iter([row for at in range(0, len(x), TILE) for row in of(padded[at:at + TILE])][:len(x)])
             return pd.Series([next(found) if k else None for k in known], dtype=object)
 
         return rows.withColumn(column, F.when(F.col(values).isNotNull(), array_to_vector(mapped(values))))
