@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.lookup import broadcast_small
 from ..plans.quantiles import exact_quantiles
-from ..plans.staging import settle
+from ..plans.staging import settle, shuffle_width
 
 # The small solvers travel with the tasks, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -37,6 +38,16 @@ ProbaFn = Callable[[DataFrame], DataFrame]
 """(doc_id, text or features, *carried) -> (doc_id, *carried, proba)."""
 
 
+@dataclass(frozen=True)
+class ArrayProba:
+    """A model as a function of arrays, (rows x features) -> (rows x classes), that travels with the tasks.
+
+    Samples are scored where they are drawn: only the rows themselves are shuffled, and no sample leaves its task.
+    """
+
+    score: Callable[[np.ndarray], np.ndarray]
+
+
 class Sums:
     """Weighted sums of the samples of one row: all a surrogate needs, features squared in size."""
 
@@ -223,55 +234,118 @@ class TrainingBins:
         return np.array([low, *inner, high])
 
 
+#: Samples worked on at once: their arrays stay in the processor's cache.
+CHUNK = 512
+
+
+def _draw_chunks(row, borders, frequency, tables, samples, rng) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers, values, same-bin indicators) of some samples after the others; sample 0 is the given row."""
+    dim, grid = len(row), tables.shape[2]
+    own = (row[:, None] > borders).sum(axis=1)
+    limits, flat, start = frequency.cumsum(axis=1).T[:3], tables.ravel(), np.arange(dim) * tables.shape[1]
+    draws, places = rng.random((samples, dim)), rng.random((samples, dim))
+    for low in range(0, samples, CHUNK):
+        draw, position = draws[low:low + CHUNK], places[low:low + CHUNK] * (grid - 1)
+        bins = (draw > limits[0]).astype(np.int64)
+        bins += draw > limits[1]
+        bins += draw > limits[2]
+        left = position.astype(np.int64)
+        cell = (start + bins) * grid
+        lower = flat.take(cell + left)
+        upper = flat.take(cell + np.minimum(left + 1, grid - 1))
+        values = lower + (upper - lower) * (position - left)
+        same = bins == own
+        if low == 0:
+            values[0], same[0] = row, True
+        yield np.arange(low, low + len(draw)), values, same
+
+
 def _draw_row(row, borders, frequency, tables, samples, rng):
     """(values, same-bin indicators); row 0 is the given row."""
-    dim, last = len(row), tables.shape[2] - 1
-    own = (row[:, None] > borders).sum(axis=1)
-    draws = rng.random((samples, dim))
-    bins = (draws[:, :, None] > frequency.cumsum(axis=1)[None, :, :3]).sum(axis=2)
-    position = rng.random((samples, dim)) * last
-    left = position.astype(int)
-    columns = np.arange(dim)
-    lower = tables[columns, bins, left]
-    upper = tables[columns, bins, np.minimum(left + 1, last)]
-    values = lower + (upper - lower) * (position - left)
-    same = bins == own
-    values[0], same[0] = row, True
-    return values, same
+    _, values, same = zip(*_draw_chunks(row, borders, frequency, tables, samples, rng))
+    return np.concatenate(values), np.concatenate(same)
+
+
+def _dealt(rows: DataFrame, features: str) -> DataFrame:
+    """The rows by doc_id, in a fixed number of parts: a row is small and its samples are many."""
+    return rows.select("doc_id", features).repartition(shuffle_width(rows), "doc_id")
+
+
+def _rows_by_key(frames: Iterator[pd.DataFrame], features: str) -> Iterator[tuple[int, bool, np.ndarray]]:
+    """(doc_id, whether another doc_id came before, row) of frames sorted by doc_id."""
+    before = None
+    for frame in frames:
+        for item, row in zip(frame["doc_id"], frame[features]):
+            yield item, item != before, np.asarray(row, dtype=float)
+            before = item
+
+
+def _in_lots(found: Iterator[pd.DataFrame], rows: int = 20_000) -> Iterator[pd.DataFrame]:
+    """Many small frames as few larger ones."""
+    lot, n = [], 0
+    for frame in found:
+        lot.append(frame)
+        n += len(frame)
+        if n >= rows:
+            yield pd.concat(lot, ignore_index=True)
+            lot, n = [], 0
+    if lot:
+        yield pd.concat(lot, ignore_index=True)
 
 
 def explain_rows(
-    rows: DataFrame, bins: TrainingBins, predict_proba: ProbaFn, samples: int = SAMPLES, top: int = FEATURES,
+    rows: DataFrame, bins: TrainingBins, predict_proba: ProbaFn | ArrayProba, samples: int = SAMPLES, top: int = FEATURES,
     seed: int = 42, features: str = "features_array",
 ) -> DataFrame:
     """(doc_id, class_idx, feature_idx, weight, rank, intercept, fit) for every row.
 
     Each feature is drawn from the training distribution of its quartile bins; the
-    surrogate sees whether a sample fell into the row's own bin.
+    surrogate sees whether a sample fell into the row's own bin.  Rows of one doc_id share a surrogate.
     """
 
     borders, frequency, tables = bins.borders, bins.frequency, bins.tables
 
+    def generator(item: int) -> np.random.Generator:
+        return np.random.default_rng([seed, int(item) & 0x7FFFFFFFFFFFFFFF])
+
+    def weigh(x: np.ndarray) -> np.ndarray:
+        # sample 0 lies in all of the row's own bins
+        width = np.sqrt(x.shape[1]) * 0.75
+        return np.sqrt(np.exp(-((x - 1.0) ** 2).sum(axis=1) / width**2))
+
+    columns = ["doc_id", *[c.split()[0] for c in _SURROGATE.split(", ")]]
+    if isinstance(predict_proba, ArrayProba):
+        score = predict_proba.score
+
+        def explained(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, sums = None, None
+            for item, new, row in _rows_by_key(frames, features):
+                if new:
+                    if sums is not None:
+                        yield sums.surrogate(top).assign(doc_id=now)
+                    now, sums = item, None
+                for numbers, values, same in _draw_chunks(row, borders, frequency, tables, samples, generator(item)):
+                    x, y = same.astype(float), score(values)
+                    sums = sums or Sums(x.shape[1], y.shape[1])
+                    sums.add(x, y, weigh(x), numbers)
+            if sums is not None:
+                yield sums.surrogate(top).assign(doc_id=now)
+
+        by_key = _dealt(rows, features).sortWithinPartitions("doc_id")
+        return by_key.mapInPandas(lambda frames: _in_lots(explained(frames)), f"{_SURROGATE}, doc_id bigint").select(*columns)
+
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for item, row in zip(frame["doc_id"], frame[features]):
-                rng = np.random.default_rng([seed, int(item) & 0x7FFFFFFFFFFFFFFF])
-                values, same = _draw_row(np.asarray(row, dtype=float), borders, frequency, tables, samples, rng)
+                values, same = _draw_row(np.asarray(row, dtype=float), borders, frequency, tables, samples, generator(item))
                 yield pd.DataFrame({
                     "doc_id": item, "sample": np.arange(samples, dtype=np.int32), "x": list(values), "mask": list(same),
                 })
 
-    spread = rows.select("doc_id", features).repartition("doc_id")
-    drawn = spread.mapInPandas(draw, "doc_id bigint, sample int, x array<double>, mask array<boolean>")
+    drawn = _dealt(rows, features).mapInPandas(draw, "doc_id bigint, sample int, x array<double>, mask array<boolean>")
     scored = predict_proba(drawn.withColumn("features", array_to_vector("x")).drop("x"))
-
-    def weigh(x: np.ndarray) -> np.ndarray:
-        # sample 0 lies in all of the row's own bins
-        width = np.sqrt(x.shape[1]) * 0.75
-        return np.sqrt(np.exp(-((x - 1.0) ** 2).sum(axis=1) / width**2))
-
     together = scored.select("doc_id", "sample", "mask", "proba").repartition("doc_id").sortWithinPartitions("doc_id", "sample")
-    return _solved(together, "doc_id", weigh, top, "bigint").select("doc_id", *[c.split()[0] for c in _SURROGATE.split(", ")])
+    return _solved(together, "doc_id", weigh, top, "bigint").select(*columns)
 
 
 def tabular_samples(n_features: int) -> int:
@@ -280,7 +354,7 @@ def tabular_samples(n_features: int) -> int:
 
 
 def kernel_shap(
-    rows: DataFrame, background: np.ndarray, shares: np.ndarray, predict_proba: ProbaFn, samples: int,
+    rows: DataFrame, background: np.ndarray, shares: np.ndarray, predict_proba: ProbaFn | ArrayProba, samples: int,
     seed: int = 42, features: str = "features_array",
 ) -> DataFrame:
     """(doc_id, class_idx, feature_idx, value, base): Shapley values of the class probabilities.
@@ -288,10 +362,13 @@ def kernel_shap(
     A coalition keeps some features of the row and takes the others from the
     background rows (weighted by ``shares``).  Sizes are drawn from the Shapley
     kernel, each coalition together with its complement; the weighted fit keeps the
-    sum of the values equal to f(row) - f(background).
+    sum of the values equal to f(row) - f(background).  Shares of rows of one doc_id add up.
     """
+    dim = background.shape[1]
+    schema = "doc_id bigint, class_idx int, feature_idx int, value double, base double"
 
-    def coalitions(rng: np.random.Generator, dim: int) -> np.ndarray:
+    def coalitions(item: int) -> np.ndarray:
+        rng = np.random.default_rng([seed, int(item) & 0x7FFFFFFFFFFFFFFF])
         sizes = np.arange(1, dim)
         chance = 1.0 / (sizes * (dim - sizes))
         half = max(1, samples // 2)
@@ -300,44 +377,60 @@ def kernel_shap(
         mask = order < count[:, None]
         return np.vstack([np.zeros(dim, bool), np.ones(dim, bool), mask, ~mask])
 
-    def draw(frames):
-        for frame in frames:
-            for item, row in zip(frame["doc_id"], frame[features]):
-                rng = np.random.default_rng([seed, int(item) & 0x7FFFFFFFFFFFFFFF])
-                row = np.asarray(row, dtype=float)
-                mask = coalitions(rng, len(row))
-                for b, (other, share) in enumerate(zip(background, shares)):
-                    yield pd.DataFrame({
-                        "doc_id": item, "sample": np.arange(len(mask), dtype=np.int32), "share": float(share),
-                        "x": list(np.where(mask, row, other)), "mask": list(mask),
-                    })
-
-    drawn = rows.select("doc_id", features).repartition("doc_id").mapInPandas(
-        draw, "doc_id bigint, sample int, share double, x array<double>, mask array<boolean>"
-    )
-    scored = predict_proba(drawn.withColumn("features", array_to_vector("x")).drop("x"))
-
-    def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        p = np.stack(group["proba"].to_numpy()) * group["share"].to_numpy()[:, None]
-        sample = group["sample"].to_numpy()
-        f = np.zeros((sample.max() + 1, p.shape[1]))
-        np.add.at(f, sample, p)
-        first = group.drop_duplicates("sample").sort_values("sample")
-        z = np.stack(first["mask"].to_numpy()).astype(float)
+    def solve(item: int, mask: np.ndarray, f: np.ndarray) -> pd.DataFrame:
         base, gain = f[0], f[1] - f[0]
-        z, y = z[2:], f[2:] - base
+        z, y = mask[2:].astype(float), f[2:] - base
         # the last feature takes up the constraint sum(phi) = gain
         reduced = z[:, :-1] - z[:, -1:]
         target = y - z[:, -1:] * gain
         gram = reduced.T @ reduced + 1e-9 * np.eye(reduced.shape[1])
         phi = np.linalg.solve(gram, reduced.T @ target)
         phi = np.vstack([phi, gain - phi.sum(axis=0)])
-        dim, k = phi.shape
+        k = phi.shape[1]
         return pd.DataFrame({
-            "doc_id": key[0], "class_idx": np.tile(np.arange(k), dim), "feature_idx": np.repeat(np.arange(dim), k),
+            "doc_id": item, "class_idx": np.tile(np.arange(k), dim), "feature_idx": np.repeat(np.arange(dim), k),
             "value": phi.ravel(), "base": np.tile(base, dim),
         })
 
-    return scored.select("doc_id", "sample", "share", "mask", "proba").groupBy("doc_id").applyInPandas(
-        solve, "doc_id bigint, class_idx int, feature_idx int, value double, base double"
+    if isinstance(predict_proba, ArrayProba):
+        score = predict_proba.score
+
+        def explained(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, mask, f = None, None, None
+            for item, new, row in _rows_by_key(frames, features):
+                if new:
+                    if f is not None:
+                        yield solve(now, mask, f)
+                    now, mask, f = item, coalitions(item), 0.0
+                for other, share in zip(background, shares):
+                    f = f + score(np.where(mask, row, other)) * share
+            if f is not None:
+                yield solve(now, mask, f)
+
+        by_key = _dealt(rows, features).sortWithinPartitions("doc_id")
+        return by_key.mapInPandas(lambda frames: _in_lots(explained(frames)), schema)
+
+    def draw(frames):
+        for frame in frames:
+            for item, row in zip(frame["doc_id"], frame[features]):
+                row, mask = np.asarray(row, dtype=float), coalitions(item)
+                for other, share in zip(background, shares):
+                    yield pd.DataFrame({
+                        "doc_id": item, "sample": np.arange(len(mask), dtype=np.int32), "share": float(share),
+                        "x": list(np.where(mask, row, other)),
+                    })
+
+    drawn = _dealt(rows, features).mapInPandas(
+        draw, "doc_id bigint, sample int, share double, x array<double>"
     )
+    scored = predict_proba(drawn.withColumn("features", array_to_vector("x")).drop("x"))
+
+    def gathered(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        # the coalitions are drawn again: only shares are shuffled
+        mask = coalitions(key[0])
+        p = np.stack(group["proba"].to_numpy()) * group["share"].to_numpy()[:, None]
+        f = np.zeros((len(mask), p.shape[1]))
+        np.add.at(f, group["sample"].to_numpy(), p)
+        return solve(key[0], mask, f)
+
+    return scored.select("doc_id", "sample", "share", "proba").groupBy("doc_id").applyInPandas(gathered, schema)

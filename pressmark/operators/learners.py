@@ -10,7 +10,8 @@ from dataclasses import dataclass, field, fields
 
 import numpy as np
 from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
+    GBTClassifier, LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier, OneVsRest,
+    RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -159,6 +160,22 @@ class FittedLearner:
         """(*rows, predicted, proba ARRAY in label order)."""
         return self.named(self.model.transform(self.prepare(rows)), rows.columns)
 
+    def array_proba(self) -> Callable[[np.ndarray], np.ndarray] | None:
+        """The class shares of ``transform`` as a function of arrays (rows x features), for linear models; else None."""
+        if not isinstance(self.model, LogisticRegressionModel):
+            return None
+        weights, start = self.model.coefficientMatrix.toArray().T, self.model.interceptVector.toArray()
+
+        def shares(x: np.ndarray) -> np.ndarray:
+            raw = x @ weights + start
+            if raw.shape[1] == 1:
+                raw = np.hstack([np.zeros_like(raw), raw])
+            top = raw.max(axis=1, keepdims=True)
+            odds = np.where(np.isinf(top), raw == top, np.exp(raw - np.where(np.isinf(top), 0.0, top)))
+            return odds / odds.sum(axis=1, keepdims=True)
+
+        return shares
+
     def named(self, scored: DataFrame, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
         """Predicted label and class shares of rows the model has scored."""
         names = F.array(*[F.lit(n) for n in self.labels])

@@ -260,16 +260,13 @@ def _row_explainer(spark, sf):
         "xgb", data.select("doc_id", "label_idx", "features"), names, DIM, booster="gblinear"
     )
 
-    def predict_proba(rows: DataFrame) -> DataFrame:
-        return fitted.transform(rows)
-
-    return data, names, predict_proba
+    return data, names, fitted
 
 
 def lime_tabular(spark, sf):
-    data, names, predict_proba = _row_explainer(spark, sf)
+    data, names, fitted = _row_explainer(spark, sf)
     bins = explain.TrainingBins.fit(data)
-    out = explain.explain_rows(data, bins, predict_proba, explain.tabular_samples(DIM))
+    out = explain.explain_rows(data, bins, explain.ArrayProba(fitted.array_proba()), explain.tabular_samples(DIM))
     return out.select("doc_id", _name(names).alias("class"), "feature_idx", F.round("weight", 6).alias("weight"), "rank")
 
 
@@ -279,8 +276,8 @@ def shap_values(spark, sf, samples: int = SHAP_SAMPLES):
     The background is one centroid per class, weighted by the class size: all training rows as
     background would pair every row with every other.
     """
-    data, names, predict_proba = _row_explainer(spark, sf)
-    out = _shap(data, predict_proba, samples)
+    data, names, fitted = _row_explainer(spark, sf)
+    out = _shap(data, explain.ArrayProba(fitted.array_proba()), samples)
     return out.select("doc_id", _name(names).alias("class"), "feature_idx", F.round("value", 6).alias("value"))
 
 
@@ -319,13 +316,14 @@ def shap_linear_checks(spark, sf):
     data, _ = embeddings(spark, sf)
     weights = [(i % 7 - 3) / 10 for i in range(DIM)]
     w = F.array(*[F.lit(x) for x in weights])
+    column = np.array(weights)
 
-    def score(rows: DataFrame) -> DataFrame:
-        dot = F.aggregate(F.zip_with(vector_to_array("features"), w, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        return rows.withColumn("proba", F.array(dot, F.lit(1.0) - dot))
+    def score(x: np.ndarray) -> np.ndarray:
+        dot = x @ column
+        return np.column_stack([dot, 1.0 - dot])
 
     means = data.agg(F.array(*[F.avg(F.col("features_array")[i]) for i in range(DIM)])).first()[0]  # one row
-    found = _shap(data, score, SHAP_SAMPLES).join(data.select("doc_id", "features_array"), "doc_id")
+    found = _shap(data, explain.ArrayProba(score), SHAP_SAMPLES).join(data.select("doc_id", "features_array"), "doc_id")
     known = (F.get("features_array", F.col("feature_idx")) - F.get(F.array(*[F.lit(x) for x in means]), F.col("feature_idx"))) * F.get(
         w, F.col("feature_idx")) * F.when(F.col("class_idx") == 0, 1.0).otherwise(-1.0)
     return found.agg(F.count(F.lit(1)).alias("n_values"), F.sum((F.abs(F.col("value") - known) < 1e-6).cast("bigint")).alias("n_right"))
@@ -333,10 +331,10 @@ def shap_linear_checks(spark, sf):
 
 def shap_checks(spark, sf):
     """Per row and class the values add up to f(row) - f(background)."""
-    data, _, predict_proba = _row_explainer(spark, sf)
-    sums = _shap(data, predict_proba, SHAP_SAMPLES).groupBy("doc_id", "class_idx").agg(
+    data, _, fitted = _row_explainer(spark, sf)
+    sums = _shap(data, explain.ArrayProba(fitted.array_proba()), SHAP_SAMPLES).groupBy("doc_id", "class_idx").agg(
         F.sum("value").alias("total"), F.first("base").alias("base"), F.count(F.lit(1)).alias("n"))
-    scored = predict_proba(data).select("doc_id", F.posexplode("proba").alias("class_idx", "p"))
+    scored = fitted.transform(data).select("doc_id", F.posexplode("proba").alias("class_idx", "p"))
     return sums.join(scored, ["doc_id", "class_idx"]).agg(
         F.count(F.lit(1)).alias("n_values"),
         F.sum((F.abs(F.col("base") + F.col("total") - F.col("p")) < 1e-6).cast("bigint")).alias("n_exact"),
