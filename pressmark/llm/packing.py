@@ -32,6 +32,8 @@ ROUNDS = 1_000
 #: Stop when at most this share of the sequences could still be saved.
 GAP = 5e-4
 RANKED = 200_000
+#: Bytes of text encoded at once.
+SLICE = 2 << 20
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, class int"
 
 
@@ -41,7 +43,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, width: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_encoder(tokenizer_path)
         for whole in batches:
-            for batch in slices(whole, "text", 16 << 20):
+            # the arrays of a slice are some twenty times its text
+            for batch in slices(whole, "text", SLICE):
                 ids, counts = enc.batch(column(batch, "text"))
                 # the end id behind every document
                 ends = np.cumsum(counts)

@@ -2,25 +2,50 @@
 
 White space never takes part in a token, so a text's ids are the ids of its white-space-separated
 words, one after the other.  A batch is reduced to its distinct words; words are reduced to letter
-and sign runs; runs are encoded by the tokenizer's model and remembered in a bounded cache.
+and sign runs; runs are encoded by the tokenizer's model, and the last ones used are remembered.
 Anything outside plain Latin goes through the full tokenizer, word by word.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_WORDS = 400_000
+#: Entries of a half of a cache: some 150 bytes each, four halves a worker.
+CACHED_WORDS = 120_000
 #: Below this code point normalisation is plain lower-casing.
 LATIN_END = "ƀ"
 
 _state: dict = {}
 
 
+class Recent:
+    """The entries used last, at most ``2 * most``: a full half becomes the old one, and what is used there comes back."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def __len__(self) -> int:
+        return len(self.new) + len(self.old)
+
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.pop(key, None)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian numbers of four bytes: a third of the room of a tuple."""
+    return np.array(ids, "<u4").tobytes()
+
+
 class WordEncoder:
     def __init__(self, path: str):
         import regex
@@ -30,34 +55,31 @@ class WordEncoder:
         self.model = self.full.model
         # the split pattern of the vocabulary file
         self.runs = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.words, self.pieces = Recent(CACHED_WORDS), Recent(CACHED_WORDS)
         # printable bytes stand for themselves, the others for code points from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def piece(self, text: str) -> tuple[int, ...]:
+    def piece(self, text: str) -> bytes:
         ids = self.pieces.get(text)
         if ids is None:
             shown = text if text.isascii() and text.isprintable() else "".join(map(self.letter.__getitem__, text.encode()))
-            ids = tuple(t.id for t in self.model.tokenize(shown))
-            if len(self.pieces) >= CACHED_WORDS:
-                self.pieces.clear()
-            self.pieces[text] = ids
+            ids = _packed([t.id for t in self.model.tokenize(shown)])
+            self.pieces.put(text, ids)
         return ids
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> bytes:
         if "<|" in word or (not word.isascii() and max(word) >= LATIN_END):
-            return tuple(self.full.encode(word, add_special_tokens=False).ids)
+            return _packed(self.full.encode(word, add_special_tokens=False).ids)
         low = word.lower()
         if low.isascii() or max(low) < LATIN_END:
             if low.isalpha():
                 return self.piece(low)
             if low[-1] in ".,;:!?" and low[:-1].isalpha():
                 return self.piece(low[:-1]) + self.piece(low[-1])
-            return tuple(chain.from_iterable(map(self.piece, self.runs.findall(low))))
-        return tuple(self.full.encode(word, add_special_tokens=False).ids)
+            return b"".join(map(self.piece, self.runs.findall(low)))
+        return _packed(self.full.encode(word, add_special_tokens=False).ids)
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of ids of each text); null texts count as empty."""
@@ -67,14 +89,12 @@ class WordEncoder:
         for word in words.dictionary.to_pylist():
             ids = known.get(word)
             if ids is None:
-                ids = self.word(word) if word else ()
-                if len(known) >= CACHED_WORDS:
-                    known.clear()
+                ids = self.word(word) if word else b""
                 if len(word) <= 32:
-                    known[word] = ids
+                    known.put(word, ids)
             found.append(ids)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
         begins = np.cumsum(sizes) - sizes
         index = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         lengths = sizes[index]

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from helpers_llm import texts
@@ -54,6 +55,18 @@ def test_an_overlap_must_fit(odd):
         bpe_codec.encode(odd, MULTI_RANKS, 10, 10)
 
 
+def test_the_word_cache_stays_small():
+    enc = WordEncoder(WORD_BPE)
+    distinct = ["".join(chr(97 + (i // 26**k) % 26) for k in range(4)) for i in range(26**4)]
+    lots = [pa.array([" ".join(distinct[i:i + 20_000])]) for i in range(0, len(distinct), 20_000)]
+    found = [enc.batch(lot) for lot in lots]
+    assert len(enc.words) <= 240_000 and len(enc.pieces) <= 240_000 and packing.SLICE <= 2 << 20
+    again = [enc.batch(lot) for lot in reversed(lots)][::-1]
+    assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(found, again))
+    probe = enc.batch(pa.array([" ".join(distinct[:50])]))[0].tolist()
+    assert probe == Tokenizer.from_file(WORD_BPE).encode(" ".join(distinct[:50]), add_special_tokens=False).ids
+
+
 def test_no_documents(empty):
     assert bpe_codec.decode(bpe_codec.encode(empty, MULTI_RANKS), MULTI_RANKS).count() == 0
     assert packing.pack(empty, WORD_BPE).count() == 0
