@@ -7,6 +7,8 @@ full stops and occurrences without a full stop.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
@@ -52,11 +54,21 @@ def known(table: DataFrame) -> list[str]:
     return sorted(found)
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with ``value`` worked out once a row: inside a lambda it would be once an element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _joined(pieces: Column, follows: Column) -> Column:
     """Neighbouring pieces as one where ``follows`` (one flag per piece) says that a piece goes on."""
-    starts = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: ~F.get(follows, i))
-    return F.transform(
-        starts, lambda b, n: F.array_join(F.slice(pieces, b + 1, F.coalesce(F.get(starts, n + 1), F.size(pieces)) - b), ""))
+
+    def cut(x: Column) -> Column:
+        p, f = x["p"], x["f"]
+        starts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: ~F.get(f, i))
+        return _once(starts, lambda s: F.transform(
+            s, lambda b, n: F.array_join(F.slice(p, b + 1, F.coalesce(F.get(s, n + 1), F.size(p)) - b), "")))
+
+    return _once(F.struct(pieces.alias("p"), follows.alias("f")), cut)
 
 
 def with_sentences(docs: DataFrame, abbreviations: list[str], text: str = "text") -> DataFrame:
