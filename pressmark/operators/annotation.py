@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
 from ..plans.lookup import lookup
+from ..plans.staging import settle
 
 # Fixed value: longest sentence, in tokens, the tagger is given.
 TAGGER_TOKENS = 250
@@ -78,19 +79,21 @@ def annotated_tokens(docs: DataFrame, cache: DataFrame, text: str = "text") -> D
 def normalise_text(docs: DataFrame, dictionary: DataFrame, text: str = "text") -> DataFrame:
     """Texts with every listed word replaced by its base form; all else stays in place.
 
-    Each distinct form is looked up once per document, then put back in position.
+    Each distinct form is looked up once per document, and only the listed ones come back to the text, which is
+    hashed on doc_id once.  Rows of one doc_id share a text: their parts in the order of place, then part.
     """
-    parts = F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+"), F.lit(0))
+    parts = lambda t: F.regexp_extract_all(t, F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+"), F.lit(0))
     rest = [c for c in docs.columns if c != text]
-    spread = docs.repartition("doc_id").select("doc_id", F.posexplode(parts).alias("pos", "part"))
-    table = dictionary.select(F.lower("form").alias("form"), "base").dropDuplicates(["form"])
-    found = lookup(spread.withColumn("form", F.lower("part")), table, "form", table.count(), how="left")
-    joined = found.groupBy("doc_id").agg(
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("pos", F.coalesce("base", "part").alias("p")))), lambda s: s["p"]
-            ),
-            "",
-        ).alias(text)
-    )
+    table = settle(dictionary.select(F.lower("form").alias("form"), "base").dropDuplicates(["form"]))
+    texts = docs.groupBy("doc_id").agg(F.collect_list(text).alias("_texts"))
+    forms = texts.select("doc_id", F.explode(F.array_distinct(
+        F.transform(F.flatten(F.transform("_texts", parts)), lambda p: F.lower(p)))).alias("form"))
+    listed = lookup(forms, table, "form", table.count()).groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("form", "base"))).alias("_bases"))
+    base = lambda p: F.coalesce(F.try_element_at("_bases", F.lower(p)), p)
+    placed = F.sort_array(F.flatten(F.transform(
+        "_texts", lambda t: F.transform(parts(t), lambda p, i: F.struct(i.alias("pos"), base(p).alias("p"))))))
+    one, several = F.transform(parts(F.get("_texts", F.lit(0))), base), F.transform(placed, lambda s: s["p"])
+    joined = texts.join(listed, "doc_id", "left").select(
+        "doc_id", F.array_join(F.when(F.size("_texts") > 1, several).otherwise(one), "").alias(text))
     return docs.select(*rest).join(joined, "doc_id", "left").withColumn(text, F.coalesce(text, F.lit("")))
