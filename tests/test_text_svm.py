@@ -2,6 +2,8 @@
 
 import math
 from collections import Counter, defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pressmark.operators import svm, terms, text_svm
 from pressmark.plans import recipe
+from pressmark.session import shared_folder
 
 WORDS = {"a": "red green blue sun moon", "b": "iron steel blue coal moon", "c": "milk bread sun coal salt"}
 
@@ -103,3 +106,21 @@ def test_terms_counted_in_their_row(spark):
     key = lambda df: sorted((r["doc_id"], r["label"], r["term"], r["tf"]) for r in df.collect())
     assert key(terms.bags_in_row(docs, carry=["label"])) == key(terms.bag_of_terms(docs, carry=["label"]))
     assert "Exchange" not in terms.bags_in_row(docs)._jdf.queryExecution().toString().split("Physical Plan")[1]
+
+
+def test_rounds_do_not_pile_up_on_disk(spark):
+    _, docs = corpus(spark)
+    docs = docs.withColumn("label_idx", F.expr("ascii(label) - 97"))
+    bags = terms.bag_of_terms(docs, carry=["label_idx", "fold"])
+
+    def left(rounds):
+        count = lambda: [len(list(Path(folder).glob(kind))) for folder, kind in (
+            (urlparse(spark.sparkContext.getCheckpointDir()).path, "rdd-*"), (shared_folder(spark), "round-*"))]
+        before = count()
+        fitted = text_svm.fit_text_svm(bags, docs.select("doc_id", "label_idx", "fold"), list("abc"), [None], 2, False, rounds=rounds, gap=-1, gain=-9)
+        assert fitted.rounds == rounds and fitted.margins().count() == 60
+        return [b - a for a, b in zip(before, count())]
+
+    left(1)
+    assert left(6)[1] == 1
+    assert left(6)[0] <= left(2)[0] + 1
