@@ -26,6 +26,7 @@ from ..plans.lookup import broadcast_small, fits_broadcast, lookup
 from ..plans.quantiles import exact_quantiles
 from ..plans.staging import keep, settle, stored
 from . import text_bags
+from .explain import BagProba, ProbaFn
 from .text_bags import TextBags
 from .terms import MIN_DF, idf as idf_of, term_frequency_weight
 
@@ -116,6 +117,17 @@ class TextBayesModel:
         """(doc_id, *carry, proba ARRAY in label order)."""
         return self.scores(bags, docs, carry).select("doc_id", *carry, softmax(len(self.labels)).alias("proba"))
 
+    def bag_proba(self, by_rows: ProbaFn) -> BagProba:
+        """The model of all documents for explanations; ``by_rows`` is ``predict_proba`` over texts."""
+        table = self.table.select("term", "df", F.col("idf")[0].alias("idf"), F.col("lp")[0].alias("lp"))
+
+        def known(rows: DataFrame) -> DataFrame:
+            found = lookup(
+                rows, table, "term", self.n_terms, bytes_per_row=self.bytes_per_row, frequency=F.col("df"), limit_bytes=self.limit_bytes)
+            return found.where("idf IS NOT NULL").drop("term", "df")
+
+        return BagProba(known, self.priors[0], by_rows)
+
 
 def argmax_label(labels: Sequence[str], prefix: str = "score_", first: int = 0) -> Column:
     columns = [F.col(f"{prefix}{first + c}") for c in range(len(labels))]

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.lookup import broadcast_small
 from ..plans.quantiles import exact_quantiles
@@ -48,6 +48,19 @@ class ArrayProba:
     score: Callable[[np.ndarray], np.ndarray]
 
 
+@dataclass(frozen=True)
+class BagProba:
+    """Naive Bayes over lower-cased words of two or more characters and pairs of neighbours, weighted (1 + ln tf) * idf / norm.
+
+    ``known`` looks rows with a ``term`` up: (*rows, idf, lp) of those the model holds.  Only the terms an item's
+    samples can have are looked up, once an item; samples are scored where they are drawn and none is shuffled.
+    """
+
+    known: Callable[[DataFrame], DataFrame]
+    priors: list[float]
+    by_rows: ProbaFn   # the same model over rows
+
+
 class Sums:
     """Weighted sums of the samples of one row: all a surrogate needs, features squared in size."""
 
@@ -130,7 +143,7 @@ _SURROGATE = "class_idx int, feature_idx int, weight double, rank int, intercept
 
 
 def explain_text(
-    docs: DataFrame, predict_proba: ProbaFn, samples: int = SAMPLES, top: int = FEATURES, seed: int = 42
+    docs: DataFrame, predict_proba: ProbaFn | BagProba, samples: int = SAMPLES, top: int = FEATURES, seed: int = 42
 ) -> DataFrame:
     """(doc_id, class_idx, feature, weight, rank, intercept, fit) for every document.
 
@@ -146,10 +159,15 @@ def explain_text(
         "doc_id", F.lit(None).cast("int").alias("class_idx"), F.lit(None).cast("string").alias("feature"),
         F.lit(None).cast("double").alias("weight"), F.lit(0).alias("rank"),
         F.lit(None).cast("double").alias("intercept"), F.lit(None).cast("double").alias("fit"))
-    split = settle(split.where(F.size("words") > 0).select(
+    split = split.where(F.size("words") > 0).select(
         "doc_id", "words",
         F.transform("parts", lambda p: F.struct(p.alias("p"), F.array_contains("words", p).alias("is_word"))).alias("parts"),
-    ))
+    )
+    if isinstance(predict_proba, BagProba):
+        # what follows a capital sigma decides about its lower case; texts of one doc_id are counted together
+        alone = F.count(F.lit(1)).over(Window.partitionBy("doc_id")) == 1
+        split = split.withColumn("plain", alone & ~F.exists("words", lambda w: F.contains(w, F.lit("\u03a3"))))
+    split = settle(split)
     draw = lambda w: F.xxhash64(F.lit(seed), F.col("item"), F.col("sample"), w)
 
     def limited(rows: DataFrame) -> DataFrame:
@@ -161,34 +179,157 @@ def explain_text(
         return rows.withColumn("m", removed).withColumn("limit", limit)
 
     kept_word = lambda w: F.col("limit").isNull() | (draw(w) > F.col("limit"))
-    sampled = split.select(
-        F.col("doc_id").alias("item"), "words", "parts", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")
-    )
-    # the articles are few and the samples many: spread the samples
-    perturbed = limited(sampled.repartition("item", "sample")).select(
-        # a key of its own for every sample: item and sample as text never overflow or collide
-        F.concat_ws(":", "item", "sample").alias("doc_id"), "item", "sample",
-        F.array_join(
-            F.transform(F.filter("parts", lambda s: ~s["is_word"] | kept_word(s["p"])), lambda s: s["p"]), ""
-        ).alias("text"),
-    )
-    scored = predict_proba(perturbed).select("item", "sample", "proba")
-    words = split.select(F.col("doc_id").alias("item"), "words")
-    # only the shares move to the item's task; its words come once and the masks are made again there
-    together = scored.join(words.hint("shuffle_hash"), "item").sortWithinPartitions("item", "sample")
-    masked = limited(together).withColumn("mask", F.transform("words", kept_word))
 
     def weigh(x: np.ndarray) -> np.ndarray:
         cosine = np.sqrt(x.sum(axis=1) / x.shape[1])  # with the all-ones row
         return np.sqrt(np.exp(-((100 * (1 - cosine)) ** 2) / TEXT_KERNEL**2))
 
-    solved = _solved(masked, "item", weigh, top, "bigint")
+    def masked(rows: DataFrame) -> DataFrame:
+        return limited(rows).withColumn("mask", F.transform("words", kept_word))
+
+    def by_rows(split: DataFrame, proba: ProbaFn) -> DataFrame:
+        sampled = split.select(
+            F.col("doc_id").alias("item"), "words", "parts", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")
+        )
+        # the articles are few and the samples many: spread the samples
+        perturbed = limited(sampled.repartition("item", "sample")).select(
+            # a key of its own for every sample: item and sample as text never overflow or collide
+            F.concat_ws(":", "item", "sample").alias("doc_id"), "item", "sample",
+            F.array_join(
+                F.transform(F.filter("parts", lambda s: ~s["is_word"] | kept_word(s["p"])), lambda s: s["p"]), ""
+            ).alias("text"),
+        )
+        scored = proba(perturbed).select("item", "sample", "proba")
+        words = split.select(F.col("doc_id").alias("item"), "words")
+        # only the shares move to the item's task; its words come once and the masks are made again there
+        together = scored.join(words.hint("shuffle_hash"), "item").sortWithinPartitions("item", "sample")
+        return _solved(masked(together), "item", weigh, top, "bigint")
+
+    if isinstance(predict_proba, BagProba):
+        solved = _solved_bags(split.where("plain AND doc_id IS NOT NULL"), predict_proba, masked, weigh, samples, top)
+        others = split.where("NOT plain")
+        if not others.isEmpty():
+            solved = solved.unionByName(by_rows(others, predict_proba.by_rows))
+    else:
+        solved = by_rows(split, predict_proba)
     named = split.select(F.col("doc_id").alias("item"), F.posexplode("words").alias("feature_idx", "feature"))
     return solved.join(named, ["item", "feature_idx"]).select(
         F.col("item").alias("doc_id"), "class_idx", "feature", "weight", "rank", "intercept", "fit"
     ).unionByName(wordless)
 
 
+class _Bag:
+    """The terms of one text's samples that a model holds."""
+
+    def __init__(self, spelt, occurs, a, b, idf, lp, priors: np.ndarray):
+        tokens, number = _numbered(spelt)
+        occurs = np.asarray(occurs, dtype=np.int64)
+        self.words = occurs[number[occurs] >= 0]
+        self.tokens, self.width, self.priors = number[self.words], len(tokens), priors
+        codes = _codes(np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64), self.width)
+        order = np.argsort(codes)
+        self.codes, self.idf = codes[order], np.asarray(idf, dtype=float)[order]
+        self.lp = np.asarray(lp, dtype=float).reshape(len(codes), len(priors))[order]
+
+    def shares(self, x: np.ndarray) -> np.ndarray:
+        """Class shares of samples, one row of kept words each."""
+        step = max(1, CELLS // max(1, len(self.words)))
+        return np.vstack([self._shares(x[low:low + step]) for low in range(0, len(x), step)])
+
+    def _shares(self, x: np.ndarray) -> np.ndarray:
+        score = np.tile(self.priors, (len(x), 1))
+        if len(self.codes):
+            row, place = np.nonzero(x[:, self.words])
+            token = self.tokens[place]
+            near = row[1:] == row[:-1]
+            rows = np.concatenate([row, row[1:][near]])
+            codes = np.concatenate([token, _codes(token[:-1][near], token[1:][near], self.width)])
+            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            held = self.codes[at] == codes
+            cells, tf = np.unique(rows[held] * len(self.codes) + at[held], return_counts=True)
+            row, term = np.divmod(cells, len(self.codes))
+            weight = (1.0 + np.log(tf)) * self.idf[term]
+            norm = np.sqrt(np.bincount(row, weight * weight, len(x)))
+            for c in range(score.shape[1]):
+                score[:, c] += np.divide(np.bincount(row, weight * self.lp[term, c], len(x)), norm, out=np.zeros(len(x)), where=norm > 0)
+        odds = np.exp(score - score.max(axis=1, keepdims=True))
+        return odds / odds.sum(axis=1, keepdims=True)
+
+
+#: Words of samples looked at together.
+CELLS = 1_000_000
+
+
+def _numbered(spelt) -> tuple[list[str], np.ndarray]:
+    """The distinct tokens in order, and the token of every word, -1 where it has none."""
+    tokens = sorted({t for t in spelt if t is not None})
+    number = {t: i for i, t in enumerate(tokens)}
+    return tokens, np.array([-1 if t is None else number[t] for t in spelt], dtype=np.int64)
+
+
+def _codes(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """One number per token (b = -1) or pair of tokens."""
+    return np.where(b < 0, a, (a + 1) * width + b)
+
+
+def _possible_terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(item, a, b, term): every token of a text, and every two of which one comes before the other."""
+    for frame in frames:
+        for item, spelt, occurs in zip(frame["item"], frame["spelt"], frame["occurs"]):
+            tokens, number = _numbered(spelt)
+            line = number[np.asarray(occurs, dtype=np.int64)]
+            line = line[line >= 0]
+            first, last = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
+            last[line] = np.arange(len(line))
+            first[line[::-1]] = np.arange(len(line))[::-1]
+            yield pd.DataFrame({"item": item, "a": np.arange(len(tokens)), "b": -1, "term": tokens})
+            step = max(1, 100_000 // max(1, len(tokens)))
+            for low in range(0, len(tokens), step):
+                a, b = np.nonzero(first[low:low + step, None] < last)
+                yield pd.DataFrame({"item": item, "a": a + low, "b": b, "term": [f"{tokens[i + low]} {tokens[j]}" for i, j in zip(a, b)]})
+
+
+def _solved_bags(split: DataFrame, model: BagProba, masked: Callable, weigh: Callable, samples: int, top: int) -> DataFrame:
+    """One surrogate per text, as of ``_solved``; its samples are drawn and scored in the text's task."""
+    spelling = F.transform("words", lambda w: F.when(F.length(F.lower(w)) >= 2, F.lower(w)))
+    line = F.transform(F.filter("parts", lambda s: s["is_word"]), lambda s: (F.array_position(F.col("words"), s["p"]) - 1).cast("int"))
+    texts = split.select(F.col("doc_id").alias("item"), "words", spelling.alias("spelt"), line.alias("occurs"))
+    width = shuffle_width(split)
+    possible = texts.select("item", "spelt", "occurs").repartition(width).mapInPandas(
+        lambda frames: _in_lots(_possible_terms(frames)), "item bigint, a int, b int, term string")
+    held = model.known(possible).groupBy("item").agg(F.collect_list(F.struct("a", "b", "idf", "lp")).alias("held"))
+    of = lambda name: F.transform(F.coalesce("held", F.array().cast(held.schema["held"].dataType)), lambda t: t[name])
+    own = F.struct("spelt", "occurs", of("a").alias("a"), of("b").alias("b"), of("idf").alias("idf"), F.flatten(of("lp")).alias("lp"))
+    whole = texts.join(settle(held).hint("shuffle_hash"), "item", "left").repartition(width).select("item", "words", own.alias("own"))
+    # one row a text up to here, dealt evenly; what belongs to the text comes with its first sample
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda s: F.struct(s.alias("sample"), F.when(s == 0, F.col("own")).alias("own")))
+    drawn = masked(whole.select("item", "words", F.inline(numbers))).select("item", "sample", "mask", "own.*")
+    priors = np.array(model.priors, dtype=float)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, bag, sums = None, None, None
+        for frame in frames:
+            numbers = frame["sample"].to_numpy()
+            edges = [*np.flatnonzero(numbers == 0).tolist(), len(numbers)]
+            for low, high in zip([0, *edges], edges):
+                if low == high:
+                    continue
+                part = frame.iloc[low:high]
+                if numbers[low] == 0:
+                    if sums is not None:
+                        yield sums.surrogate(top).assign(item=now)
+                    r = part.iloc[0]
+                    now, bag, sums = r["item"], _Bag(r["spelt"], r["occurs"], r["a"], r["b"], r["idf"], r["lp"], priors), None
+                mask = np.stack(part["mask"].to_numpy()).astype(bool)
+                x, y = mask.astype(float), bag.shares(mask)
+                sums = sums or Sums(x.shape[1], y.shape[1])
+                sums.add(x, y, weigh(x), numbers[low:high])
+        if sums is not None:
+            yield sums.surrogate(top).assign(item=now)
+
+    return drawn.mapInPandas(lambda frames: _in_lots(run(frames)), f"{_SURROGATE}, item bigint")
+
+
 # --- tabular rows ---------------------------------------------------------------------
 
 

@@ -246,7 +246,7 @@ def lime_text(spark, sf):
         carry = [c for c in rows.columns if c not in ("doc_id", "text")]
         return model.predict_proba(terms.bags_in_row(rows), rows, carry)
 
-    out = explain.explain_text(items, predict_proba, TEXT_SAMPLES)
+    out = explain.explain_text(items, model.bag_proba(predict_proba), TEXT_SAMPLES)
     return out.select("doc_id", _name(stats.labels).alias("class"), "feature", F.round("weight", 6).alias("weight"), "rank")
 
 
