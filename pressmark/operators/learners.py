@@ -231,6 +231,8 @@ def _fit_rf(p: RandomForest, rows, labels, dim):
         labelCol="label", numTrees=p.n_estimators, featureSubsetStrategy=subset, impurity=p.criterion,
         maxDepth=p.max_depth or UNLIMITED_DEPTH, minInstancesPerNode=p.min_samples_leaf, bootstrap=p.bootstrap,
         seed=p.random_state,
+        # each row keeps its node in every tree: else a pass would send the trees grown so far and walk them from the root
+        cacheNodeIds=True,
     )
     data = rows
     if p.class_weight == "balanced":

@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from pressmark.operators import annotation, bayes, comparison, explain, labels, learners, metrics, scaling, style, svm, terms, vectors
@@ -434,3 +436,15 @@ def test_plans_have_no_cartesian_product_or_one_task_window(spark):
     assert "CartesianProduct" not in plan and "SinglePartition" not in plan
     # the text is hashed on doc_id once; counting and norms reuse it
     assert plan.count("Exchange hashpartitioning(doc_id") + plan.count("REPARTITION_BY_NUM") <= 2
+
+
+def test_a_deep_forest_keeps_the_nodes_of_its_rows(spark):
+    """Passes send no trees; the forest is the one grown without."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame(
+        [(i, int(rng.integers(3)), Vectors.dense(rng.normal(size=6).tolist())) for i in range(300)],
+        ["doc_id", "label_idx", "features"])
+    fitted = learners.fit_learner("rf", rows, ["a", "b", "c"], 6, n_estimators=4)
+    plain = RandomForestClassifier(labelCol="label", numTrees=4, featureSubsetStrategy="5", maxDepth=30, seed=learners.SEED).fit(learners._labelled(rows))
+    assert fitted.model.getCacheNodeIds()
+    assert fitted.model.toDebugString.split("\n")[1:] == plain.toDebugString.split("\n")[1:]
