@@ -282,11 +282,12 @@ def _possible_terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             first, last = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
             last[line] = np.arange(len(line))
             first[line[::-1]] = np.arange(len(line))[::-1]
-            yield pd.DataFrame({"item": item, "a": np.arange(len(tokens)), "b": -1, "term": tokens})
+            yield pd.DataFrame({"item": item, "a": np.arange(len(tokens)), "b": -1, "term": pd.Series(tokens, dtype=object)})
             step = max(1, 100_000 // max(1, len(tokens)))
             for low in range(0, len(tokens), step):
                 a, b = np.nonzero(first[low:low + step, None] < last)
-                yield pd.DataFrame({"item": item, "a": a + low, "b": b, "term": [f"{tokens[i + low]} {tokens[j]}" for i, j in zip(a, b)]})
+                yield pd.DataFrame({"item": item, "a": a + low, "b": b, "term": pd.Series(
+                    [f"{tokens[i + low]} {tokens[j]}" for i, j in zip(a, b)], dtype=object)})
 
 
 def _solved_bags(split: DataFrame, model: BagProba, masked: Callable, weigh: Callable, samples: int, top: int) -> DataFrame:
