@@ -16,10 +16,12 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from . import svm
+from . import forest, svm
 
 UNLIMITED_DEPTH = 30  # the deepest tree Spark ML grows
 SEED = 42
+#: Rows times trees of a forest of unlimited depth whose nodes Spark ML may hold on the driver; larger ones are kept as a table.
+DRIVER_ROWS = 500_000
 
 
 @dataclass
@@ -127,6 +129,8 @@ class FittedLearner:
             spark.createDataFrame(
                 rows, "pair int, coefficients array<double>, intercept double, slope double, offset double"
             ).write.parquet(f"{root}/pairs")
+        elif isinstance(self.model, forest.DeepForest):
+            self.model.save(f"{root}/model")
         else:
             self.model.write().save(f"{root}/model")
         settings = {
@@ -149,6 +153,8 @@ class FittedLearner:
             else:
                 model = svm.PairwiseSvmModel(
                     s["labels"], column("coefficients"), column("intercept"), column("slope"), column("offset"))
+        elif s["kind"][1] == forest.DeepForest.__name__:
+            model = forest.DeepForest.load(f"{root}/model", spark)
         else:
             model = getattr(importlib.import_module(s["kind"][0]), s["kind"][1]).load(f"{root}/model")
         return FittedLearner(
@@ -227,18 +233,30 @@ def _fit_svc(p: SupportVector, rows, labels, dim):
 
 def _fit_rf(p: RandomForest, rows, labels, dim):
     subset = _subset(min(p.max_features, dim) if isinstance(p.max_features, int) else p.max_features)
-    forest = RandomForestClassifier(
+    data = svm.balanced_weights(rows) if p.class_weight == "balanced" else rows
+    if _too_deep(p, rows, dim):
+        rules = forest.Rules(
+            len(labels), min(p.max_features, dim) if isinstance(p.max_features, int) else dim, p.criterion, UNLIMITED_DEPTH,
+            p.min_samples_leaf, p.bootstrap, p.random_state)
+        return FittedLearner("rf", forest.fit_forest(data, dim, p.n_estimators, rules, "weight" if data is not rows else None), labels)
+    estimator = RandomForestClassifier(
         labelCol="label", numTrees=p.n_estimators, featureSubsetStrategy=subset, impurity=p.criterion,
         maxDepth=p.max_depth or UNLIMITED_DEPTH, minInstancesPerNode=p.min_samples_leaf, bootstrap=p.bootstrap,
         seed=p.random_state,
         # each row keeps its node in every tree: else a pass would send the trees grown so far and walk them from the root
         cacheNodeIds=True,
     )
-    data = rows
-    if p.class_weight == "balanced":
-        data = svm.balanced_weights(rows)
-        forest = forest.setWeightCol("weight")
-    return FittedLearner("rf", forest.fit(_labelled(data)), labels)
+    if data is not rows:
+        estimator = estimator.setWeightCol("weight")
+    return FittedLearner("rf", estimator.fit(_labelled(data)), labels)
+
+
+def _too_deep(p: RandomForest, rows: DataFrame, dim: int) -> bool:
+    """Would Spark ML hold more nodes on the driver than it should, and do the rows' bins fit the tasks that grow trees?"""
+    if p.max_depth or not (isinstance(p.max_features, int) or p.max_features in (None, "none", "auto")):
+        return False
+    n = rows.count()
+    return n * p.n_estimators > DRIVER_ROWS and n * dim <= forest.MATRIX_BYTES
 
 
 def _fit_gb(p: GradientBoosting, rows, labels, dim):
@@ -354,6 +372,8 @@ def saved_nodes(spark, fitted: FittedLearner, path: str) -> DataFrame:
 
     ``model`` is the class of a one-vs-rest model, else 0.
     """
+    if isinstance(fitted.model, forest.DeepForest):
+        return fitted.model.nodes().select(F.lit(0).alias("model"), "tree", "node", "feature_idx", "gain", "n_rows")
     models = getattr(fitted.model, "models", None) or [fitted.model]
     if not all(hasattr(m, "trees") for m in models):
         raise ValueError("only tree learners have splits")
