@@ -83,3 +83,20 @@ def test_few_values_and_quantiles_part_the_bins(spark):
     assert few.tolist() == [0.5, 1.5] and len(many) == 31 and np.abs(np.diff(many) - 1000 / 32).max() < 3
     bins = forest.binned(np.array([[0.0, 0.0], [2.0, 999.0], [1.0, many[4]]]), [few, many])
     assert bins.tolist() == [[0, 0], [2, 31], [1, 4]]
+
+
+def test_a_search_measures_a_text_once(spark, monkeypatch):
+    """Style features of all folds come from one pass over the texts, with the scores of features taken per fold."""
+    from pressmark.operators import style
+    from pressmark.plans import recipe, search
+
+    texts = [(i, "ab"[i % 2], ("Ja! Nee? 12. " if i % 2 else "Een lange zin zonder meer. ") * (1 + i % 5) + '"Goed", zei hij.' * (i % 3)) for i in range(60)]
+    articles = spark.createDataFrame(texts, "doc_id bigint, label string, raw_text string")
+    spec = recipe.PipelineSpec(features="style", learner="rf", blocks=("Basic", "Quote"))
+    space, seen, basic = {"n_estimators": [2, 4], "max_depth": [3]}, [], style.basic_features
+    monkeypatch.setattr(style, "basic_features", lambda *a, **k: seen.append(1) or basic(*a, **k))
+    once = search.score_candidates(spec, space, articles, k=3).orderBy("candidate_id").collect()
+    assert len(seen) == 1
+    monkeypatch.setattr(recipe, "measured", lambda *a, **k: None)
+    per_fold = search.score_candidates(spec, space, articles, k=3).orderBy("candidate_id").collect()
+    assert [(r.candidate_id, r.mean_score, r.std_score) for r in once] == [(r.candidate_id, r.mean_score, r.std_score) for r in per_fold]
